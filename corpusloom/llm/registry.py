@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, url_filter
+from . import bpe, line_dedup, mixing, quality, simhash, url_filter
 
 
 def queries() -> dict:
-    found = (quality.op1_quality_rules, line_dedup.op2_line_dedup, url_filter.op3_url_filter, mixing.op10_mix_sources)
+    found = (
+        quality.op1_quality_rules,
+        line_dedup.op2_line_dedup,
+        url_filter.op3_url_filter,
+        simhash.op5_simhash,
+        bpe.op8_byte_bpe,
+        mixing.op10_mix_sources,
+    )
     return {f.__name__: f for f in found}
 
 
