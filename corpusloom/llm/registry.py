@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, quality, simhash, url_filter
+from . import bpe, html_text, line_dedup, maxscore, mixing, quality, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,7 +10,10 @@ def queries() -> dict:
         quality.op1_quality_rules,
         line_dedup.op2_line_dedup,
         url_filter.op3_url_filter,
+        maxscore.op4_maxscore,
         simhash.op5_simhash,
+        warc.op6_warc,
+        html_text.op7_html_text,
         bpe.op8_byte_bpe,
         mixing.op10_mix_sources,
     )
@@ -18,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL, "op3_url_filter": url_filter.OP3_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
+        "op3_url_filter": url_filter.OP3_SQL,
+        "op4_maxscore": maxscore.OP4_SQL,
+        "op6_warc": warc.OP6_SQL,
+        "op10_mix_sources": mixing.OP10_SQL,
+    }
