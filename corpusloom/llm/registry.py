@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, maxscore, mixing, quality, simhash, url_filter, warc
+from . import bpe, html_text, line_dedup, maxscore, mixing, pii, quality, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         warc.op6_warc,
         html_text.op7_html_text,
         bpe.op8_byte_bpe,
+        pii.op9_pii,
         mixing.op10_mix_sources,
     )
     return {f.__name__: f for f in found}
