@@ -270,7 +270,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def detect(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     """docs with ``_pii``: the count of base spans of each kind, base and all spans as lists of kind:start:end."""
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model or trained(docs.select("text")))
+    model = model or trained(docs.select("text"))  # a bounded number of trees, sent with the function
 
     @F.arrow_udf("struct<counts: array<long>, base: string, spans: string>")
     def found(texts: pa.Array) -> pa.Array:
@@ -279,7 +279,7 @@ def detect(docs: DataFrame, model: Trees | None = None) -> DataFrame:
             base = base_spans(text or "")
             counts.append([sum(x[2] == k for x in base) for k in range(4)])
             bases.append(listed(base))
-            spans.append(listed(base + added_spans(text or "", base, shared.value)))
+            spans.append(listed(base + added_spans(text or "", base, model)))
         return pa.StructArray.from_arrays([pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.string()), pa.array(spans, pa.string())], ["counts", "base", "spans"])
 
     return docs.withColumn("_pii", found("text"))

@@ -76,11 +76,11 @@ def find(top: Node, host: str, path: str) -> tuple[str | None, str | None]:
 
 def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of every row's url."""
-    shared = pages.sparkSession.sparkContext.broadcast(build(rules))
+    trie = build(rules)  # at most MAX_RULES rules; Spark broadcasts the function that holds it
 
     @F.pandas_udf("struct<rule string, verdict string>")
     def longest(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        found = [find(shared.value, h, p) for h, p in zip(hosts, paths)]
+        found = [find(trie, h, p) for h, p in zip(hosts, paths)]
         return pd.DataFrame({"rule": [r for r, _ in found], "verdict": [v or default for _, v in found]}, dtype=object)
 
     rest = F.coalesce(F.regexp_extract("url", r"(?s)^.*?://(.*)$", 1), F.lit(""))
