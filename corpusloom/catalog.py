@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import models, pipelines, relations, scalars, scans  # noqa: F401  they register their queries
+from .plans.fixtures import results
+from .plans.register import QUERIES
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return pipelines.clean_ai_results(results(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {}
+    return {name: function for name, (function, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
