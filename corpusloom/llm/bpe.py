@@ -33,7 +33,7 @@ CHUNK, OVERLAP = 32_768, 512
 #: Code points at a chunk's end that a boundary must keep clear of: a match may look so far ahead, and more.
 MARGIN = 8
 #: Distinct pre-tokens that a worker remembers; bytes up to which merging rescans the pre-token instead of keeping a heap.
-MAX_REMEMBERED, SHORT = 200_000, 64
+MAX_REMEMBERED, SHORT = 300_000, 64
 
 
 class Encoder(dict):
@@ -55,14 +55,18 @@ class Encoder(dict):
         return self.merged_short(data) if len(data) <= SHORT else self.merged_long(data)
 
     def merged_short(self, data: bytes) -> tuple[int, ...]:
-        parts = [data[i:i + 1] for i in range(len(data))]
-        none = len(self.ranks)
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
-            if best == none:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.ranks[x] for x in parts)
+        """Merge the leftmost pair of least rank until none is left; only the two pairs beside a merge are looked up again."""
+        get, none = self.ranks.get, len(self.ranks)
+        cuts = list(range(len(data) + 1))
+        pairs = [get(data[i:i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            at = pairs.index(least)
+            del cuts[at + 1], pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(data[cuts[at]:cuts[at + 2]], none)
+            if at:
+                pairs[at - 1] = get(data[cuts[at - 1]:cuts[at + 1]], none)
+        return tuple([self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])])
 
     def merged_long(self, data: bytes) -> tuple[int, ...]:
         """The same merges with a heap of pairs over a linked list of parts."""
