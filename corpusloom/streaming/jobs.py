@@ -59,7 +59,8 @@ def next_lease(held: tuple | None, events: list[tuple[float, str, int]]) -> tupl
 
 
 def lease_states(stream: DataFrame, seconds: int) -> DataFrame:
-    """batch_id, client and state after each batch of events; a lease that hears nothing for so long expires."""
+    """batch_id, client and state after each batch of events; a lease that hears nothing for so long, in time
+    of events, expires."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,10 +71,10 @@ def lease_states(stream: DataFrame, seconds: int) -> DataFrame:
         events = [(float(t.timestamp()), e, int(c)) for part in parts for t, e, c in zip(part["ts"], part["event"], part["client"])]
         held = next_lease(state.get if state.exists else None, events)
         state.update(held)
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int(held[2] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         names = {"assign": "assigned", "submit": "completed", "return": "pending", "none": "pending"}
         yield pd.DataFrame({"batch_id": [key[0]], "client": [held[1]], "state": [names[held[0]]]})
 
-    return stream.groupBy("batch_id").applyInPandasWithState(
-        step, "batch_id long, client long, state string", "event string, client long, ts double", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return stream.withWatermark("ts", "0 seconds").groupBy("batch_id").applyInPandasWithState(
+        step, "batch_id long, client long, state string", "event string, client long, ts double", "append", GroupStateTimeout.EventTimeTimeout
     )
