@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import bound_batches, broadcast_if_small, is_small, materialise, table
 
@@ -50,7 +51,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(x) for x in texts.to_pylist()], np.uint64).view(np.int64))
 
