@@ -65,7 +65,7 @@ def with_copies(docs: DataFrame, seed: str = SEED, salted: bool | None = None, *
     same = docs["source"].eqNullSafe(F.col("_target.source"))
     if salted:
         salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS))
-        targets = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        targets = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = docs.join(targets, same & (salt == F.col("_salt")))
     else:
         joined = docs.join(F.broadcast(targets), same)
