@@ -3,8 +3,9 @@
 A page is parsed into a tree that forgives unclosed and misplaced tags.  Boilerplate by markup (scripts, menus, footers,
 forms, and blocks whose class, id or role names an advert, a menu, comments and so on) is left out.  Every other node
 gets its link-adjusted characters per tag, and the sum of these densities over its children.  The node with the largest
-sum is the main text, widened to the article element around it, if there is one.  Without one, other subtrees count too
-whose density reaches the lowest density on the path from the body to that node.
+sum is the main text, widened to the article or main element around it, if there is one.  Without one, it is widened to
+a block that adds the title and little else, and other subtrees count too whose density reaches the lowest density on the
+path from the body to that node.
 
 Defined cases: null and empty pages and pages without text give an empty text; a page that breaks off counts up to its
 end; markup without a body is its own body; repeated rows give equal texts.
@@ -39,8 +40,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist discussion respond disqus reply replies share sharing social related recommended recommendations widget widgets pagination pager".split()
+    "topnav subnav sidenav mainnav sitenav navmenu menubar sidemenu topmenu rail adbox adslot adunit adsbygoogle advertorial promoted sponsors disclaimer gdprbanner cookiebar "
+    "comment comments commentlist discussion respond responses feedback disqus reply replies share sharing social related recommended recommendations widget widgets pagination pager".split()
 )
+#: Words beside which "header" names that of the page, not of the article.
+PAGE_HEADERS = frozenset("site page top global main header head".split())
 #: An open element that the key's start tag ends, looked for up to one of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -121,8 +125,10 @@ class Tree:
             key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
             if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "role" and value.lower() in ROLES):
                 return True
-            if key in ("class", "id") and name not in ("html", "body", "article", "main") and not NAMES.isdisjoint(w.lower() for w in WORDS.findall(value)):
-                return True
+            if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+                words = {w.lower() for w in WORDS.findall(value)}
+                if not NAMES.isdisjoint(words) or ("header" in words and words <= PAGE_HEADERS and self.within(above, ("article", "main")) is None):
+                    return True
         return False
 
 
@@ -148,6 +154,9 @@ def main_text(page: str | None) -> str:
             up = tree.parent[i]
             for counts, more in ((chars, 0), (tags, 1), (link_chars, 0), (link_tags, 0)):
                 counts[up] += counts[i] + more
+    last = list(range(n))  # nodes are in page order, so a subtree is a range
+    for i in range(n - 1, 0, -1):
+        last[tree.parent[i]] = max(last[tree.parent[i]], last[i])
     body = next((i for i in range(n) if tree.tag[i] == "body" and chars[i] == chars[0]), 0)
     dense = [density(chars[i], tags[i], link_chars[i], link_tags[i], chars[body], link_chars[body]) for i in range(n)]
     sums = [0.0] * n
@@ -155,13 +164,16 @@ def main_text(page: str | None) -> str:
         if not tree.out[i]:
             sums[tree.parent[i]] += dense[i]
     best = max(range(n), key=lambda i: (sums[i] if chars[i] else -1.0, chars[i], i))
-    chosen = {tree.within(best, ("article",)) or best}
-    if tree.tag[next(iter(chosen))] != "article":
+    whole = tree.within(best, ("article",)) or tree.within(best, ("main",))
+    chosen = {whole or best}
+    if whole is None:
+        best = titled(tree, best, chars, link_chars, last)
+        chosen = {best}
         node, lowest = best, dense[best]
         while node not in (body, 0):
             node = tree.parent[node]
             lowest = min(lowest, dense[node])
-        chosen |= {i for i in range(1, n) if chars[i] and dense[i] >= lowest and sums[i] > 0 and not tree.out[i] and i not in (body, 0) and tree.tag[i] != "html" and not above(tree, i, best)}
+        chosen |= {i for i in range(1, n) if chars[i] and dense[i] >= lowest and sums[i] > 0 and not tree.out[i] and i not in (body, 0) and tree.tag[i] != "html" and not i <= best <= last[i]}
         chosen |= {i for i in range(1, n) if tree.tag[i] in ("p", "pre", "blockquote", "h1") and chars[i] and dense[i] >= lowest and not tree.out[i]}
     inside = [False] * n
     for i in range(n):
@@ -173,11 +185,17 @@ def main_text(page: str | None) -> str:
     return "\n".join(filter(None, (" ".join("".join(x).split()) for x in blocks.values())))
 
 
-def above(tree: Tree, node: int, other: int) -> bool:
-    """Whether node is an ancestor of other."""
-    while other > node:
-        other = tree.parent[other]
-    return other == node
+def titled(tree: Tree, best: int, chars: list[int], link_chars: list[int], last: list[int]) -> int:
+    """best, or the nearest node around it that has the page's title and little else besides; last: of each subtree."""
+    titles = [i for i, tag in enumerate(tree.tag) if tag == "h1" and not best <= i <= last[best]]
+    node = best
+    while titles and (node := tree.parent[node]) > 0 and tree.tag[node] not in ("body", "html"):
+        more, links = chars[node] - chars[best], link_chars[node] - link_chars[best]
+        if more > 0.3 * chars[best] or links > 0.3 * more:
+            break
+        if more and any(node < i <= last[node] for i in titles):
+            return node
+    return best
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -155,6 +155,7 @@ PAGES = [
     ("<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>First  part<br>here.</p><p><b>Second<p>Third</article><footer>&copy; x</footer>", "A & B\nFirst part here.\nSecond\nThird"),
     ("<body><div id='comments'><p>I think that this is a long comment of a reader.</p></div><main><header><h1>Title</h1></header><p>Text of the page, long enough.</p><ul><li>one<li>two</ul></main><form>Name</form><aside>Other</aside></body>", "Title\nText of the page, long enough.\none\ntwo"),
     ("<div><div class='content with-sidebar'><h1>Head of it all here</h1><p>Para one is long enough to be read.</p><p>Para two is also long.</p></div><div class=cookie-notice>We use cookies</div></div>", "Head of it all here\nPara one is long enough to be read.\nPara two is also long."),
+    ("<body><div id=header>Site name</div><div id=page><div class=post><div class=post-header><h1>A title of some length</h1></div><div><p>First paragraph, long enough to be read by all.</p><p>Second paragraph, about as long as that.</p></div></div><div class='sideMenu'><a href=a>One</a></div></div>", "A title of some length\nFirst paragraph, long enough to be read by all.\nSecond paragraph, about as long as that."),
     ("<script>var t='</p>';</script>plain <!-- x --> text", "plain text"),
     ("", ""), (None, ""), ("<p>a &lt;b&gt; &#233; &unknown; &am", "a <b> é &unknown; &am"), ("<<>><p", "<<>>"),
 ]
