@@ -67,5 +67,5 @@ def parse_responses(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def scan_source_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """full_path and code of every file below a folder whose name ends with suffix."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return files.select(F.input_file_name().alias("full_path"), F.col("value").alias("code")).where(F.col("full_path").endswith(suffix))

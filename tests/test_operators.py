@@ -83,7 +83,7 @@ def test_neighbours_exact_and_approximate(spark):
     asked = rows.where("vec_id % 50 = 0")
     exact = N.knn_cosine(rows, asked, "vec_id", "v", 10, shard=64)
     whole = N.knn_cosine(rows, asked, "vec_id", "v", 10)
-    assert {tuple(r) for r in exact.collect()} == {tuple(r) for r in whole.collect()} and exact.count() == 60
+    assert {tuple(r) for r in exact.collect()} == {tuple(r) for r in whole.collect()} and exact.count() == 50  # the zero vector takes no part
     assert N.recall(N.knn_cosine_approx(rows, asked, "vec_id", "v", 10), exact).first().recall >= 0.9
 
 
