@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.syntax import sequence_ratio, ted_similarity
 from ..functions.text import draw_key
+from .ledgers import row_ids
 
 #: Query vectors that one block holds; each block visits every vector once.
 BLOCK = 1024
@@ -22,7 +25,7 @@ def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v): vectors of length one; null, empty and zero vectors take no part."""
     v = F.col(vector).cast("array<double>")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select(F.col(key).alias("id"), v.alias("v"), norm.alias("n")).where("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return vectors.select(F.col(key).alias("id"), v.alias("v"), norm.alias("n")).where("n > 0").select("id", F.transform("v", lambda x: x / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("v"))
 
 
 def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, shard: int = 4096) -> DataFrame:
@@ -89,8 +92,6 @@ def uniqueness_score(codes: DataFrame, key: str, nodes: str, k: int, seed: int)
     """
     total = codes.count()
     order = codes.select(F.col(key).alias("id"), F.col(nodes).alias("nodes"), draw_key(seed, F.col(key)).alias("draw"))
-    from .ledgers import row_ids
-
     numbered = row_ids(order, "draw").select("id", "nodes", (F.col("row_id") - 1).alias("no"))
     k = min(k, total)
     step = max(1, total // max(1, k))
@@ -105,8 +106,6 @@ def bag_embedding(width: int = 64):
 
     @F.arrow_udf("array<float>")
     def embedded(nodes: pa.Array) -> pa.Array:
-        import zlib
-
         rows = []
         for names in nodes.to_pylist():
             row = np.bincount([zlib.crc32(x.encode()) % width for x in names or ()], minlength=width).astype(float)
