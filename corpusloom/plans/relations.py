@@ -32,9 +32,9 @@ def join_files_contents(spark, sf_dir):
 RESPONDED = """ok AS (SELECT vec_id, CASE WHEN vec_id % 97 > 0 THEN 'v' || vec_id END AS custom_id, vec_id % 97 = 0 OR vec_id % 10 = 0 AS failed FROM responses)"""
 
 
-@query("SELECT vec_id, ok.failed OR r.custom_id IS NULL AS failed, r.batch_id FROM ok LEFT JOIN requests r USING (custom_id)", RESPONSES, RESPONDED, REQUESTS)
+@query("SELECT vec_id, ok.failed OR r.custom_id IS NULL AS failed, r.batch_id::VARCHAR AS batch_id FROM ok LEFT JOIN requests r USING (custom_id)", RESPONSES, RESPONDED, REQUESTS)
 def join_responses(spark, sf_dir):
-    return L.join_responses(parse_responses(responses(spark, sf_dir)), requests(spark, sf_dir)).select("vec_id", "failed", "batch_id")
+    return L.join_responses(parse_responses(responses(spark, sf_dir)), requests(spark, sf_dir)).select("vec_id", "failed", F.col("batch_id").cast("string").alias("batch_id"))
 
 
 @query("SELECT doc_id AS row_id FROM documents WHERE doc_id % 4 > 0 AND doc_id % 10 > 0 AND doc_id % 15 > 0")

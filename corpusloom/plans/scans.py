@@ -49,12 +49,12 @@ def page_status(spark, sf_dir):
 
 
 @query(
-    """SELECT vec_id, CASE WHEN vec_id % 97 > 0 THEN 'v' || vec_id END AS custom_id, CASE WHEN vec_id % 97 > 0 THEN CASE WHEN vec_id % 10 = 0 THEN 500 ELSE 200 END END::INTEGER AS status,
+    """SELECT vec_id, CASE WHEN vec_id % 97 > 0 THEN 'v' || vec_id END AS custom_id, CASE WHEN vec_id % 97 > 0 THEN CASE WHEN vec_id % 10 = 0 THEN '500' ELSE '200' END END AS status,
     CASE WHEN vec_id % 97 > 0 THEN vec_id + 0.5::DOUBLE END AS first, vec_id % 97 = 0 OR vec_id % 10 = 0 AS failed FROM responses""",
     RESPONSES,
 )
 def scan_jsonl_responses(spark, sf_dir):
-    return scans.parse_responses(responses(spark, sf_dir)).select("vec_id", "custom_id", "status", F.col("embedding")[0].alias("first"), "failed")
+    return scans.parse_responses(responses(spark, sf_dir)).select("vec_id", "custom_id", F.col("status").cast("string").alias("status"), F.col("embedding")[0].alias("first"), "failed")
 
 
 @query("SELECT template, sum(length(code) + 1)::BIGINT AS chars FROM code_files GROUP BY template", CODE_FILES)
