@@ -190,3 +190,29 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert seen[0] == 230 and seen[1] == 230 and 195 <= seen[2] <= 210 and seen[3] == seen[4] > seen[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[-1]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_registered_queries(spark, tmp_path):
+    import duckdb
+
+    urls = ["http://www.example.org/en/12", None, "https://a.com/de/?q", "x"] * 4
+    pages = [(i, urls[i % len(urls)], PAGES[i % len(PAGES)][0]) for i in range(3 * len(PAGES))] + [(2, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=16).tolist(), 0) for i in range(300)] + [(300 + i, rng.normal(size=16).tolist() if i % 2 else None, 0) for i in range(10)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = near_copies(80)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {i: slow_print(t) for i, t in enumerate(texts)}
+    groups = slow_components(prints)
+    for r in simhash.op5_simhash(spark, str(tmp_path)).collect():
+        assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", groups[r.doc_id])
+    for r in html_text.op7_html_text(spark, str(tmp_path)).where("page_id <> 2").collect():
+        assert r.text == PAGES[r.page_id % len(PAGES)][1] and r.n_chars == len(r.text)
+    duck = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for function, sql in ((url_filter.op3_url_filter, url_filter.OP3_SQL), (maxscore.op4_maxscore, maxscore.OP4_SQL), (warc.op6_warc, warc.OP6_SQL)):
+        found = function(spark, str(tmp_path))
+        rows = duck.sql(f"SELECT {', '.join(found.columns)} FROM ({sql})").fetchall()
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, rows)), function.__name__

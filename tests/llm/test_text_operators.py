@@ -226,3 +226,26 @@ def test_empty_tables(spark):
     assert quality.keep_good(none, ids).count() == 0
     assert line_dedup.drop_common_lines(none.withColumn("n_chars", F.lit(0))).count() == 0
     assert bpe.digests(none).count() == 0 and pii.detect(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def test_registered_queries(spark, tokenizer_library, tmp_path):
+    import duckdb
+
+    texts = EDGE + made_texts() + ["mail a@b.de and +1 (017) 555-7713 from 1.2.3.4 by 4644348398010899"]
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for r in quality.op1_quality_rules(spark, str(tmp_path)).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == slow_measures(texts[r.doc_id])
+    for r in bpe.op8_byte_bpe(spark, str(tmp_path)).collect():
+        ids = tokenizer_library.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    for r in pii.op9_pii(spark, str(tmp_path)).collect():
+        want = slow_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and r.n_email + r.n_ip + r.n_card + r.n_phone == len(want)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for function, sql in ((line_dedup.op2_line_dedup, line_dedup.OP2_SQL), (mixing.op10_mix_sources, mixing.OP10_SQL)):
+        found = function(spark, str(tmp_path))
+        rows = duck.sql(f"SELECT {', '.join(found.columns)} FROM ({sql})").fetchall()
+        assert Counter(map(tuple, found.collect())) == Counter(rows), function.__name__
