@@ -20,7 +20,7 @@ from ..operators import similarity as N
 from ..operators import stats as A
 from ..sources.sinks import work_path
 from ..streaming import jobs as J
-from .fixtures import CORPUS, code_files, corpus, leases, results, table
+from .fixtures import CODE_FILES, CORPUS, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
 from .scalars import measured
 
@@ -168,7 +168,7 @@ def echo_model():
     return lambda text: text.split("\n\n", 1)[1]
 
 
-@query(None)
+@query("SELECT id, valid AS ok, NULL::VARCHAR AS error FROM code_files JOIN shapes USING (template)", CODE_FILES, SHAPE_ROWS)
 def enrich_with_model_stub(spark, sf_dir):
     """A stub in a model's place: it returns the prompt's code."""
     rows = code_files(spark, sf_dir).select("id", T.rewrite_prompt(F.col("code")).alias("prompt"))

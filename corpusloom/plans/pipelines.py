@@ -15,7 +15,7 @@ from ..operators import stats as A
 from ..sources.scans import parse_responses
 from .fixtures import CODE_FILES, CORPUS, REQUESTS, RESPONSES, RESULTS, SHAPE_ROWS, code_files, corpus, requests, responses, results
 from .register import query
-from .scalars import COMMENT_FREE, JSON_VALUE, complexity, measured
+from .scalars import JSON_VALUE, REWRITES, complexity, measured
 
 FIELDS = "Body string, AiAnswer string, model_used string, Score string, Title string"
 
@@ -69,12 +69,20 @@ def clean_ai_results_query(spark, sf_dir):
     return clean_ai_results(results(spark, sf_dir))
 
 
-@query(None)
+TRUTHY = "coalesce(nullif(nullif({j}, ''), '0'), nullif(nullif({c}, ''), '0'))"
+QUESTION = ", ".join(f"{TRUTHY.format(j=JSON_VALUE.format(n), c=n)} AS {n}" for n in ("Body", "AiAnswer", "model_used", "Title"))
+
+
+@query(
+    f"SELECT id, Body, AiAnswer, CASE model_used WHEN 'gpt-4o' THEN 'gpt-4o-2024-11-20' WHEN 'gpt-4o-mini' THEN 'gpt-4o-mini-2024-07-18' WHEN 'Llama-3-3-70B-Instruct' THEN 'Llama-3.3-70B-Instruct' ELSE model_used END AS ModelUsed, Title "
+    f"FROM (SELECT id, {QUESTION} FROM results WHERE (success = 'true') IS NOT FALSE) WHERE Body IS NOT NULL AND AiAnswer IS NOT NULL AND model_used IS NOT NULL AND Title IS NOT NULL",
+    RESULTS,
+)
 def clean_question_results_query(spark, sf_dir):
     return clean_question_results(results(spark, sf_dir))
 
 
-@query(None)
+@query("SELECT id, 'x = 1' AS original, CASE n % 3 WHEN 0 THEN 'x = ' || n ELSE 'y = ' || n END AS rewritten, 'gpt-4o-mini-2024-07-18' AS model_used, full_path FROM rewrites WHERE reason = 'kept'", RESULTS, REWRITES)
 def clean_rewrite_pairs(spark, sf_dir):
     return rewrite_pairs(results(spark, sf_dir)).where("reason = 'kept'").drop("reason")
 

@@ -14,7 +14,7 @@ from ..sources.scans import parse_responses
 from .fixtures import CODE_FILES, CORPUS, LEASES, LEDGERS, PREDICTIONS, REQUESTS, RESPONSES, RESULTS, SHAPE_ROWS, TRIALS
 from .fixtures import code_files, corpus, leases, ledgers, predictions, requests, responses, results, table, trials
 from .register import query
-from .scalars import COMMENT_FREE, complexity, measured
+from .scalars import COMMENT_FREE, REWRITES, complexity, measured
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 
@@ -144,7 +144,7 @@ def complexity_summary(spark, sf_dir):
     return found.select("n", "n_complex", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
-@query(None)
+@query("SELECT reason, count(*) AS n FROM rewrites GROUP BY reason", RESULTS, REWRITES)
 def skip_reasons(spark, sf_dir):
     from .pipelines import rewrite_pairs
 

@@ -183,14 +183,23 @@ def point_ids(spark, sf_dir):
     return corpus(spark, sf_dir).select("row_id", F.substring(F.sha2("code", 256), 1, 32).alias("point_id"))
 
 
-@query("SELECT id, json_extract_string(data, '$.full_path') AS full_path, CASE WHEN NOT json_valid(data) OR data IS NULL THEN 'error' WHEN json_exists(data, '$.success') AND coalesce(json_extract_string(data, '$.success') <> 'true', true) THEN 'success=False' WHEN n % 3 = 2 THEN 'no code' ELSE 'kept' END AS reason, 'gpt-4o-mini-2024-07-18' AS model FROM (SELECT id, n, CASE WHEN json_valid(data) THEN data END AS data FROM results)", RESULTS)
+REWRITES = """rewrites AS (SELECT id, n, json_extract_string(data, '$.full_path') AS full_path, CASE WHEN NOT json_valid(data) OR data IS NULL THEN 'error'
+  WHEN json_exists(data, '$.success') AND coalesce(json_extract_string(data, '$.success') <> 'true', true) THEN 'success=False' WHEN n % 3 = 2 THEN 'no code' ELSE 'kept' END AS reason
+  FROM (SELECT id, n, CASE WHEN json_valid(data) THEN data END AS data FROM results))"""
+
+
+@query("SELECT id, full_path, reason, 'gpt-4o-mini-2024-07-18' AS model FROM rewrites", RESULTS, REWRITES)
 def json_rewrite_pairs(spark, sf_dir):
     from .pipelines import rewrite_pairs
 
     return rewrite_pairs(results(spark, sf_dir)).select("id", "full_path", "reason", F.lit("gpt-4o-mini-2024-07-18").alias("model"))
 
 
-@query(None)
+@query(
+    "SELECT id, CASE WHEN answer NOT LIKE '%f(:%' THEN trim(coalesce(nullif(regexp_extract(answer, '(?s)```(?:python)?(.*?)```', 1), ''), answer), ' ' || chr(10)) END AS code FROM "
+    f"(SELECT id, {JSON_VALUE.format('AiAnswer')} AS answer FROM results)",
+    RESULTS,
+)
 def extract_answer_code(spark, sf_dir):
     rows = results(spark, sf_dir).select("id", F.from_json("data", "AiAnswer string")["AiAnswer"].alias("answer"))
     return rows.select("id", S.extract_answer("answer").alias("code"))
