@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import work_path
+
 
 def processed(*ledgers: DataFrame) -> DataFrame:
     """Distinct keys of all ledgers."""
@@ -79,13 +81,16 @@ def assign_workers(rows: DataFrame, number: str, workers: int, per_worker: int)
     return rows.withColumn("round_robin", F.pmod(F.col(number), F.lit(workers))).withColumn("ranged", ranged)
 
 
-def row_ids(df: DataFrame, order: str) -> DataFrame:
-    """``row_id`` from 1 in the order of a unique key: sorted ranges, their counts, and positions within them, so that no
-    task holds more than its range."""
+def row_ids(df: DataFrame, *order: str | Column, name: str = "row_id") -> DataFrame:
+    """``name``: numbers from 1 in an order that tells all rows apart: sorted ranges, their counts, and positions within them, so
+    that no task holds more than its range.  The ranges are written first, for both readers must see the same."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_part", F.spark_partition_id())
+    path = work_path(spark, "ranges")
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     numbered = ranged.withColumn("_within", within).join(F.broadcast(before), "_part")  # a row for each range
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_within")).alias("row_id"))
+    return numbered.select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ledgers import row_ids
+
 
 def dedup_rows(df: DataFrame, keys: list[str], order: str, keep: str | None = "first") -> DataFrame:
     """One row for each key, the first or last by order; keep None: only rows whose key is theirs alone.
@@ -43,9 +45,8 @@ def quantile_bins(df: DataFrame, value: Column, name: str, q: int = 10, by: list
 
 
 def top_percent(df: DataFrame, score: str, tie: str, percent: float) -> DataFrame:
-    """The best int(n * percent / 100) rows; ties keep the earlier."""
-    k = int(df.count() * percent / 100)
-    return df.orderBy(F.desc(score), tie).limit(k)
+    """The best int(n * percent / 100) rows; ties keep the earlier.  Numbered over ranges, as k grows with the table."""
+    return row_ids(df, F.desc(score), tie, name="_number").where(F.col("_number") <= int(df.count() * percent / 100)).drop("_number")
 
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int, name: str = "rank") -> DataFrame:

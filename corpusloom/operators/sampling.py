@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import draw_key
+from .ledgers import row_ids
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -20,9 +20,14 @@ def sample_percent(df: DataFrame, key: str, percent: float, seed: int) -> DataFr
 
 
 def placed(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
-    """df with ``_place`` in its group's seeded order, from 1, and ``_size`` of the group."""
-    order = W.partitionBy(*by).orderBy(draw_key(seed, F.col(key)), key)
-    return df.withColumn("_place", F.row_number().over(order)).withColumn("_size", F.count("*").over(W.partitionBy(*by)))
+    """df with ``_place`` in its group's seeded order, from 1, and ``_size`` of the group.
+
+    All rows are numbered by group and draw over ranges, so a group with most of the rows is spread over many tasks.
+    """
+    numbered = row_ids(df.withColumn("_draw", draw_key(seed, F.col(key))), *by, "_draw", key, name="_number")
+    groups = numbered.groupBy(*by).agg(F.min("_number").alias("_first"), F.count("*").alias("_size"))
+    joined = numbered.join(F.broadcast(groups), by)  # a row for each class or stratum
+    return joined.select(*df.columns, (F.col("_number") - F.col("_first") + 1).alias("_place"), "_size")
 
 
 def balance_classes(df: DataFrame, by: str, key: str, seed: int) -> DataFrame:
