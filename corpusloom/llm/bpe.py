@@ -4,7 +4,8 @@ Texts of up to CHUNK code points are pre-tokenised and encoded where they lie.
 chunks: the chunks are pre-tokenised in parallel, two neighbours are stitched at the first position in their overlap
 that is a pre-token boundary of both (the pattern never looks back, so from there on both streams agree), and the pieces
 between the stitches are encoded in parallel and joined in order.  A text whose chunks never agree, such as one endless
-word, is encoded in one piece.  Decoding concatenates the tokens' raw bytes.
+word, is encoded in one piece.  The merges within a piece are the tokenizer library's; decoding concatenates the tokens'
+raw bytes.
 
 The rank file is a parameter; the driver reads it once and broadcasts it (its size is that of the vocabulary).
 
@@ -15,13 +16,12 @@ tokens are ordinary text; repeated rows are encoded alike.  Extra columns pass t
 from __future__ import annotations
 
 import base64
-import heapq
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,80 +32,35 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 512
 #: Code points at a chunk's end that a boundary must keep clear of: a match may look so far ahead, and more.
 MARGIN = 8
-#: Distinct pre-tokens that a worker remembers; bytes up to which merging rescans the pre-token instead of keeping a heap.
-MAX_REMEMBERED, SHORT = 300_000, 64
 
 
-class Encoder(dict):
-    """The ids of each pre-token, remembered; ranks: bytes of every token to its id."""
+class Encoder:
+    """One vocabulary: boundaries of pre-tokens, ids of a piece of text, bytes of ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        super().__init__()
-        self.ranks, self.split = ranks, regex.compile(pattern)
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MAX_REMEMBERED:
-            self.clear()
-        self[piece] = ids = self.merged(piece.encode("utf-8", "surrogatepass"))
-        return ids
-
-    def merged(self, data: bytes) -> tuple[int, ...]:
-        if data in self.ranks:
-            return (self.ranks[data],)
-        return self.merged_short(data) if len(data) <= SHORT else self.merged_long(data)
-
-    def merged_short(self, data: bytes) -> tuple[int, ...]:
-        """Merge the leftmost pair of least rank until none is left; only the two pairs beside a merge are looked up again."""
-        get, none = self.ranks.get, len(self.ranks)
-        cuts = list(range(len(data) + 1))
-        pairs = [get(data[i:i + 2], none) for i in range(len(data) - 1)]
-        while pairs and (least := min(pairs)) < none:
-            at = pairs.index(least)
-            del cuts[at + 1], pairs[at]
-            if at < len(pairs):
-                pairs[at] = get(data[cuts[at]:cuts[at + 2]], none)
-            if at:
-                pairs[at - 1] = get(data[cuts[at - 1]:cuts[at + 1]], none)
-        return tuple([self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])])
-
-    def merged_long(self, data: bytes) -> tuple[int, ...]:
-        """The same merges with a heap of pairs over a linked list of parts."""
-        n = len(data)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = end[i]
-            if j < n and (rank := self.ranks.get(data[i:end[j]])) is not None:
-                heapq.heappush(heap, (rank, i, end[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != stop:
-                continue
-            j = end[i]
-            alive[j], end[i] = False, stop
-            if stop < n:
-                before[stop] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return tuple(self.ranks[data[i:end[i]]] for i in range(n) if alive[i])
-
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split.findall(text or ""))))
+        self.split = regex.compile(pattern)
+        self.merges = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.tokens = sorted(ranks, key=ranks.__getitem__)
 
     def boundaries(self, text: str) -> list[int]:
         return [m.start() for m in self.split.finditer(text)]
 
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.array(self.merges.encode_ordinary(text or ""), np.int32)
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
+def id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
+
+
 class Tokenizer:
     """The functions of one vocabulary on Spark; workers build their tables from the broadcast file once."""
 
@@ -132,45 +87,32 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            rows = [np.array(encoder().encode(x), np.int32) for x in texts.to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)])))
+            return id_lists([encoder().encode(x) for x in texts.to_pylist()])
 
         return ids(text)
 
     def bytes_of(self, ids):
         """Column of the bytes that ids stand for."""
-        tokens = self.tokens()
+        encoder = self.made()
 
         @F.arrow_udf("binary")
         def raw(rows: pa.Array) -> pa.Array:
-            return pa.array([b"".join(map(tokens().__getitem__, x or ())) for x in rows.to_pylist()], pa.binary())
+            return pa.array([encoder().decode(x or ()) for x in rows.to_pylist()], pa.binary())
 
         return raw(ids)
 
     def both_of(self, text):
         """Column of the ids of whole texts and of the bytes that these decode to, in one pass."""
-        encoder, tokens = self.made(), self.tokens()
+        encoder = self.made()
 
         @F.arrow_udf("struct<ids: array<int>, raw: binary>")
         def both(texts: pa.Array) -> pa.Array:
             rows = [encoder().encode(x) for x in texts.to_pylist()]
-            raw = pa.array([b"".join(map(tokens().__getitem__, x)) for x in rows], pa.binary())
-            return pa.StructArray.from_arrays([pa.array(rows, pa.list_(pa.int32())), raw], ["ids", "raw"])
+            raw = pa.array([encoder().decode(x.tolist()) for x in rows], pa.binary())
+            return pa.StructArray.from_arrays([id_lists(rows), raw], ["ids", "raw"])
 
         return both(text)
 
-    def tokens(self):
-        """A function that returns the worker's list of token bytes by id."""
-        file, own = self.file, []
-
-        def by_id() -> list[bytes]:
-            if not own:
-                own.extend(sorted(ranks := parse_ranks(file.value), key=ranks.__getitem__))
-            return own
-
-        return by_id
-
     def encode(self, docs: DataFrame) -> DataFrame:
         """docs with ``_ids``, the token ids of each row's text."""
         short, rest = self.parted(docs)
@@ -213,7 +155,7 @@ class Tokenizer:
         @F.arrow_udf("array<int>")
         def piece_ids(parts: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
             rows = zip(parts.to_pylist(), first.to_pylist(), last.to_pylist())
-            return pa.array([encoder().encode(p[a:b]) for p, a, b in rows], pa.list_(pa.int32()))
+            return id_lists([encoder().encode(p[a:b]) for p, a, b in rows])
 
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         chunks = texts.mapInArrow(chunked, "_text string, no long, at long, part string, more boolean").repartition(n, "_text", "no")

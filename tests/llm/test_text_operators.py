@@ -145,6 +145,24 @@ def test_bpe_equals_the_tokenizer_library(spark, tokenizer_library, chunks):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_bpe_ids_are_those_of_the_merge_rule():
+    """Merge the leftmost pair of least rank in each pre-token until none is left."""
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as file:
+        ranks = bpe.parse_ranks(file.read())
+    encoder, rng = bpe.Encoder(ranks), random.Random(6)
+    for text in ["".join(rng.choices("theanrs é'll 12\n漢", k=60)) for _ in range(40)] + EDGE[1:6]:
+        want = []
+        for piece in encoder.split.findall(text[:300]):
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+                if rank == 1 << 30:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            want += [ranks[x] for x in parts]
+        assert encoder.encode(text[:300]).tolist() == want and encoder.decode(want).decode() == text[:300]
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
