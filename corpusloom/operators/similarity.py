@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.syntax import sequence_ratio, ted_similarity
 from ..functions.text import draw_key
+from ..sources.sinks import work_path, write_parquet
 from .ledgers import row_ids
 
+#: Partners of each code in a uniqueness score, or all if there are fewer.
+PARTNERS = 1000
+#: Row numbers and node sequences that may be broadcast; more are joined by a shuffle.
+NUMBERS, SEQUENCES = 500_000, 10_000
 #: Query vectors that one block holds; each block visits every vector once.
 BLOCK = 1024
 
@@ -85,20 +90,31 @@ def ted_rerank(pairs: DataFrame) -> DataFrame:
 
 
 def uniqueness_score(codes: DataFrame, key: str, nodes: str, k: int, seed: int) -> DataFrame:
-    """1 - mean similarity of each node sequence to k of all sequences, drawn by a seeded digest.
+    """1 - mean similarity of each node sequence to min(k, n) of all n, drawn without replacement; a row may draw itself.
 
-    Rows are numbered in the digest's order; a row meets the k rows that follow it in k // STEP distant runs, so the join
-    is one of n * k rows on the number, and only ids and sequences are shuffled.
+    Rows are numbered in the order of a seeded digest, and each draws its partners' numbers by its own digest.  Partners
+    with equal sequences are counted before sequences are joined, so that each of these is compared once for a row.
     """
-    total = codes.count()
     order = codes.select(F.col(key).alias("id"), F.col(nodes).alias("nodes"), draw_key(seed, F.col(key)).alias("draw"))
-    numbered = row_ids(order, "draw").select("id", "nodes", (F.col("row_id") - 1).alias("no"))
-    k = min(k, total)
-    step = max(1, total // max(1, k))
-    partners = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(0, k - 1))), lambda i: F.pmod(F.col("no") + i * step, F.lit(max(1, total)))))
-    left = numbered.select("id", F.col("nodes").alias("a"), partners.alias("no"))
-    pairs = left.join(numbered.select("no", F.col("nodes").alias("b")), "no").select("id", sequence_ratio("a", "b").alias("ratio"))
-    return pairs.groupBy("id").agg((1 - F.avg("ratio")).alias("uniqueness"))
+    numbered = row_ids(order, "draw", "id").select("id", "nodes", "draw", (F.col("row_id") - 1).alias("no"))
+    numbered = write_parquet(numbered.withColumn("seq", F.unhex(F.md5(F.concat_ws("\n", "nodes")))), work_path(codes.sparkSession, "numbered"))
+    total = numbered.count()
+    many = min(k, total)
+
+    @F.arrow_udf("array<long>")
+    def partners(draws: pa.Array) -> pa.Array:
+        return pa.array([np.random.default_rng(int(x, 16)).choice(total, many, replace=False, shuffle=False) for x in draws.to_pylist()], pa.list_(pa.int64()))
+
+    small = lambda df, rows: F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    kinds = numbered.groupBy("seq").agg(F.first("nodes").alias("nodes"))
+    drawn = numbered.repartition("id").select("id", F.col("seq").alias("a"), F.explode(partners("draw")).alias("no"))
+    met = drawn.join(small(numbered.select("no", F.col("seq").alias("b")), NUMBERS), "no").groupBy("id", "a", "b").agg(F.count("*").alias("times"))
+    pairs = met
+    for side in ("a", "b"):
+        pairs = pairs.join(small(kinds.select(F.col("seq").alias(side), F.col("nodes").alias(f"{side}_nodes")), SEQUENCES), side)
+    rated = pairs.select("id", "times", sequence_ratio("a_nodes", "b_nodes").alias("ratio"))
+    mean = F.sum(F.col("times") * F.col("ratio")) / F.sum("times")
+    return rated.groupBy("id").agg(F.round(1 - mean, 12).alias("uniqueness"))  # sums in any order are alike
 
 
 def bag_embedding(width: int = 64):

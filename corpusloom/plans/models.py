@@ -114,7 +114,7 @@ def ted_rerank(spark, sf_dir):
 @query(None)
 def uniqueness_score(spark, sf_dir):
     rows = measured(spark, sf_dir).where("m.valid").select("id", "m.nodes")
-    return N.uniqueness_score(rows, "id", "nodes", 10, 42)
+    return N.uniqueness_score(rows, "id", "nodes", N.PARTNERS, 42)
 
 
 def vocabulary(sequences: DataFrame, order: str, nodes: str = "nodes") -> DataFrame:

@@ -117,7 +117,7 @@ def build_unique_blocks(spark, sf_dir):
 def most_unique_code(spark, sf_dir):
     metrics = measured(spark, sf_dir)
     hard = complexity(metrics).where("complex").select("id")
-    scored = N.uniqueness_score(metrics.select("id", "m.nodes").join(hard, "id", "left_semi"), "id", "nodes", 10, 42)
+    scored = N.uniqueness_score(metrics.select("id", "m.nodes").join(hard, "id", "left_semi"), "id", "nodes", N.PARTNERS, 42)
     return R.top_percent(scored, "uniqueness", "id", 90)
 
 

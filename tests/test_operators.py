@@ -93,6 +93,17 @@ def test_uniqueness_is_between_its_bounds(spark):
     assert len(got) == 40 and all(0 <= r.uniqueness <= 1 for r in got)
 
 
+def test_uniqueness_meets_all_rows_or_a_fair_draw(spark):
+    rows = spark.createDataFrame([(i, ["A"] * (i + 1)) for i in range(12)], "id int, nodes array<string>")
+    ratio = lambda i, j: 2 * (min(i, j) + 1) / (i + j + 2)
+    want = {i: 1 - sum(ratio(i, j) for j in range(12)) / 12 for i in range(12)}
+    got = {r.id: r.uniqueness for r in N.uniqueness_score(rows, "id", "nodes", 1000, 1).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and N.PARTNERS == 1000
+    unlike = spark.createDataFrame([(i, [f"N{i}"]) for i in range(100)], "id int, nodes array<string>")
+    selves = [r.uniqueness for r in N.uniqueness_score(unlike, "id", "nodes", 10, 1).collect()]
+    assert set(selves) == {0.9, 1.0} and selves.count(0.9) < 30  # a row meets itself by chance only
+
+
 def test_sinks_give_back_what_they_wrote(spark):
     df = spark.range(90).select("id", F.lit(None).cast("string").alias("x"))
     path = sinks.work_path(spark, "t")
