@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.syntax import sequence_ratio, ted_similarity
+from ..functions.syntax import ratio_of, sequence_ratio, ted_similarity
 from ..functions.text import draw_key
 from ..sources.sinks import work_path, write_parquet
 from .ledgers import row_ids
@@ -24,6 +24,8 @@ PARTNERS = 1000
 NUMBERS, SEQUENCES = 500_000, 10_000
 #: Query vectors that one block holds; each block visits every vector once.
 BLOCK = 1024
+#: The same, where a cell gives back every pair.
+PAIR_BLOCK = 128
 
 
 def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -33,18 +35,23 @@ def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).alias("id"), v.alias("v"), norm.alias("n")).where("n > 0").select("id", F.transform("v", lambda x: x / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("v"))
 
 
-def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, shard: int = 4096) -> DataFrame:
-    """query_id, vec_id, cosine and rank of each query's k nearest vectors, itself excluded, ties to the smaller id.
+def cells(asked: DataFrame, base: DataFrame, shard: int, block: int = BLOCK):
+    """Both sides grouped into cells, in which each block of queries meets each shard of the base once; both have an id."""
+    shards, blocks = max(1, -(-base.count() // shard)), max(1, -(-asked.count() // block))
+    all_of = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", all_of(shards))
+    right = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", all_of(blocks))
+    return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard"))
+
+
+def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, shard: int = 4096, own: bool = False) -> DataFrame:
+    """query_id, vec_id, cosine and rank of each query's k nearest vectors, ties to the smaller id; own: with the vector of
+    the query's id, else without.
 
     Blocks of queries meet shards of vectors in cells of bounded size; each cell multiplies two matrices and keeps its
     k best for each query, and the cells are merged.
     """
     base, asked = normalised(vectors, key, vector), normalised(queries, key, vector)
-    n, m = base.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-m // BLOCK))
-    all_of = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", all_of(shards))
-    right = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", all_of(blocks))
 
     def nearest(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
@@ -53,18 +60,31 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
         scores = np.stack(asked["v"].to_numpy()) @ np.stack(held["v"].to_numpy()).T
         out = []
         for i, row in enumerate(scores):
-            row = np.where(held_ids == ids[i], -np.inf, np.round(row, 9))
+            row = np.round(row, 9) if own else np.where(held_ids == ids[i], -np.inf, np.round(row, 9))
             at = np.lexsort((held_ids, -row))[:k]
             at = at[row[at] > -np.inf]
             out.append(pd.DataFrame({"query_id": ids[i], "vec_id": held_ids[at], "cosine": row[at]}))
         return pd.concat(out)
 
-    cells = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard"))
-    found = cells.applyInPandas(nearest, "query_id long, vec_id long, cosine double")
+    found = cells(asked, base, shard).applyInPandas(nearest, "query_id long, vec_id long, cosine double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pair_ratios(codes: DataFrame, queries: DataFrame, key: str, nodes: str, shard: int = 4096) -> DataFrame:
+    """query_id, match_id and ratio of the node sequences of every query and every code; equal pairs are compared once in a cell."""
+    base, asked = (x.select(F.col(key).alias("id"), F.col(nodes).alias("nodes")) for x in (codes, queries))
+
+    def rated(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        kinds = [{}, {}]
+        at = [[own.setdefault(tuple(x) if x is not None else (), len(own)) for x in side["nodes"]] for own, side in zip(kinds, (asked, held))]
+        table = np.array([[ratio_of(x, y) for y in kinds[1]] for x in kinds[0]], float).reshape(len(kinds[0]), len(kinds[1]))
+        ratios = table[np.ix_(*[np.array(x, np.int64) for x in at])].ravel()
+        return pd.DataFrame({"query_id": np.repeat(asked["id"].to_numpy(), len(held)), "match_id": np.tile(held["id"].to_numpy(), len(asked)), "ratio": ratios})
+
+    return cells(asked, base, shard, PAIR_BLOCK).applyInPandas(rated, "query_id long, match_id long, ratio double")
+
+
 def knn_cosine_approx(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, width: float = 1.0, tables: int = 8) -> DataFrame:
     """As knn_cosine, over the pairs that random projections of the normalised vectors put into one bucket."""
     base, asked = (normalised(x, key, vector).select("id", array_to_vector("v").alias("features")) for x in (vectors, queries))

@@ -87,18 +87,30 @@ def rank_histogram(spark, sf_dir):
     return A.rank_histogram(originals(spark, sf_dir))
 
 
+def distinct_codes(spark, sf_dir) -> DataFrame:
+    """Each distinct code under its smallest id."""
+    return code_files(spark, sf_dir).groupBy("code").agg(F.min("id").alias("id"))
+
+
 def code_pairs(spark, sf_dir) -> DataFrame:
-    """Each distinct code of every fiftieth key with all distinct codes of its key's hundred."""
-    codes = code_files(spark, sf_dir).groupBy("code").agg(F.min("id").alias("id")).withColumn("key", F.floor(F.col("id") % 200 / 20))
-    asked = codes.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), F.col("code").alias("query_code"), "key")
-    return asked.join(codes.select(F.col("id").alias("match_id"), F.col("code").alias("match_code"), "key"), "key").withColumn("rank", F.col("match_id")).drop("key")
+    """Each distinct code of every fiftieth id with its 100 nearest of all distinct codes, and their rank."""
+    parsed = distinct_codes(spark, sf_dir).withColumn("m", S.syntax_metrics("code")).where("m.valid")
+    embedded = parsed.select("id", N.bag_embedding()("m.nodes").alias("v"))
+    found = N.knn_cosine(embedded, embedded.where(F.col("id") % EVERY == 0), "id", "v", 100)
+    return with_codes(found, parsed, parsed)
+
+
+def with_codes(found: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of neighbours with the codes of both sides, as ted_rerank takes them."""
+    left, right = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")), held.select(F.col("id").alias("vec_id"), F.col("code").alias("match_code"))
+    return found.join(left, "query_id").join(right, "vec_id").select("query_id", F.col("vec_id").alias("match_id"), "query_code", "match_code", "rank")
 
 
 @query(None)
 def pair_similarity(spark, sf_dir):
-    nodes = measured(spark, sf_dir).select("code", "m.nodes").dropDuplicates(["code"])
-    pairs = code_pairs(spark, sf_dir).join(nodes.withColumnsRenamed({"code": "query_code", "nodes": "a"}), "query_code").join(nodes.withColumnsRenamed({"code": "match_code", "nodes": "b"}), "match_code")
-    return pairs.select("query_id", "match_id", S.sequence_ratio("a", "b").alias("ratio"))
+    """Each distinct code of every fiftieth id against all distinct codes; 0 if one does not parse."""
+    codes = distinct_codes(spark, sf_dir).select("id", S.syntax_metrics("code").alias("m")).select("id", "m.nodes")
+    return N.pair_ratios(codes, codes.where(F.col("id") % EVERY == 0), "id", "nodes")
 
 
 @query(None)

@@ -43,3 +43,18 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_code_pairs_meet_all_codes_or_the_nearest(spark):
+    from corpusloom.plans import models as M
+
+    codes = M.distinct_codes(spark, DATA).cache()
+    asked = codes.where("id % 50 = 0").count()
+    pairs = entry.queries()["pair_similarity"](spark, DATA)
+    assert pairs.count() == pairs.select("query_id", "match_id").distinct().count() == asked * codes.count()
+    a, b = (codes.select(codes.id.alias(f"{x}_id"), M.S.syntax_metrics("code")["nodes"].alias(x)) for x in ("query", "match"))
+    plain_ratio = pairs.where("match_id % 29 = 0").join(a, "query_id").join(b, "match_id").where(M.F.abs(M.S.sequence_ratio("query", "match") - M.F.col("ratio")) > 1e-12)
+    assert plain_ratio.count() == 0
+    parsed = codes.where(M.S.is_valid_code("code"))
+    ranked = entry.queries()["ted_rerank"](spark, DATA).groupBy("query_id").count().collect()
+    assert len(ranked) == parsed.where("id % 50 = 0").count() and {r["count"] for r in ranked} == {min(100, parsed.count() - 1)}
