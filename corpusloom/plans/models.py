@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import syntax as S
 from ..functions import text as T
-from ..functions.syntax import parse
+from ..functions.syntax import parse, renamed
 from ..operators import ranks as R
 from ..operators import similarity as N
 from ..operators import stats as A
-from ..sources.sinks import work_path
+from ..sources.sinks import work_path, write_parquet
 from ..streaming import jobs as J
 from .fixtures import CODE_FILES, CORPUS, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
@@ -180,6 +180,11 @@ def echo_model():
     return lambda text: text.split("\n\n", 1)[1]
 
 
+def renaming_model():
+    """A stub that rewrites the prompt's code by renaming its variables."""
+    return lambda text: renamed(text.split("\n\n", 1)[1])
+
+
 @query("SELECT id, valid AS ok, NULL::VARCHAR AS error FROM code_files JOIN shapes USING (template)", CODE_FILES, SHAPE_ROWS)
 def enrich_with_model_stub(spark, sf_dir):
     """A stub in a model's place: it returns the prompt's code."""
@@ -235,18 +240,24 @@ def score_files(spark, sf_dir):
     return model.transform(rows).select("id", "block", F.col("prediction").cast("int").alias("class"), chance[0].alias("p_ai"), chance[1].alias("p_human"))
 
 
+def ranked_originals(spark, sf_dir) -> DataFrame:
+    """Each distinct code of every fiftieth id as query, and the rank of that code among the neighbours of its rewrite,
+    re-ordered by trees; -1 if it is not among them or the rewrite failed."""
+    codes = distinct_codes(spark, sf_dir).where(S.is_valid_code("code"))
+    prompts = codes.where(F.col("id") % EVERY == 0).select("id", T.rewrite_prompt(F.col("code")).alias("prompt"))
+    rewrites = write_parquet(enrich_with_model(prompts, "prompt", renaming_model).select("id", F.col("answer").alias("code"), "ok"), work_path(spark, "rewrites"))
+    words = F.regexp_extract_all("code", F.lit("[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]"), 0)
+    base, asked = (x.select("id", N.bag_embedding(256)(words).alias("v")) for x in (codes, rewrites.where("ok")))
+    found = with_codes(N.knn_cosine(base, asked, "id", "v", 100, own=True), rewrites, codes)
+    queries = rewrites.select(F.col("id").alias("query_id"))
+    ranked = queries.join(N.ted_rerank(found), "query_id", "left")
+    return R.rank_of(ranked, "query_id", F.col("match_id") == F.col("query_id"), "rank")
+
+
 @query(None)
 def rewrite_retrieval_eval(spark, sf_dir):
-    """Rewrite code, embed it, find neighbours, re-rank by trees, and rate the rank of the original."""
-    codes = code_files(spark, sf_dir).groupBy("code").agg(F.min("id").alias("id"))
-    parsed = codes.withColumn("m", S.syntax_metrics("code")).where("m.valid")
-    embedded = parsed.select("id", "code", N.bag_embedding()("m.nodes").alias("v"))
-    found = N.knn_cosine(embedded, embedded.where(F.col("id") % EVERY == 0), "id", "v", 100)
-    texts = codes.select("id", "code")
-    pairs = found.join(texts.withColumnsRenamed({"id": "query_id", "code": "query_code"}), "query_id").join(texts.withColumnsRenamed({"id": "vec_id", "code": "match_code"}), "vec_id")
-    ranked = N.ted_rerank(pairs.select("query_id", F.col("vec_id").alias("match_id"), "query_code", "match_code", "rank"))
-    near = F.abs(F.col("match_id") - F.col("query_id")) == 8  # the neighbour from the same template
-    return A.retrieval_stats(R.rank_of(ranked, "query_id", near, "rank"))
+    """Rewrite code, embed its words, find neighbours, re-rank by trees, and rate the rank of the original."""
+    return A.retrieval_stats(ranked_originals(spark, sf_dir))
 
 
 # Streams; each runs all there is in a bounded run and returns its table.

@@ -58,3 +58,11 @@ def test_code_pairs_meet_all_codes_or_the_nearest(spark):
     parsed = codes.where(M.S.is_valid_code("code"))
     ranked = entry.queries()["ted_rerank"](spark, DATA).groupBy("query_id").count().collect()
     assert len(ranked) == parsed.where("id % 50 = 0").count() and {r["count"] for r in ranked} == {min(100, parsed.count() - 1)}
+
+
+def test_every_rewrite_has_its_original(spark):
+    from corpusloom.plans import models as M
+
+    asked = {r.id for r in M.distinct_codes(spark, DATA).where("id % 50 = 0").where(M.S.is_valid_code("code")).collect()}
+    ranks = {r.query_id: r["rank"] for r in M.ranked_originals(spark, DATA).collect()}
+    assert set(ranks) == asked and all(0 < r <= 100 for r in ranks.values())
