@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, table
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute, consumed whole: its name, then a quoted or bare value.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"?|'([^']*)'?|([^\s>"'][^\s>]*)?))?""")
 #: Words of a class or id, not those after has-, with- or no-.
 WORDS = re.compile(r"(?:(?:has|with|without|no)[-_]?[A-Za-z]+)|([A-Z]?[a-z]+|[A-Z]+)")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +54,14 @@ ENDS = {
 SCOPES = frozenset("article aside body div footer form header main nav section table td th blockquote li html".split())
 
 
+def named(attributes: str) -> dict[str, str]:
+    """Values by names; of attributes that repeat a name the first counts."""
+    out: dict[str, str] = {}
+    for found in ATTRIBUTE.finditer(attributes):
+        out.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")
+    return out
+
+
 class Tree:
     """Nodes in page order: parent, tag, whether left out; and the pieces of text with their node and block."""
 
@@ -121,8 +130,7 @@ class Tree:
         """Whether markup says that the element is not part of the article."""
         if name in DROPPED or (name == "header" and self.within(above, ("article", "main")) is None):
             return True
-        for found in ATTRIBUTE.finditer(attributes) if attributes else ():
-            key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        for key, value in named(attributes).items() if attributes else ():
             if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "role" and value.lower() in ROLES):
                 return True
             if key in ("class", "id") and name not in ("html", "body", "article", "main"):

@@ -216,3 +216,15 @@ def test_registered_queries(spark, tmp_path):
         found = function(spark, str(tmp_path))
         rows = duck.sql(f"SELECT {', '.join(found.columns)} FROM ({sql})").fetchall()
         assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, rows)), function.__name__
+
+
+@pytest.mark.parametrize("attribute", ['href="/hidden-gems"', 'title="A hidden gem"', 'data-s="hidden"', 'onload="x.hidden=true"', 'href="/p?id=share&x=1"', "data-a='class=\"menu\"'", 'data-style="display:none"', "alt=hidden", "href=/a/hidden"])
+def test_words_in_other_attributes_drop_nothing(attribute):
+    text = "One long sentence about a plain thing. " * 8
+    assert html_text.main_text(f"<body><div {attribute}><p {attribute}>{text}</p></div></body>") == text.strip()
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", 'title="a" hidden', "data-x=1 style = 'color:red;display: none'", "role=navigation", "id=share", 'a/class="x menu"'])
+def test_attributes_of_that_name_still_drop(attribute):
+    text = "One long sentence about a plain thing. " * 8
+    assert html_text.main_text(f"<body><div><p>{text}</p><div {attribute}><p>{text}</p></div></div></body>") == text.strip()
