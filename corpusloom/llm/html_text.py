@@ -68,6 +68,8 @@ class Tree:
     def __init__(self, page: str):
         self.parent, self.tag, self.out, self.texts = [-1], [""], [False], []
         self.open, self.block = [0], 0
+        self.places: dict[str, list[int]] = {}  # of the open elements of each tag, and of those in SCOPES
+        self.scopes = [0]
         at = 0
         while found := TOKEN.search(page, at):
             self.text(page[at:found.start()])
@@ -97,29 +99,36 @@ class Tree:
         self.tag.append(name)
         self.out.append(self.out[above] or self.beside(name, attributes, above))
         if name not in VOID:
+            self.places.setdefault(name, []).append(len(self.open))
+            if name in SCOPES:
+                self.scopes.append(len(self.open))
             self.open.append(len(self.tag) - 1)
         elif name == "br":
             self.text(" ")
 
+    def nearest(self, tags) -> int:
+        """Place among the open elements of the innermost with one of the tags; 0 if none has."""
+        return max((self.places[x][-1] for x in tags if self.places.get(x)), default=0)
+
+    def cut(self, place: int) -> None:
+        """End the open elements from this place on."""
+        for node in self.open[place:]:
+            self.places[self.tag[node]].pop()
+            if self.tag[node] in SCOPES:
+                self.scopes.pop()
+        del self.open[place:]
+
     def end_open(self, ended: set[str], scope) -> None:
-        for i in range(len(self.open) - 1, max(0, len(self.open) - 256), -1):
-            tag = self.tag[self.open[i]]
-            if tag in ended:
-                del self.open[i:]
-                return
-            if tag in scope:
-                return
+        found = self.nearest(ended)
+        if found and found > (self.scopes[-1] if scope is SCOPES else self.nearest(scope - ended)):
+            self.cut(found)
 
     def close(self, name: str) -> None:
         if name in BLOCKS:
             self.block += 1
-        for i in range(len(self.open) - 1, max(0, len(self.open) - 256), -1):
-            tag = self.tag[self.open[i]]
-            if tag == name:
-                del self.open[i:]
-                return
-            if tag in SCOPES and name not in SCOPES:
-                return
+        found = self.nearest((name,))
+        if found and (name in SCOPES or found > self.scopes[-1]):
+            self.cut(found)
 
     def within(self, node: int, names) -> int | None:
         while node > 0 and self.tag[node] not in names:

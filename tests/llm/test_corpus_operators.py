@@ -228,3 +228,14 @@ def test_words_in_other_attributes_drop_nothing(attribute):
 def test_attributes_of_that_name_still_drop(attribute):
     text = "One long sentence about a plain thing. " * 8
     assert html_text.main_text(f"<body><div><p>{text}</p><div {attribute}><p>{text}</p></div></div></body>") == text.strip()
+
+
+@pytest.mark.parametrize("inline", ["span", "b", "a", "font"])
+def test_end_tags_reach_any_depth(inline):
+    text = "One long sentence about a plain thing. " * 8
+    for tag in ("menu", "form", "nav"):
+        page = f"<body><{tag}>" + f"<{inline}>x" * 3000 + f"</{tag}><article><p>{text}</p></article></body>"
+        assert html_text.main_text(page) == text.strip()
+    page = f"<body><article><p>{text}" + f"<{inline}>" * 300 + "</article><aside>beside</aside></body>"
+    tree = html_text.Tree(page)
+    assert tree.parent[tree.tag.index("aside")] == tree.tag.index("body")
