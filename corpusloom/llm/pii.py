@@ -8,8 +8,8 @@ selects it.  Selected spans that meet no base span and no likelier one are added
 
 The trees are fitted on a bounded sample: the candidates of SAMPLE documents of at most SAMPLE_CHARS code points, those
 with the smallest hashes, and of MADE generated examples of every format.  The labels are weak: base matches and their
-rewritten forms are personal data, candidates that fail the base checks and numbers of other formats are not.  Detection
-itself covers every document and whole texts.
+rewritten forms are personal data, candidates that fail the base checks, numbers of other formats and wrong bounds of made
+examples are not; other candidates of the sample are unknown and left out.  Detection itself covers every document and whole texts.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal spans; an empty table is fitted on the
 generated examples alone.
@@ -29,6 +29,8 @@ from .common import bound_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SAMPLE_CHARS, MARGIN, MADE, SEED = 500, 20_000, 4, 400, 11
+#: Every so many made examples also give their spans of wrong bounds.
+OTHERS = 3
 TREES, DEPTH, RATE, BINS, PRECISION = 60, 3, 0.2, 16, 0.995
 
 # The base patterns.  A run that fails once fails at all its later starts, so runs are taken whole and once.
@@ -41,12 +43,17 @@ DIGITS = re.compile(r"[0-9]")
 # The generators.
 AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?|\s(?:at|AT)\s)"
 DOT = r"(?:\.|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s)"
-LOOSE = {
-    "email": re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}"),
-    "ip": re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\))\s?[0-9]{1,3}){3}(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![A-Za-z0-9])[0-9]{1,6}(?:[ ./_-]?[0-9]{1,6}){2,5}(?![A-Za-z0-9])"),
-    "phone": re.compile(r"(?<![A-Za-z0-9])(?:\+|00)?\s?\(?[0-9]{1,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,8}\)?){1,5}(?![A-Za-z0-9])"),
-}
+LOCAL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?={AT})")
+AT_HOST, MORE_HOST = re.compile(rf"{AT}[A-Za-z0-9-]++{DOT}[A-Za-z0-9-]++"), re.compile(rf"{DOT}[A-Za-z0-9-]++")
+PART = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
+GROUP = re.compile("[0-9]++")
+#: What may stand between two groups of digits, and the most groups of a span.
+GAPS = {1: re.compile(r"\s?(?:\.|\[\.\]|\(\.\))\s?"), 2: re.compile("[ ./_-]?"), 3: re.compile(r"\)?[ ./-]{1,2}\(?")}
+GROUPS = {1: 4, 2: 6, 3: 7}
+#: Whether a run goes on beyond the start or the end of a span.
+LEFT, PART_LEFT, RIGHT = re.compile(r"[0-9]\)?[ ./_-]{1,2}\(?$"), re.compile("[A-Za-z0-9][._%+-]$"), re.compile(r"\)?[ ./_-]{1,2}\(?[0-9]")
+#: Starts by ends of one address that are all proposed; beyond them each start with the last end and the first start with each end.
+ALL_SPANS = 4096
 HINTS = {
     "email": ("mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "credit", "master", "amex"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "cell", "ring"), "other": ("version", "license", "order", "ref", "date", "token", "page", "no", "id", "isbn", "price"),
@@ -79,16 +86,83 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """Spans of the generators; they may overlap."""
+def loose_emails(text: str) -> list[tuple[int, int, int]]:
+    """Addresses with signs or words for them: every start of a part before the sign, every end of a host label after a dot."""
     found = []
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and not re.search(r"@|\b(?:at|AT)\b", text) or kind != "email" and not DIGITS.search(text):
+    for local in LOCAL.finditer(text):
+        host = AT_HOST.match(text, local.end())
+        if host:
+            starts = [local.start(), *(m.start() for m in PART.finditer(text, local.start() + 1, local.end()))]
+            ends = [host.end()]
+            while more := MORE_HOST.match(text, ends[-1]):
+                ends.append(more.end())
+            if len(starts) * len(ends) <= ALL_SPANS:
+                found += [(s, e, 0) for s in starts for e in ends]
+            else:
+                found += [(starts[0], e, 0) for e in ends] + [(s, ends[-1], 0) for s in starts[1:]]
+    return found
+
+
+def loose_numbers(text: str) -> list[tuple[int, int, int]]:
+    """Spans of 1 to GROUPS groups of digits from every group on, as far as gaps and sizes are those of a kind."""
+    groups, found = [m.span() for m in GROUP.finditer(text)], []
+    for i, (start, _) in enumerate(groups):
+        if text[start - 1:start].isalpha() and text[start - 1:start].isascii():
             continue
-        found += [(m.start(), m.end(), k) for m in LOOSE[kind].finditer(text)]
+        alive, chunks, digits, double = {1, 2, 3}, 0, 0, text.startswith("00", start)
+        for j in range(i, min(len(groups), i + 7)):
+            s, e = groups[j]
+            size, n = e - s, j - i + 1
+            if j > i:
+                gap = text[groups[j - 1][1]:s]
+                alive = {k for k in alive if n <= GROUPS[k] and len(gap) < 6 and GAPS[k].fullmatch(gap)}
+            chunks, digits = chunks + -(-size // 6), digits + size
+            if chunks > 6:
+                alive.discard(2)
+            if size > 3:
+                alive.discard(1)
+            first = 5 + 2 * double if n == 1 else 8
+            if size > first or n > 1 and size < 2 and not (n == 2 and groups[i][1] - start == 2 and double) or n == 7 and not (double and groups[i][1] - start == 2):
+                alive.discard(3)
+            if not alive:
+                break
+            if text[e:e + 1].isalpha() and text[e:e + 1].isascii():
+                break
+            if 1 in alive and n == 4:
+                found.append((start, e, 1))
+            if 2 in alive and digits >= 3:
+                found.append((start, e, 2))
+            if 3 in alive and n > 1:
+                end = e + (text[e:e + 1] == ")" and text[s - 1:s] == "(")
+                found += [(p, end, 3) for p in prefixes(text, start)]
     return found
 
 
+def prefixes(text: str, start: int) -> list[int]:
+    """Starts of a phone number whose digits start there: with its bracket, and with and without a plus."""
+    inner = start - (text[start - 1:start] == "(")
+    plus = inner - 1 if text[inner - 1:inner] == "+" else inner - 2 if inner > 1 and text[inner - 2] == "+" and text[inner - 1].isspace() else None
+    before = text[plus - 1:plus] if plus else ""
+    return [inner] if plus is None or before.isascii() and before.isalnum() else [plus, inner]
+
+
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """Spans of the generators: of each run every start and every end at a group's boundary; they overlap."""
+    found = loose_emails(text) if re.search(r"@|\b(?:at|AT)\b", text) else []
+    return found + (loose_numbers(text) if DIGITS.search(text) else [])
+
+
+def fails_base(text: str, start: int, end: int, kind: int) -> bool:
+    """Whether a span has the form of its base pattern and fails the check that belongs to it."""
+    span = text[start:end]
+    if kind == 1:
+        return bool(IP.fullmatch(span)) and not all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in span.split("."))
+    digits = only_digits(span)
+    if kind == 2:
+        return bool(CARD.fullmatch(span)) and not (14 <= len(digits) <= 19 and luhn(digits))
+    return kind == 3 and bool(PHONE.fullmatch(span)) and not 10 <= len(digits) <= 15
+
+
 def features(text: str, start: int, end: int, kind: int) -> list[float]:
     span, before = text[start:end], text[max(0, start - BEFORE):start].lower()
     digits, groups = only_digits(span), re.findall("[0-9]+", span)
@@ -104,6 +178,7 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
         float("@" in span), float(bool(re.search(r"[\[({]\s?(at|AT|@)", span))), float(bool(re.search(r"\s(at|AT)\s", span))),
         float(bool(re.search(r"[\[({]\s?(dot|DOT|\.)", span))), float(bool(re.search(r"\s(dot|DOT)\s", span))),
         float(text[start - 1:start].isalnum()), float(text[end:end + 1].isalnum()), float(text[start - 1:start] in tuple(".,-/$€£#=")), float(text[end:end + 1] in tuple("%-/=€")), *hints,
+        float(bool((LEFT if kind else PART_LEFT).search(text[max(0, start - 4):start]))), float(bool((RIGHT if kind else MORE_HOST).match(text, end))),
     ]
 
 
@@ -218,6 +293,20 @@ def made_examples(rng: np.random.Generator) -> list[tuple[str, str, int, bool]]:
     return out
 
 
+def made_rows(rng: np.random.Generator):
+    """(features, personal, kind) of the made examples; every OTHERS-th also after a date or a number, with its wrong bounds."""
+    for n, (before, span, k, personal) in enumerate(made_examples(rng)):
+        yield features(f"{before}{span} and so on", len(before), len(before) + len(span), k), personal, k
+        if personal and n % OTHERS == 0:
+            date = f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)} "
+            before += ("", date, f"{rng.integers(1, 999)} ")[rng.integers(3)] if k else ""
+            text, start, end = f"{before}{span} and so on", len(before), len(before) + len(span)
+            yield features(text, start, end, k), True, k
+            for s, e, kind in candidates(text):
+                if kind == k and s < end and start < e and (s, e) != (start, end):
+                    yield features(text, s, e, kind), False, kind
+
+
 def trained(docs: DataFrame) -> Trees:
     """Trees fitted on the sample of docs and the made examples."""
     rng = np.random.default_rng(SEED)
@@ -231,14 +320,14 @@ def trained(docs: DataFrame) -> Trees:
     for (text, _) in sample.collect():  # at most SAMPLE short texts
         base = {(k, s, e) for s, e, k in base_spans(text)}
         for s, e, k in candidates(text):
-            rows.append(features(text, s, e, k))
-            labels.append((k, s, e) in base)
-            kinds.append(k)
-    for before, span, k, personal in made_examples(rng):
-        text = f"{before}{span} {'and so on'}"
-        rows.append(features(text, len(before), len(before) + len(span), k))
-        labels.append(personal)
-        kinds.append(k)
+            if (k, s, e) in base or fails_base(text, s, e, k):  # what no base check decides is unknown
+                rows.append(features(text, s, e, k))
+                labels.append((k, s, e) in base)
+                kinds.append(k)
+    for x, label, kind in made_rows(rng):
+        rows.append(x)
+        labels.append(label)
+        kinds.append(kind)
     return fit(np.array(rows, float), np.array(labels, float), np.array(kinds), rng)
 
 

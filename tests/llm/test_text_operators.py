@@ -267,3 +267,28 @@ def test_registered_queries(spark, tokenizer_library, tmp_path):
         found = function(spark, str(tmp_path))
         rows = duck.sql(f"SELECT {', '.join(found.columns)} FROM ({sql})").fetchall()
         assert Counter(map(tuple, found.collect())) == Counter(rows), function.__name__
+
+
+def test_candidates_have_every_start_and_end_of_a_run():
+    spans = lambda text, k: {text[s:e] for s, e, kind in pii.candidates(text) if kind == k}
+    for before in ("2024-05-01 ", "room 12 ", "1 22 333 44 55 66 77 88 99 "):
+        assert "555-123-4567" in spans(before + "555-123-4567 and 8", 3)
+        assert "4111/1111/1111/1111" in spans(before + "4111/1111/1111/1111", 2)
+    assert {"(555) 123-4567", "+49 30 1234567", "00 49 30 1234567"} <= spans("at (555) 123-4567, +49 30 1234567; 00 49 30 1234567", 3)
+    assert {"1.2.3.4", "2.3.4.5"} == spans("1.2.3.4.5", 1)
+    local = "a" * 70
+    assert {f"{local} at b.c.d.e.f.g.com", f"{local} at b.c"} <= spans(f"{local} at b.c.d.e.f.g.com", 0)
+    assert {"x.bob [at] y.com", "bob [at] y.com"} <= spans("x.bob [at] y.com", 0)
+    assert len(pii.candidates("1 " * 20_000)) < 20 * 20_000 and len(pii.candidates("a." * 5000 + "b at c" + ".d" * 5000)) < 20_000
+
+
+def test_unchecked_candidates_of_the_sample_are_unknown():
+    for text, kind, fails in (("1.2.3.999", 1, True), ("4111 1111 1111 1112", 2, True), ("+1 23", 3, True), ("555-123-4567", 3, False), ("bob at x.com", 0, False), ("4111/1111/1111/1111", 2, False)):
+        assert pii.fails_base(text, 0, len(text), kind) is fails
+
+
+def test_a_phone_after_a_date_is_found(spark):
+    model = pii.trained(spark.createDataFrame([], "text string"))
+    for before in ("phone 2024-05-01 ", "tel room 12 "):
+        text = f"{before}(555) 123-4567 and so on"
+        assert f"phone:{len(before)}:{len(before) + 14}" in pii.listed(pii.added_spans(text, [], model))
