@@ -142,12 +142,21 @@ def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row with the smallest doc_id of every component; one of those that repeat an id or have none."""
+    """The row with the smallest doc_id of every component; one of those that repeat an id there or have none."""
     found = materialise(classes(docs.select("doc_id", "text"), **options), "simhash-found")
     gone = broadcast_if_small(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.where("doc_id IS NOT NULL").join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    if not is_small(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1"), 0):
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("torn")).where("n > 1")
+    repeated = materialise(repeated.select(F.col("doc_id").alias("_id"), "torn"), "simhash-repeated")
+    named, torn = docs.where("doc_id IS NOT NULL"), repeated.where("torn")  # torn ids have rows in several components
+    split = not is_small(torn, 0)
+    whole = named.join(broadcast_if_small(torn), docs["doc_id"] == F.col("_id"), "left_anti") if split else named
+    kept = whole.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    if not is_small(repeated, 0):
         kept = kept.dropDuplicates(["doc_id"])
+    if split:
+        own = found.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_first")).where("_first IS NOT NULL").distinct()
+        rows = named.join(broadcast_if_small(torn), docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_fp", fingerprints("text"))
+        kept = kept.unionByName(rows.join(own, "_fp").where("doc_id = _first").dropDuplicates(["_root"]).select(*docs.columns))
     nameless = found.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
     if not is_small(nameless, 0):
         alone = docs.where("doc_id IS NULL").withColumn("_fp", fingerprints("text")).join(nameless, "_fp")

@@ -239,3 +239,9 @@ def test_end_tags_reach_any_depth(inline):
     page = f"<body><article><p>{text}" + f"<{inline}>" * 300 + "</article><aside>beside</aside></body>"
     tree = html_text.Tree(page)
     assert tree.parent[tree.tag.index("aside")] == tree.tag.index("body")
+
+
+def test_an_id_with_two_texts_leaves_one_row_of_each_component(spark):
+    one, two = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    docs = spark.createDataFrame([(3, one), (5, two), (5, one), (5, two), (7, two), (9, "c d e")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(3, one), (5, two), (9, "c d e")]
