@@ -75,8 +75,10 @@ def best_epoch(log: DataFrame, trial: str, epoch: str, metric: str) -> DataFrame
 
 
 def rung_promotions(log: DataFrame, bracket: str, epoch: str, trial: str, metric: str, milestones: list[int], eta: int) -> DataFrame:
-    """At each milestone the best ceil(n / eta) trials of a bracket."""
+    """At each milestone the best ceil(n / eta) trials of a bracket.  Numbered over ranges, as a group grows with the table."""
     rows = log.where(F.col(epoch).isin(milestones))
-    n = F.count("*").over(W.partitionBy(bracket, epoch))
-    rank = F.row_number().over(W.partitionBy(bracket, epoch).orderBy(F.desc(metric), trial))
-    return rows.withColumn("_n", n).withColumn("rank", rank).where(F.col("rank") <= F.ceil(F.col("_n") / eta)).drop("_n")
+    numbered = row_ids(rows, bracket, epoch, F.desc(metric), trial, name="_number")
+    groups = numbered.groupBy(F.col(bracket).alias("_b"), F.col(epoch).alias("_e")).agg(F.min("_number").alias("_first"), F.count("*").alias("_n"))
+    same = F.col(bracket).eqNullSafe(F.col("_b")) & (F.col(epoch) == F.col("_e"))
+    ranked = numbered.join(F.broadcast(groups), same).withColumn("rank", (F.col("_number") - F.col("_first") + 1).cast("int"))  # a row for each group
+    return ranked.where(F.col("rank") <= F.ceil(F.col("_n") / eta)).select(*log.columns, "rank")

@@ -293,6 +293,4 @@ def stream_dedup_hashes(spark, sf_dir):
 def lease_state(spark, sf_dir):
     """The lease of each batch as a stream leaves it, from the log written as a folder of files."""
     states = J.lease_states(dealt(leases(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "batch_id"), 3600)
-    query = states.writeStream.format("memory").queryName("lease_states").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table("lease_states")
+    return J.run_to_table(states, work_path(spark, "leases"), work_path(spark, "progress"))

@@ -115,3 +115,17 @@ def test_sinks_give_back_what_they_wrote(spark):
 def test_broken_response_lines(spark):
     lines = spark.createDataFrame([(None,), ("",), ("{",), ('{"custom_id":"a","response":{"status_code":200,"body":{"data":[]}}}',), ('{"custom_id":"b","response":{"status_code":200,"body":{"data":[{"embedding":[1]}]}}}',)], "value string")
     assert [r.failed for r in scans.parse_responses(lines).collect()] == [True, True, True, True, False]
+
+
+def test_rungs_are_not_ranked_in_one_task(spark):
+    log = spark.range(400).select(F.lit(1).alias("b"), F.lit(1).alias("e"), F.col("id").alias("t"), (F.col("id") * 7 % 400).alias("f1"))
+    found = R.rung_promotions(log, "b", "e", "t", "f1", [1], 3)
+    want = sorted(range(400), key=lambda t: (-(t * 7 % 400), t))[:134]
+    assert [r.t for r in found.orderBy("rank").collect()] == want and found.columns == [*log.columns, "rank"]
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()  # windows over written ranges
+
+
+def test_lease_states_stay_out_of_the_driver(spark):
+    from corpusloom.plans import models as M
+
+    assert M.lease_state(spark, "/root/testdata/sf0.001").inputFiles()
