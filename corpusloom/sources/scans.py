@@ -16,12 +16,13 @@ def scan_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 
 def scan_batches(df: DataFrame, rows: int) -> DataFrame:
-    """df with ``batch_rows``, the size of the Arrow batch that a row came in: at most ``rows``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """df with ``batch_rows``, the size of the batch that a row was handled in: at most ``rows``."""
 
     def sized(batches):
-        for batch in batches:
-            yield batch.append_column("batch_rows", pa.array([batch.num_rows] * batch.num_rows, pa.int64()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                yield batch.append_column("batch_rows", pa.array([batch.num_rows] * batch.num_rows, pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(sized, f"{fields}, batch_rows long")

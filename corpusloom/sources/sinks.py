@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders of local sessions that name no shared folder, by application; removed when the process ends.
+LOCAL: dict[str, str] = {}
+
+
+def work_top(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the cluster's shared folder; the setting is only read.
+
+    Local sessions that name none, as in tests, use a temporary folder."""
+    top, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if top:
+        return f"{top}/corpusloom-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if app not in LOCAL:
+        LOCAL[app] = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, LOCAL[app], True)
+    return f"file://{LOCAL[app]}"
+
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder; local sessions without one use a temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        top = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    """A fresh path among this application's intermediate tables."""
+    return f"{work_top(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet written can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_top(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_parquet(df: DataFrame, path: str) -> DataFrame:
@@ -37,8 +57,8 @@ def write_capped_files(df: DataFrame, path: str, rows: int = 20_000) -> DataFram
 
 
 def write_request_batches(requests: DataFrame, path: str, number: str = "batch_no", body: str = "body") -> DataFrame:
-    """JSON lines, one folder for each batch; reads them back as (batch_no, value)."""
-    requests.select(F.col(number).alias("batch_no"), F.col(body).alias("value")).write.mode("overwrite").partitionBy("batch_no").text(path)
+    """JSON lines, one folder for each batch, whose rows one task writes; reads them back as (batch_no, value)."""
+    requests.select(F.col(number).alias("batch_no"), F.col(body).alias("value")).repartition("batch_no").write.mode("overwrite").partitionBy("batch_no").text(path)
     return requests.sparkSession.read.schema("value string, batch_no long").text(path)
 
 
@@ -50,9 +70,10 @@ def write_lookup_table(df: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, to: str, files: int) -> DataFrame:
-    """All files of a folder as so many files in another; the old ones may go after this has returned."""
+    """All files of a folder as so many files in another, read by as many tasks as there are splits; the old ones may go
+    after this has returned."""
     rows = spark.read.parquet(path)
-    rows.coalesce(files).write.mode("overwrite").parquet(to)
+    rows.repartition(files).write.mode("overwrite").parquet(to)
     return spark.read.schema(rows.schema).parquet(to)
 
 
