@@ -1,32 +1,35 @@
 """Byte-level BPE encoding and decoding of whole texts by a public rank file.
 
-Texts of up to CHUNK code points are pre-tokenised and encoded where they lie.  Longer ones are dealt out as overlapping
-chunks: the chunks are pre-tokenised in parallel, two neighbours are stitched at the first position in their overlap
-that is a pre-token boundary of both (the pattern never looks back, so from there on both streams agree), and the pieces
-between the stitches are encoded in parallel and joined in order.  A text whose chunks never agree, such as one endless
-word, is encoded in one piece.  The merges within a piece are the tokenizer library's; decoding concatenates the tokens'
-raw bytes.
+Every text is dealt out as overlapping chunks of CHUNK code points, which are pre-tokenised in parallel; a text no longer
+than that is one chunk and stays where it lies.  Two neighbours are stitched at the first position in their overlap that
+is a pre-token boundary of both: the pattern never looks back, so from there on both streams agree.  The pieces between
+the stitches are encoded in parallel and their ids joined in order.  A piece alone must be pre-tokenised as it is within
+the text; the pattern looks ahead only behind white space, so stitches lie behind letters and numbers alone.  A text whose
+chunks never agree, such as one endless word, is one piece.  The merges within a pre-token are the tokenizer library's;
+decoding concatenates the tokens' raw bytes.
 
 The rank file is a parameter; the driver reads it once and broadcasts it (its size is that of the vocabulary).
 
 Defined cases: null and empty texts have no tokens and decode to no bytes; texts that only hold the strings of special
-tokens are ordinary text; repeated rows are encoded alike.  Extra columns pass through ``encode`` unchanged.
+tokens are ordinary text; repeated rows are encoded alike.  ``encode`` and ``encode_decode`` take the names of the columns
+that they add, which take the place of a caller's column of that name; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialise, table
+from .common import bound_batches, broadcast_if_small, free, materialise, own, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK, OVERLAP = 32_768, 512
@@ -34,6 +37,12 @@ CHUNK, OVERLAP = 32_768, 512
 MARGIN = 8
 
 
+def kind(c: str) -> str | None:
+    """L for letters, N for numbers, else another mark; None if editions of Unicode differ, as the two libraries' may."""
+    old = unicodedata.ucd_3_2_0.category(c)[0]
+    return old if old == unicodedata.category(c)[0] else None
+
+
 class Encoder:
     """One vocabulary: boundaries of pre-tokens, ids of a piece of text, bytes of ids."""
 
@@ -43,10 +52,13 @@ class Encoder:
         self.tokens = sorted(ranks, key=ranks.__getitem__)
 
     def boundaries(self, text: str) -> list[int]:
-        return [m.start() for m in self.split.finditer(text)]
+        """Starts of pre-tokens at which a text may be cut: behind a letter or number, before a character of another kind."""
+        found = (m.start() for m in self.split.finditer(text))
+        return [at for at in found if at and (before := kind(text[at - 1])) in ("L", "N") and kind(text[at]) not in (before, None)]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.array(self.merges.encode_ordinary(text or ""), np.int32)
+    def encode(self, piece: str | None) -> np.ndarray:
+        """Ids of a piece: a text, or a part of one between two boundaries."""
+        return np.array(self.merges.encode_ordinary(piece or ""), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -113,42 +125,49 @@ class Tokenizer:
 
         return both(text)
 
-    def encode(self, docs: DataFrame) -> DataFrame:
-        """docs with ``_ids``, the token ids of each row's text."""
-        short, rest = self.parted(docs)
-        return short.withColumn("_ids", self.ids_of("text")).unionByName(rest)
-
-    def encode_decode(self, docs: DataFrame) -> DataFrame:
-        """docs with ``_ids`` and ``_raw``, the bytes that they decode to."""
-        short, rest = self.parted(docs)
-        short = short.withColumn("_both", self.both_of("text")).select(*docs.columns, F.col("_both.ids").alias("_ids"), F.col("_both.raw").alias("_raw"))
-        return short.unionByName(rest.withColumn("_raw", self.bytes_of("_ids")))
-
-    def parted(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows of short texts, and those of long texts with their ``_ids``."""
-        is_long = F.coalesce(F.length("text"), F.lit(0)) > self.chunk
-        rest = docs.where(is_long).withColumn("_text", F.md5("text"))
-        found = self.long_ids(rest.select("_text", "text").dropDuplicates(["_text"]))
-        return docs.where(~is_long), rest.join(found, "_text").select(*docs.columns, "_ids")
+    def encode(self, docs: DataFrame, into: str = "_ids") -> DataFrame:
+        """docs with the token ids of each row's text in the column ``into``."""
+        is_long, kept = self.is_long(), own(docs, into)
+        short = docs.where(~is_long).select(*kept, self.ids_of("text").alias(into))
+        return short.unionByName(self.with_long_ids(docs.where(is_long), kept, into))
+
+    def encode_decode(self, docs: DataFrame, into: str = "_ids", raw: str = "_raw") -> DataFrame:
+        """As encode, and in the column ``raw`` the bytes that the ids decode to."""
+        is_long, kept = self.is_long(), own(docs, into, raw)
+        (both,) = free(docs, "_both")
+        short = docs.where(~is_long).select(*kept, self.both_of("text").alias(both)).select(*kept, F.col(f"{both}.ids").alias(into), F.col(f"{both}.raw").alias(raw))
+        return short.unionByName(self.with_long_ids(docs.where(is_long), kept, into).withColumn(raw, self.bytes_of(into)))
+
+    def is_long(self) -> Column:
+        return F.coalesce(F.length("text"), F.lit(0)) > self.chunk
+
+    def with_long_ids(self, docs: DataFrame, kept: list[Column], into: str) -> DataFrame:
+        """The kept columns of docs, whose texts are longer than a chunk, and their ids, found by the text's digest."""
+        key, found = free(docs, "_text", "_found")
+        ids = self.long_ids(docs.select(F.md5("text").alias("_text"), "text")).select(F.col("_text").alias(found), F.col("_ids").alias(into))
+        texts = docs.select(*kept, F.md5("text").alias(key))
+        return texts.join(ids, F.col(key) == F.col(found)).select(*kept, into)
 
     def long_ids(self, texts: DataFrame) -> DataFrame:
-        """(_text, _ids) of texts longer than a chunk; texts: _text, their digest, and text."""
+        """(_text, _ids) of texts longer than a chunk; texts: _text, their digest, and text; equal texts are encoded once.
+
+        The text itself is shuffled once, as chunks; what follows reads these where they were written.
+        """
         size, overlap, encoder = self.chunk, self.overlap, self.made()
 
         def chunked(batches):
             for batch in batches:
                 for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    starts = range(0, len(text), size)
-                    for no, at in enumerate(starts):
-                        row = [[key], [no], [at], [text[at:at + size + overlap]], [at + size < len(text)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["_text", "no", "at", "part", "more"])
+                    for no, at in enumerate(range(0, len(text), size)):
+                        row = [[key], [no], [at], [text[at:at + size + overlap]]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["_text", "no", "at", "part"])
 
         @F.arrow_udf("struct<head: array<long>, tail: array<long>>")
         def edges(parts: pa.Array, starts: pa.Array) -> pa.Array:
             rows = []
             for part, at in zip(parts.to_pylist(), starts.to_pylist()):
                 found = encoder().boundaries(part)
-                head = [at + x for x in found if x <= overlap]
+                head = [at + x for x in found if 0 < x <= overlap]
                 rows.append({"head": head, "tail": [at + x for x in found if size <= x <= len(part) - MARGIN]})
             return pa.array(rows, pa.struct([("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64()))]))
 
@@ -157,28 +176,25 @@ class Tokenizer:
             rows = zip(parts.to_pylist(), first.to_pylist(), last.to_pylist())
             return id_lists([encoder().encode(p[a:b]) for p, a, b in rows])
 
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        chunks = texts.mapInArrow(chunked, "_text string, no long, at long, part string, more boolean").repartition(n, "_text", "no")
+        chunks = texts.mapInArrow(chunked, "_text string, no long, at long, part string").dropDuplicates(["_text", "no"])
         chunks = materialise(chunks.withColumn("_edges", edges("part", "at")), "bpe-chunks")
-        by_text = W.partitionBy("_text").orderBy("no")
+        by_text, whole = W.partitionBy("_text").orderBy("no"), W.partitionBy("_text")
         both = F.array_intersect(F.lag("_edges.tail").over(by_text), F.col("_edges.head"))
-        cuts = chunks.select("_text", "no", "more", F.when(F.col("no") == 0, F.lit(0).cast("long")).otherwise(F.array_min(both)).alias("cut"))
-        cuts = cuts.withColumn("next", F.lead("cut").over(by_text))
-        whole = W.partitionBy("_text")
-        cuts = cuts.withColumn("bad", F.max(F.col("cut").isNull()).over(whole)).drop("more")
+        cuts = chunks.select("_text", "no", F.when(F.col("no") == 0, F.lit(0).cast("long")).otherwise(F.array_min(both)).alias("cut"))
+        cuts = cuts.select("_text", "no", "cut", F.lead("cut").over(by_text).alias("next"), F.max(F.col("cut").isNull()).over(whole).alias("torn"))
         cuts = materialise(cuts, "bpe-cuts")
-        pieces = chunks.join(cuts.where("NOT bad"), ["_text", "no"])
+        pieces = chunks.join(broadcast_if_small(cuts.where("NOT torn")), ["_text", "no"])
         last = F.coalesce(F.col("next") - F.col("at"), F.length("part").cast("long"))
         pieces = pieces.select("_text", "no", piece_ids("part", F.col("cut") - F.col("at"), last).alias("ids"))
+        torn = chunks.join(broadcast_if_small(cuts.where("torn").select("_text").distinct()), "_text").select("_text", F.struct("no", F.substring("part", 1, size).alias("part")).alias("x"))
+        torn = torn.groupBy("_text").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), "").alias("text"))
         stitched = pieces.groupBy("_text").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("_ids"))
-        stubborn = texts.join(cuts.where("bad").select("_text").distinct(), "_text", "left_semi").select("_text", self.ids_of("text").alias("_ids"))
-        return stitched.unionByName(stubborn)
+        return stitched.unionByName(torn.select("_text", self.ids_of("text").alias("_ids")))
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes of every row."""
-    tokenizer = Tokenizer(docs.sparkSession, **options)
-    coded = tokenizer.encode_decode(docs)
+    coded = Tokenizer(docs.sparkSession, **options).encode_decode(docs.select("doc_id", "text"))
     ids = F.sha2(F.array_join("_ids", " "), 256)
     return coded.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("_raw", 256).alias("decoded_sha256"))
 

@@ -1,13 +1,12 @@
-"""Helpers that the operators of this package share: tables, the shared folder, bounded broadcasts."""
+"""Helpers that the operators of this package share: tables, the shared folder, bounded broadcasts, names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import work_path as shared_dir
+
 #: White space of the contracts: space, tab, LF, VT, FF, CR.  bytes.split() and bytes.strip() use the same set.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,20 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
-    """Bound the Arrow batches sent to Python by rows and by bytes, so that long texts do not pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bound the Arrow batches sent to Python by rows and by bytes, so that long texts do not pile up in one batch.
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    Spark reads these settings when a job runs, so they stay; tighter ones of the session are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = spark.conf.get(key)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, most)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +46,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in whatever case: for columns beside a caller's own."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of df, whatever their names, but for some."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without]
+
+
 def n_words(text: Column | str) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -145,6 +145,38 @@ def test_bpe_equals_the_tokenizer_library(spark, tokenizer_library, chunks):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("chunk, overlap", [(8, 24), (9, 40), (13, 30), (80, 40), (32_768, 512)])
+def test_bpe_stitches_at_every_alignment(spark, tokenizer_library, chunk, overlap):
+    """Runs of blanks, newlines and tabs, digits and contractions at every place around a seam."""
+    joints = ["\n\n", ".\n\n", "x\n\n", "x \n\n", "\t\t", "  ", " \n", "\x1c\x1d", "12345", "'re'll", "!\x1c", "\u00a0\u00a0", "\u2003 ", "\r\n\r\n", "\u4e00\uff0c"]
+    words = "some words here " * (chunk // 8 + 8)
+    texts = [words[: chunk - back] + joint + "Next paragraph it's 12 of " * (chunk // 20 + 4) for joint in joints for back in range(-2, 8)]
+    for i, r in enumerate(bpe.digests(documents(spark, texts), chunk=chunk, overlap=overlap).orderBy("doc_id").collect()):
+        ids = tokenizer_library.encode_ordinary(texts[i])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), texts[i][chunk - 9:chunk + 9]
+        assert r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
+
+
+def test_bpe_pieces_of_any_cut_are_those_of_the_text(tokenizer_library):
+    with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as file:
+        encoder = bpe.Encoder(bpe.parse_ranks(file.read()))
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choices("ab'sre 12 \n\n\t\x1c!\u00a0\u6f22\uff0c\u0301", k=60))
+        for at in encoder.boundaries(text):
+            assert encoder.encode(text[:at]).tolist() + encoder.encode(text[at:]).tolist() == tokenizer_library.encode_ordinary(text)
+            assert at in (m.start() for m in encoder.split.finditer(text))
+
+
+def test_bpe_leaves_other_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40, 7, "t", 2, 3.0), (2, None, 8, "u", 3, 4.0)], "doc_id int, text string, _both int, _text string, _found int, `a.b` double")
+    got = bpe.Tokenizer(spark, chunk=30, overlap=12).encode_decode(docs, "_ids", "_raw").orderBy("doc_id").collect()
+    assert [tuple(r)[:6] for r in got] == [("a b " * 40 and 1, "a b " * 40, 7, "t", 2, 3.0), (2, None, 8, "u", 3, 4.0)]
+    assert bytes(got[0]["_raw"]).decode() == "a b " * 40 and got[1]["_ids"] == []
+    replaced = bpe.Tokenizer(spark).encode(docs, "_both").orderBy("doc_id").collect()
+    assert replaced[1]["_both"] == [] and replaced[0]["_text"] == "t"
+
+
 def test_bpe_ids_are_those_of_the_merge_rule():
     """Merge the leftmost pair of least rank in each pre-token until none is left."""
     with open(public_tokenizers.path(bpe.VOCABULARY), "rb") as file:
