@@ -37,6 +37,40 @@ def test_url_filter(spark):
     assert url_filter.find(trie, "z.b", "/bad/") == ("/bad", "block") and url_filter.find(trie, "z.b", "/") == ("b", "allow")
 
 
+def test_url_lists_of_any_length_and_depth(spark):
+    rng = random.Random(4)
+    hosts = ["", "a", "b.a", "c.b.a", "x.y", "y", "q..a", "é.a"]
+    rules = [(rng.choice(["allow", "block", None]), rng.choice(hosts + [None]), rng.choice(["", "/", "/p", "/p/", "/p/q", "/pp", "/p/q/r/s", None])) for _ in range(60)]
+    urls = [f"http://{rng.choice(['d.', '', 'c.', 'www.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/p', '/p/q?x', '/pp/q', '/p/q/r/s/t#u'])}" for _ in range(300)] + [None, "", "://", "://a"]
+    deep = "/" + "s/" * 5000
+    rules.append(("block", "deep", deep))
+    urls += [f"http://deep{deep}x", f"http://deep{deep[:-2]}"]
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(urls)], "page_id long, url string, host int, found int")
+    listed = spark.createDataFrame(rules, "verdict string, host string, path string")
+
+    def slow(host, path):
+        fits = [(len(h) + len(p), v, len(h), h + p) for v, h, p in ((v, h or "", p or "") for v, h, p in rules) if v and (h == "" or host == h or host.endswith("." + h)) and path.startswith(p)]
+        size, verdict, _, rule = max(fits, default=(0, "allow", 0, None))
+        return rule, verdict
+
+    small, table, joined = (sorted(map(tuple, url_filter.judge(pages, r, max_rules=m).collect())) for r, m in ((rules, 100), (listed, 100), (listed, 1)))
+    assert small == table == joined and len(small) == len(urls)
+    for _, host, path, rule, verdict in small:
+        assert (rule, verdict) == slow(host, path)
+    assert url_filter.judge(pages.limit(0), listed, max_rules=0).count() == 0 and url_filter.judge(pages, listed.limit(0), max_rules=-1).where("rule IS NOT NULL").count() == 0
+
+
+def test_url_list_of_a_million_rules(spark):
+    rules = spark.range(1_000_000).select(F.when(F.col("id") % 2 == 0, "allow").otherwise("block").alias("verdict"), F.concat(F.lit("h"), F.col("id") % 1000, F.lit(".net")).alias("host"), F.concat(F.lit("/p"), F.col("id"), F.lit("/")).alias("path"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id") % 1000, F.lit(".net/p"), F.col("id") * 400 + F.col("id") % 1000, F.lit("/x")).alias("url"))
+    got = url_filter.judge(pages, rules).collect()
+    for r in got:
+        n = r.page_id * 400 + r.page_id % 1000
+        want = (f"h{n % 1000}.net/p{n}/", "block" if n % 2 else "allow") if n < 1_000_000 and n % 1000 == r.page_id % 1000 else (None, "allow")
+        assert (r.rule, r.verdict) == want
+    assert sum(r.rule is not None for r in got) > 300
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e17])
 def test_maxscore_is_exact(spark, scale):
     rng = np.random.default_rng(1)
