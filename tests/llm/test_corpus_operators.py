@@ -77,7 +77,7 @@ def test_maxscore_is_exact(spark, scale):
     rows = [(i, (rng.normal(size=8) * scale).tolist()) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(30)] + [(None, rows[0][1]), (500, None), (501, [1.0, None]), (502, [float("nan")]), (503, [float("inf")]), (504, []), (550, [2.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = maxscore.top_k(vectors, F.col("vec_id") % 50 == 0, shard=64, queries=3).collect()
+    got = maxscore.top_k(vectors, F.col("vec_id") % 50 == 0, shards=7, pilot=50).collect()
     import math
     good = {i: [math.floor(256 * x) if abs(x) < 2**52 else 256 * int(x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     clamp = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
@@ -92,6 +92,34 @@ def test_maxscore_is_exact(spark, scale):
             assert {clamp(-s) for s, _ in scores} == {s for _, s in found[q]}
 
 
+@pytest.mark.parametrize("block, scale", [(7, 1), (64, 1), (2048, 1), (64, 3000), (64, 1 << 40)])
+def test_maxscore_shards_prune_and_stay_exact(block, scale):
+    rng = np.random.default_rng(block)
+    vectors = np.floor(rng.normal(size=(500, 12)) * rng.choice([1, 20], 500)[:, None] * 30) * scale
+    vectors[::5] = vectors[0]
+    vectors[:, 3] = 0
+    asked = np.concatenate([np.floor(rng.normal(size=(20, 14)) * 40) * scale, np.zeros((1, 14))])
+    ids, own = rng.permutation(500), np.arange(21)
+    exact = [[int(x) for x in row] for row in vectors.tolist()]
+    for floors in ([None] * 21, "kth"):
+        want = []
+        for q, row in enumerate(asked.tolist()):
+            scores = sorted((-sum(int(a) * b for a, b in zip(row, v)), i) for v, i in zip(exact, ids.tolist()) if i != q)[:6]
+            want += [(q, i, -s) for s, i in scores]
+        if floors == "kth":
+            floors = [want[6 * q + 5][2] for q in range(21)]
+        got = list(maxscore.Shard(ids, vectors, block).search(asked, own, floors, 6))
+        assert sorted(got) == sorted(want)
+
+
+def test_maxscore_edges(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert maxscore.top_k(none, F.lit(True)).count() == 0
+    few = spark.createDataFrame([(50, [1.0, 2.0], "x"), (50, [1.0, 2.0], "y"), (1, [], "z"), (2, [0.5], "z"), (0, [3.0, 0.0, 9.0], "z")], "vec_id long, embedding array<float>, floor string")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.top_k(few, F.col("vec_id") % 50 == 0, k=3).collect())
+    assert got == [(0, 1, 50, 768 * 256), (0, 2, 50, 768 * 256), (0, 3, 2, 768 * 128), (50, 1, 0, 768 * 256), (50, 2, 2, 256 * 128), (50, 3, 1, 0)]
+
+
 def slow_print(text):
     words = (text or "").encode().lower().split()
     grams = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))] if words else []
