@@ -307,3 +307,112 @@ def test_an_id_with_two_texts_leaves_one_row_of_each_component(spark):
     one, two = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
     docs = spark.createDataFrame([(3, one), (5, two), (5, one), (5, two), (7, two), (9, "c d e")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == [(3, one), (5, two), (9, "c d e")]
+
+
+ARTICLE = "A long sentence of an article that says something, and then some more. "
+
+
+@pytest.mark.parametrize("names", ["entry-content widget", "article-share", "related-post", "story social", "sidebar", "post comments-open", "menu", "promo", "notice"])
+def test_names_do_not_drop_most_of_a_page(names):
+    text, page = "\n".join([(ARTICLE * 5).strip()] * 3), f'<p>{ARTICLE * 5}</p>' * 3
+    assert html_text.main_text(f'<body><div class="{names}">{page}</div></body>') == text
+    assert html_text.main_text(f'<body><div id=top>Some site</div><div class="{names}">{page}</div></body>').endswith(text)
+    assert html_text.main_text(f'<body><form><div>{page}</div></form></body>') == text
+    beside = f'<body><article>{page}</article><div class="{names}"><p>{ARTICLE * 40}</p></div></body>'
+    assert html_text.main_text(beside) == text  # where an article is marked, names outside it count whatever they hold
+
+
+@pytest.mark.parametrize("names", ["comments", "sidebar", "ad", "related", "share-bar", "cookie-notice", "post-comments"])
+def test_names_still_drop_the_smaller_part(names):
+    page = f"<body><div class=post><h1>Title of it</h1><p>{ARTICLE * 9}</p></div><div class='{names}'><p>{ARTICLE * 4}</p></div></body>"
+    assert html_text.main_text(page) == "Title of it\n" + (ARTICLE * 9).strip()
+
+
+def test_text_that_is_all_boilerplate_by_markup_is_none():
+    assert html_text.main_text(f"<body><nav>{ARTICLE}</nav><footer>{ARTICLE}</footer><div hidden>{ARTICLE}</div><p> </p></body>") == ""
+    assert html_text.main_text(f"<body><div class=ad><div class=comments>{ARTICLE}</div></div></body>") == ARTICLE.strip()
+
+
+def slow_main_text(root):
+    """The density rule over a tree of (tag, children), stated by recursion."""
+    import math
+
+    inline = ("a", "b", "span")
+
+    def nodes(node):
+        return [node, *(x for c in node[1] if not isinstance(c, str) for x in nodes(c))]
+
+    def chars(node):
+        return sum(len(c.replace(" ", "")) if isinstance(c, str) else chars(c) for c in node[1])
+
+    def tags(node):
+        return len(nodes(node)) - 1
+
+    def links(node):
+        if node[0] == "a":
+            return chars(node), 1 + sum(x[0] == "a" for x in nodes(node)[1:])
+        below = [links(c) for c in node[1] if not isinstance(c, str)]
+        return sum(x for x, _ in below), sum(x for _, x in below)
+
+    def dense(node):
+        c, t, (lc, lt), (bl, _) = chars(node), max(1, tags(node)), links(node), links(root)
+        if not bl or not c:
+            return c / t
+        base = math.log(c / max(1, c - lc) * lc + bl / max(1, chars(root)) * c + math.e)
+        return c / t * max(0.0, math.log(c / max(1, lc) * t / max(1, lt)) / math.log(max(base, 1.01)))
+
+    def total(node):
+        return sum(dense(c) for c in node[1] if not isinstance(c, str))
+
+    every = nodes(root)
+    best = max(range(len(every)), key=lambda i: (total(every[i]) if chars(every[i]) else -1.0, chars(every[i]), i))
+    path = [x for x in every if any(y is every[best] for y in nodes(x))]
+    lowest = min(map(dense, path))
+    chosen = [every[best]] + [x for x in every[1:] if chars(x) and dense(x) >= lowest and (x[0] in ("p", "pre") or total(x) > 0 and not any(y is every[best] for y in nodes(x)))]
+    out, block = [""], 0
+
+    def walk(node, inside):
+        nonlocal block
+        inside = inside or any(node is x for x in chosen)
+        if node[0] not in inline:
+            out.append("")
+        for c in node[1]:
+            if not isinstance(c, str):
+                walk(c, inside)
+            elif inside:
+                out[-1] += c
+        if node[0] not in inline:
+            out.append("")
+
+    walk(root, False)
+    return "\n".join(x for x in (" ".join(x.split()) for x in out) if x)
+
+
+def test_density_equals_a_plain_statement_of_it():
+    rng = random.Random(21)
+
+    def grow(depth, inline):
+        children = []
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                children.append(" ".join(rng.choices(["one", "three", "fifteen", "to"], k=rng.randint(1, 25))) + " ")
+            else:
+                tag = rng.choice(["a", "b", "span"] if inline else ["div", "div", "section", "p", "a", "b", "ul"])
+                if tag == "ul":
+                    children.append(("ul", [("li", grow(0, True)) for _ in range(rng.randint(1, 3))]))
+                else:
+                    children.append((tag, grow(depth - 1, tag not in ("div", "section"))))
+        return children
+
+    def render(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(render, node[1]))}</{node[0]}>"
+
+    for _ in range(300):
+        root = ("body", grow(4, False))
+        assert html_text.main_text(render(root)) == slow_main_text(root), render(root)
+
+
+def test_extract_names_its_column(spark):
+    pages = spark.createDataFrame([(1, "<p>a b</p>", 5)], "page_id long, html string, _text int")
+    assert html_text.extract(pages).first()._text == "a b" and html_text.extract(pages, "mine").first()._text == 5
+    assert html_text.extract(pages.limit(0)).count() == 0
