@@ -118,11 +118,73 @@ def test_line_dedup_is_reversible(spark):
 
 def test_cuckoo_filter_has_no_false_negatives_and_forgets():
     values = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64)
+    values = np.concatenate([values, values[:2]])
     held = line_dedup.rebuilt(values)
-    assert held.contains(values).all()
-    for v in values[:1000].tolist():
-        assert held.remove(v)
-    assert held.contains(values[1000:]).all() and held.contains(values[:1000]).mean() < 0.05
+    assert held.contains(values).all() and (held.table > 0).sum() == len(values)
+    assert held.remove(values[:1000])
+    assert held.contains(values[1000:]).all() and held.contains(values[2:1000]).mean() < 0.05
+    assert held.remove(values[1000:]) and not held.table.any() and not held.remove(values[:1])
+    full = line_dedup.Cuckoo(16)
+    assert not full.add(values[:70]) and full.add(values[:0])
+
+
+def files(path):
+    from pathlib import Path
+
+    return {str(p): p.stat().st_mtime_ns for p in Path(path.removeprefix("file:").replace("//", "/", 1)).rglob("*.parquet")}
+
+
+def test_a_small_change_touches_its_shards_only(spark):
+    texts = made_texts(80)
+    store = line_dedup.LineStore(spark, shared_dir(spark, "lines"), min_docs=3, shards=16).insert(documents(spark, texts))
+    before, filters = files(store.path), dict(store.state["filters"])
+    one = documents(spark, ["a line of its own\n\nand a second one"])
+    store.insert(one).insert(one).insert(one)
+    after = files(store.path)
+    new = {p.split("shard=")[1].split("/")[0] for p in after if p not in before and "/counts/" in p}
+    lines = [line_dedup.line_hash(x) for x in (b"a line of its own", b"and a second one")]
+    touched = {np.array([x], np.uint64).view(np.int64)[0] % 16 for x in lines}
+    assert new == {str(s) for s in touched} and all(after[p] == before[p] for p in before)
+    assert {s for s in store.state["filters"] if store.state["filters"][s] != filters.get(s)} == touched
+    assert {r.doc_id: tuple(r._lines) for r in store.clean(one).collect()} == {0: ("", 3, 2)}
+    store.delete(one).delete(one).delete(one)
+    for _ in range(3):
+        store.insert(one).delete(one)
+    assert len(store.state["parts"]) < 9 and store.state["keys"] == store.counts().count()
+    again = line_dedup.LineStore.open(spark, store.path)
+    assert again.state == store.state
+    got = {r.doc_id: tuple(r._lines) for r in again.clean(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_dedup(texts, 3)
+
+
+def test_a_small_change_shuffles_no_counts(spark):
+    texts = made_texts(80)
+    store = line_dedup.LineStore(spark, shared_dir(spark, "lines"), min_docs=3, shards=4).insert(documents(spark, texts))
+    lines = line_dedup.document_keys(documents(spark, texts[:2]), 1).groupBy("h", "key").agg(F.count("*").alias("change")).withColumn("shard", F.pmod("h", F.lit(4)).cast("int"))
+    plan = store.with_old(lines)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [h" in plan and "LeftSemi" in plan
+    store.few = 0  # beyond the broadcast: the same counts by a shuffle
+    got = store.insert(documents(spark, texts)).delete(documents(spark, texts[:40] + ["never seen"])).counts()
+    from collections import Counter
+    want = Counter(k for t in texts + texts[40:] for k in {x.strip().lower() for x in t.split("\n")} if k)
+    assert sorted(r.n for r in got.collect()) == sorted(want.values())
+
+
+def test_a_grown_store_gets_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
+    texts = made_texts(60)
+    store = line_dedup.LineStore(spark, shared_dir(spark, "lines"), min_docs=3, shards=2).insert(documents(spark, texts))
+    assert store.state["shards"] > 2 and store.state["keys"] <= 20 * store.state["shards"]
+    got = {r.doc_id: tuple(r._lines) for r in store.clean(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_dedup(texts, 3)
+
+
+def test_line_dedup_leaves_other_columns_alone(spark):
+    docs = spark.createDataFrame([(i, "same\n%d" % i, 5, i, "c", 1) for i in range(12)], "doc_id int, text string, _lines int, _common int, _text string, `a.b` int")
+    out = line_dedup.drop_common_lines(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(i, "%d" % i, 5, i, "c", 1) for i in range(12)]
+    store = line_dedup.LineStore(spark, shared_dir(spark, "lines")).insert(docs)
+    assert sorted(map(tuple, store.clean(docs, max_keys=0, into="x").select("doc_id", "_common", "_text", "x.kept").collect())) == [(i, i, "c", "%d" % i) for i in range(12)]
 
 
 @pytest.fixture(scope="module")
