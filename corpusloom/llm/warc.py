@@ -4,11 +4,13 @@
 their names, which are written as the manifest.  Files of lost or repeated tasks are not in it and never read.  Pages
 whose payload equals that of a page with a smaller page_id become revisit records without payload.
 ``read_archives`` streams each file in small reads, inflates member after member, frames blocks by Content-Length and
-verifies block and payload digests.
+verifies block and payload digests, and that a file holds as many records as its manifest says.  Damage is an error of
+the job with strict, else a row with ``error``, after which reading goes on at the next gzip member.  ``checked`` holds
+revisits against their responses.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target; rows that repeat both page_id and
 payload are response records all; a page without page_id revisits a page that has one and an equal payload, else it is a
-response; an archive that breaks off or fails a digest gives a row with ``error`` and is not read further.
+response; further columns of pages are not archived.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, materialise, shared_dir, table
+from .common import bound_batches, broadcast_if_small, free, materialise, own, shared_dir, table
 
 FILE_BYTES, READ, LEVEL = 64 << 20, 1 << 16, 6
+MEMBER = b"\x1f\x8b\x08"
 DATE, PAGE = "1970-01-01T00:00:00Z", "urn:corpus:page:"
 RECORD = {
     "file": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(),
@@ -56,17 +59,29 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return member.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n") + member.flush()
 
 
-def members(stream) -> Iterator[bytes]:
-    """The inflated bytes of each gzip member of a stream."""
-    rest = b""
+def members(stream) -> Iterator[tuple[bytes, str | None]]:
+    """The inflated bytes of each gzip member of a stream; after damage, nothing and what is wrong, once, and then the
+    members from the next one on that can be inflated.  Holds the compressed bytes of one member."""
+    rest, sound = b"", True
     while rest or (rest := stream.read(READ)):
-        inflate, parts = zlib.decompressobj(31), []
-        while not inflate.eof:
-            if not rest and not (rest := stream.read(READ)):
-                raise ValueError("the archive ends within a record")
+        inflate, parts, raw = zlib.decompressobj(31), [], [rest]
+        try:
             parts.append(inflate.decompress(rest))
-            rest = inflate.unused_data
-        yield b"".join(parts)
+            while not inflate.eof:
+                raw.append(stream.read(READ))
+                if not raw[-1]:
+                    raise ValueError("the archive ends within a record")
+                parts.append(inflate.decompress(raw[-1]))
+        except (ValueError, zlib.error) as broken:
+            if sound:
+                yield b"", str(broken)
+            held, sound = b"".join(raw), False
+            while (at := held.find(MEMBER, 1)) < 0 and (more := stream.read(READ)):
+                held = held[-len(MEMBER):] + more
+            rest = held[at:] if at > 0 else b""
+            continue
+        rest, sound = inflate.unused_data, True
+        yield b"".join(parts), None
 
 
 def fields(data: bytes) -> tuple[str, dict[str, str]]:
@@ -106,23 +121,30 @@ def described(file: str, named: dict[str, str], block: bytes) -> dict:
     }
 
 
-def records(file: str, stream) -> Iterator[dict]:
-    try:
-        for member in members(stream):
-            yield described(file, *parsed(member))
-    except (ValueError, KeyError, zlib.error) as broken:
-        yield dict.fromkeys(RECORD) | {"file": file, "error": str(broken)}
+def records(file: str, stream, expected: int | None = None) -> Iterator[dict]:
+    """A row for each record, and for each damaged one, with its error; expected: how many there must be."""
+    blank, good = dict.fromkeys(RECORD) | {"file": file}, 0
+    for member, broken in members(stream):
+        try:
+            row = blank | {"error": broken} if broken else described(file, *parsed(member))
+        except (ValueError, KeyError) as wrong:
+            row = blank | {"error": f"{type(wrong).__name__}: {wrong}"}
+        good += row["error"] is None
+        yield row
+    if expected is not None and good != expected:
+        yield blank | {"error": f"{good} of {expected} records"}
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages with ``_refers``: the smallest page_id of an equal payload, where that is another page."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    digested = pages.withColumn("_digest", F.sha1(payload))
-    often = digested.where(F.length(payload) >= min_bytes).groupBy("_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("_first"))
+    digest, same, first = free(pages, "_digest", "_same", "_first")
+    digested = pages.withColumn(digest, F.sha2(payload, 256))
+    often = digested.where(F.length(payload) >= min_bytes).groupBy(F.col(digest).alias(same)).agg(F.count("*").alias("n"), F.min("page_id").alias(first))
     often = materialise(often.where("n > 1").drop("n"), "warc-equal")
-    later = F.col("page_id").isNull() | (F.col("page_id") > F.col("_first"))
-    joined = digested.join(broadcast_if_small(often), "_digest", "left")
-    return joined.select(*pages.columns, F.when(later, F.col("_first")).alias("_refers"))
+    later = F.col("page_id").isNull() | (F.col("page_id") > F.col(first))
+    joined = digested.join(broadcast_if_small(often), F.col(digest) == F.col(same), "left")
+    return joined.select(*own(pages, "_refers"), F.when(later, F.col(first)).alias("_refers"))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -153,8 +175,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     return materialise(rows.mapInArrow(write, "file string, records long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, path: str, payloads: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
-    """A row for each record of the files in the manifest, in the columns of SCHEMA."""
+def read_archives(manifest: DataFrame, path: str, payloads: bool = True, strict: bool = False, batch_bytes: int = 8 << 20) -> DataFrame:
+    """A row for each record of the files in the manifest, in the columns of SCHEMA; strict: the first damage is an error."""
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
@@ -164,9 +186,11 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = True, batch_b
         store, _ = pyarrow.fs.FileSystem.from_uri(path)
         rows, held = [], 0
         for files in batches:
-            for file in files.column(0).to_pylist():
+            for file, expected in zip(files.column(0).to_pylist(), files.column(1).to_pylist()):
                 with store.open_input_stream(file, compression=None) as stream:
-                    for row in records(file, stream):
+                    for row in records(file, stream, expected):
+                        if strict and row["error"]:
+                            raise ValueError(f"{file}: {row['error']}")
                         rows.append(row if payloads else row | {"payload": None})
                         held += 200 + len(row["payload"] or b"") * payloads
                         if held >= batch_bytes:
@@ -175,13 +199,28 @@ def read_archives(manifest: DataFrame, path: str, payloads: bool = True, batch_b
         if rows:
             yield batch(rows)
 
-    return manifest.select("file").repartition(n, "file").mapInArrow(read, SCHEMA)
+    return manifest.select("file", "records").repartition(n, "file").mapInArrow(read, SCHEMA)
+
+
+def unmatched(found: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes) of revisits to which no response of that page_id and payload belongs."""
+    sides = (found.where(F.col("record_type") == kind).select(F.col(key).alias("refers_to"), "payload_digest", "payload_bytes").distinct() for kind, key in (("revisit", "refers_to"), ("response", "page_id")))
+    revisits, responses = sides
+    return revisits.join(responses, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """found, written; an error if a revisit has no response that it equals."""
+    found = materialise(found, "warc-read")
+    if wrong := unmatched(found).limit(3).collect():
+        raise ValueError(f"revisits without their response: {wrong}")
+    return found
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(manifest, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return checked(read_archives(manifest, path, payloads=False, strict=True).drop("payload")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """

@@ -202,15 +202,42 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_members_stand_alone_and_damage_is_seen():
-    members = [warc.record(i, f"u{i}", b"x" * (i * 7000), None) for i in range(4)]
+    members = [warc.record(i, f"u{i}", random.Random(i).randbytes(i * 7000), None) for i in range(4)]
     stream = b"".join(members)
-    assert [gzip.decompress(m) for m in members] == list(warc.members(io.BytesIO(stream)))
-    assert [r["payload_bytes"] for r in warc.records("f", io.BytesIO(stream))] == [0, 7000, 14000, 21000]
-    cut = list(warc.records("f", io.BytesIO(stream[:-20])))
-    assert len(cut) == 4 and cut[-1]["error"] and not cut[0]["error"]
-    head = gzip.decompress(members[1]).replace(b"xxxxx", b"xxxxy", 1)
-    assert list(warc.records("f", io.BytesIO(gzip.compress(head))))[0]["error"]
-    assert pyarrow.fs.FileSystem.from_uri("file:///tmp")
+    assert [(gzip.decompress(m), None) for m in members] == list(warc.members(io.BytesIO(stream)))
+    assert [r["payload_bytes"] for r in warc.records("f", io.BytesIO(stream), 4)] == [0, 7000, 14000, 21000]
+    cut = list(warc.records("f", io.BytesIO(stream[:-20]), 4))
+    assert len(cut) == 5 and cut[3]["error"] and not cut[0]["error"] and cut[4]["error"] == "3 of 4 records"
+    for at in (len(members[0]) + 3, len(members[0]) + 400, len(members[0]) + 5000):  # the second member is damaged, the others are read
+        broken = bytearray(stream)
+        broken[at] ^= 0x55
+        rows = list(warc.records("f", io.BytesIO(bytes(broken))))
+        assert [r["page_id"] for r in rows if not r["error"]] == [0, 2, 3] and sum(r["error"] is not None for r in rows) == 1
+    text = warc.record(1, "u", b"x" * 7000, None)
+    head = gzip.decompress(text).replace(b"xxxxx", b"xxxxy", 1)
+    rows = list(warc.records("f", io.BytesIO(gzip.compress(head) + members[2])))
+    assert rows[0]["error"] and rows[1]["page_id"] == 2
+    assert list(warc.records("f", io.BytesIO(b"no archive at all")))[0]["error"] and list(warc.records("f", io.BytesIO(b""))) == []
+
+
+def test_warc_fails_loudly(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"text {i % 5}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/warc"
+    manifest = warc.write_archives(pages, path)
+    good = warc.read_archives(manifest, path, strict=True)
+    assert warc.checked(good).count() == 20 and warc.unmatched(good.where("page_id <> 2")).count() == 1
+    with pytest.raises(ValueError, match="without their response"):
+        warc.checked(good.where("page_id <> 2"))
+    with pytest.raises(Exception, match="20 of 21 records"):
+        warc.read_archives(manifest.withColumn("records", F.col("records") + 1), path, strict=True).collect()
+    file = manifest.first().file
+    with open(file, "r+b") as archive:
+        archive.seek(40)
+        archive.write(b"\0" * 8)
+    with pytest.raises(Exception, match=file):
+        warc.read_archives(manifest, path, strict=True).collect()
+    lenient = warc.read_archives(manifest, path).collect()
+    assert sum(r.error is None for r in lenient) == 19 and sum(r.error is not None for r in lenient) == 2
 
 
 PAGES = [
