@@ -12,7 +12,8 @@ rewritten forms are personal data, candidates that fail the base checks, numbers
 examples are not; other candidates of the sample are unknown and left out.  Detection itself covers every document and whole texts.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal spans; an empty table is fitted on the
-generated examples alone.
+generated examples alone.  ``detect`` takes the name of the column that it adds, in place of a caller's column of that
+name; other columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, free, own, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SAMPLE_CHARS, MARGIN, MADE, SEED = 500, 20_000, 4, 400, 11
@@ -360,8 +361,8 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 
 
-def detect(docs: DataFrame, model: Trees | None = None) -> DataFrame:
-    """docs with ``_pii``: the count of base spans of each kind, base and all spans as lists of kind:start:end."""
+def detect(docs: DataFrame, model: Trees | None = None, into: str = "_pii") -> DataFrame:
+    """docs with a struct column ``into``: the count of base spans of each kind, base and all spans as lists of kind:start:end."""
     bound_batches(docs.sparkSession)
     model = model or trained(docs.select("text"))  # a bounded number of trees, sent with the function
 
@@ -375,7 +376,7 @@ def detect(docs: DataFrame, model: Trees | None = None) -> DataFrame:
             spans.append(listed(base + added_spans(text or "", base, model)))
         return pa.StructArray.from_arrays([pa.array(counts, pa.list_(pa.int64())), pa.array(bases, pa.string()), pa.array(spans, pa.string())], ["counts", "base", "spans"])
 
-    return docs.withColumn("_pii", found("text"))
+    return docs.select(*own(docs, into), found("text").alias(into))
 
 
 def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
@@ -393,7 +394,9 @@ def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
             out.append(None if text is None else "".join(parts) + text[at:])
         return pa.array(out, pa.string())
 
-    return detect(docs, model).withColumn("text", masked("text", "_pii.spans")).select(*docs.columns)
+    (spans,) = free(docs, "_pii")
+    text = masked("text", f"{spans}.spans").alias("text")
+    return detect(docs, model, spans).select(*[text if c == "text" else held for c, held in zip(docs.columns, own(docs))])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 Words and word pairs are hashed into BUCKETS buckets.  Two multinomials are counted: of the trusted documents (those
 that ``labels`` calls good) and of the whole raw corpus, both over all their documents and whole texts.  A document's
-score is the mean over its n-grams of log p(trusted) - log p(raw); it is kept if the score is at least THRESHOLD and no
-plain rule rejects it.  The counts are a vector of BUCKETS numbers whatever the corpus, so it may pass the driver.
+score is the mean over its n-grams of log p(trusted) - log p(raw); it is kept if no plain rule rejects it and the score
+reaches a threshold.  That follows from the scores of all trusted documents that pass the plain rules: their median, less
+SPREADS times its distance to their LOW quantile, and at most 0, the score of a document that is no more like one side
+than like the other.  It is one number for every document.  Counts and the histogram of scores are vectors of bounded
+size whatever the corpus, so they may pass the driver.
 
 Defined cases: null and empty texts have no words and fail the word-count rule; documents without doc_id are never
-trusted; repeated rows are judged alike and count as often as they occur; without trusted documents every score is 0.
-Extra columns pass through ``keep_good`` unchanged.
+trusted; repeated rows are judged alike and count as often as they occur; without trusted documents every score is 0 and
+the threshold 0.  ``judge`` takes the name of the column that it adds, in place of a caller's column of that name; other
+columns pass through it and ``keep_good`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -19,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, bound_batches, broadcast_if_small, table
+from .common import BLANKS, bound_batches, broadcast_if_small, free, own, table
 
 BUCKETS = 1 << 14
 #: Counts added to both sides of a bucket, at the scale of the trusted counts: rare buckets of a small corpus say little.
 SMOOTHING = 20.0
-THRESHOLD = -0.07
+#: The fence below the trusted scores: so many times as far below their median as this quantile; and bins of a score of 1.
+SPREADS, LOW, BINS = 6.0, 0.05, 4096
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 MEASURES = {
@@ -80,6 +86,7 @@ def repeated_words(words: list[bytes], hashes: np.ndarray, width: int = WINDOW)
 
 
 def measures(text: str | None, ratios: np.ndarray) -> tuple:
+    """The values of MEASURES but for the last."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     hashes = word_hashes(words)
@@ -87,18 +94,23 @@ def measures(text: str | None, ratios: np.ndarray) -> tuple:
     chars = len(text or "") - (len(data) - len(data.translate(None, BLANKS.encode())))
     lines = [x for x in data.split(b"\n") if x.strip()]
     repeats = repeated_words(words, hashes)
-    score = float(ratios[buckets(hashes)].mean()) if n else 0.0
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-    return n, chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, score, failed, not failed and score >= THRESHOLD
+    return n, chars, len(data) - len(data.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, score(hashes, ratios), failed
 
 
-def ngram_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log p(trusted) - log p(raw) of every bucket; trusted: rows of doc_id.
+def score(hashes: np.ndarray, ratios: np.ndarray) -> float:
+    return float(ratios[buckets(hashes)].mean()) if len(hashes) else 0.0
 
-    The ids are broadcast while few, else joined by a shuffle; each task sums its documents before anything is shuffled.
-    """
+
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, good) of every row; trusted: rows of doc_id, broadcast while few, else joined by a shuffle."""
     good = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
-    marked = docs.join(broadcast_if_small(good), docs["doc_id"] == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))
+    texts = docs.select("doc_id", "text")
+    return texts.join(broadcast_if_small(good), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("good"))
+
+
+def ngram_ratios(texts: DataFrame) -> np.ndarray:
+    """log p(trusted) - log p(raw) of every bucket; each task sums its documents before anything is shuffled."""
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -111,7 +123,7 @@ def ngram_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
 
-    sums = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
+    sums = texts.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in sums:  # at most BUCKETS rows
         raw[bucket], target[bucket] = r, t
@@ -120,18 +132,53 @@ def ngram_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     return np.log((target + SMOOTHING) / (raw * (target.sum() / raw.sum()) + SMOOTHING))
 
 
-def judge(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """docs with a struct column ``_quality`` of all measures and the verdict."""
+def fence(histogram: dict[int, int]) -> float:
+    """The threshold from numbers of trusted scores by bin, exact to a bin; 0 without any."""
+    bins, n = sorted(histogram.items()), sum(histogram.values())
+    if not n:
+        return 0.0
+
+    def quantile(q: float) -> float:
+        left = math.ceil(q * n)
+        for at, many in bins:
+            left -= many
+            if left <= 0:
+                return at / BINS
+
+    return min(0.0, quantile(0.5) - SPREADS * (quantile(0.5) - quantile(LOW)))
+
+
+def threshold(texts: DataFrame, ratios) -> float:
+    """The fence below the scores of all trusted documents that pass the plain rules; ratios: broadcast."""
+
+    def binned(batches):
+        found: dict[int, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                *_, own, failed = measures(text, ratios.value)
+                if not failed:
+                    at = math.floor(own * BINS)
+                    found[at] = found.get(at, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["at", "n"])
+
+    return fence(dict(map(tuple, texts.where("good").select("text").mapInArrow(binned, "at long, n long").groupBy("at").agg(F.sum("n")).collect())))
+
+
+def judge(docs: DataFrame, trusted: DataFrame, into: str = "_quality") -> DataFrame:
+    """docs with a struct column ``into`` of all measures and the verdict."""
     bound_batches(docs.sparkSession)
-    ratios = docs.sparkSession.sparkContext.broadcast(ngram_ratios(docs, trusted))
+    texts = marked(docs, trusted)
+    ratios = docs.sparkSession.sparkContext.broadcast(ngram_ratios(texts))
+    least = threshold(texts, ratios)
     kinds = [pa.int64()] * 5 + [pa.float64()] + [pa.bool_()] * 2
 
     @F.arrow_udf(f"struct<{', '.join(f'{k}: {v}' for k, v in MEASURES.items())}>")
     def measured(texts: pa.Array) -> pa.Array:
-        found = list(zip(*(measures(t, ratios.value) for t in texts.to_pylist()))) or [()] * len(kinds)
+        rows = (measures(t, ratios.value) for t in texts.to_pylist())
+        found = list(zip(*((*m, not m[-1] and m[-2] >= least) for m in rows))) or [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds)], list(MEASURES))
 
-    return docs.withColumn("_quality", measured("text"))
+    return docs.select(*own(docs, into), measured("text").alias(into))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -140,7 +187,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects."""
-    return judge(docs, trusted).where("_quality.kept").select(*docs.columns)
+    (found,) = free(docs, "_quality")
+    return judge(docs, trusted, found).where(F.col(f"{found}.kept")).select(*own(docs))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

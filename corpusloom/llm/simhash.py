@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bound_batches, broadcast_if_small, is_small, materialise, table
+from .common import bound_batches, broadcast_if_small, free, is_small, materialise, own, table
 
 RADIUS, SHINGLE, SEED, TILE = 2, 3, 42, 4096
 STRIP, BLOCK = 64, 1 << 14
@@ -143,24 +143,25 @@ def classes(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The row with the smallest doc_id of every component; one of those that repeat an id there or have none."""
+    name, print_, root, first = free(docs, "_id", "_fp", "_root", "_first")
     found = materialise(classes(docs.select("doc_id", "text"), **options), "simhash-found")
-    gone = broadcast_if_small(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct())
+    gone = broadcast_if_small(found.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("torn")).where("n > 1")
-    repeated = materialise(repeated.select(F.col("doc_id").alias("_id"), "torn"), "simhash-repeated")
-    named, torn = docs.where("doc_id IS NOT NULL"), repeated.where("torn")  # torn ids have rows in several components
-    split = not is_small(torn, 0)
-    whole = named.join(broadcast_if_small(torn), docs["doc_id"] == F.col("_id"), "left_anti") if split else named
-    kept = whole.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    repeated = materialise(repeated.select(F.col("doc_id").alias(name), "torn"), "simhash-repeated")
+    named, torn, same = docs.where("doc_id IS NOT NULL"), repeated.where("torn").select(name), F.col("doc_id") == F.col(name)
+    split = not is_small(torn, 0)  # torn ids have rows in several components
+    whole = named.join(broadcast_if_small(torn), same, "left_anti") if split else named
+    kept = whole.join(gone, same, "left_anti")
     if not is_small(repeated, 0):
         kept = kept.dropDuplicates(["doc_id"])
     if split:
-        own = found.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_first")).where("_first IS NOT NULL").distinct()
-        rows = named.join(broadcast_if_small(torn), docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_fp", fingerprints("text"))
-        kept = kept.unionByName(rows.join(own, "_fp").where("doc_id = _first").dropDuplicates(["_root"]).select(*docs.columns))
-    nameless = found.where("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+        roots = found.select(F.col("fp").alias(print_), F.col("root").alias(root), F.col("component_id").alias(first)).where(F.col(first).isNotNull()).distinct()
+        rows = named.join(broadcast_if_small(torn), same, "left_semi").withColumn(print_, fingerprints("text"))
+        kept = kept.unionByName(rows.join(roots, print_).where(F.col("doc_id") == F.col(first)).dropDuplicates([root]).select(*own(docs)))
+    nameless = found.where("component_id IS NULL").select(F.col("fp").alias(print_), F.col("root").alias(root)).distinct()
     if not is_small(nameless, 0):
-        alone = docs.where("doc_id IS NULL").withColumn("_fp", fingerprints("text")).join(nameless, "_fp")
-        kept = kept.unionByName(alone.dropDuplicates(["_root"]).select(*docs.columns))
+        alone = docs.where("doc_id IS NULL").withColumn(print_, fingerprints("text")).join(nameless, print_)
+        kept = kept.unionByName(alone.dropDuplicates([root]).select(*own(docs)))
     return kept
 
 

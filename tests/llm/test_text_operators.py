@@ -53,13 +53,13 @@ def test_quality_measures_are_those_of_the_definition(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == slow_measures(texts[r.doc_id]), r
-        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
 
 
 def test_quality_ratio_is_the_mean_over_hashed_ngrams(spark):
     texts = made_texts()
     docs = documents(spark, texts)
-    ratios = quality.ngram_ratios(docs, spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long"))
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    ratios = quality.ngram_ratios(quality.marked(docs, trusted))
     grams = [quality.buckets(quality.word_hashes(t.encode().split())) for t in texts]
     raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     for i, g in enumerate(grams):
@@ -68,7 +68,44 @@ def test_quality_ratio_is_the_mean_over_hashed_ngrams(spark):
             np.add.at(target, g, 1)
     want = np.log((target + quality.SMOOTHING) / (raw * target.sum() / raw.sum() + quality.SMOOTHING))
     assert np.allclose(ratios, want)
-    assert not quality.ngram_ratios(docs, spark.createDataFrame([], "doc_id long")).any()
+    assert not quality.ngram_ratios(quality.marked(docs, trusted.limit(0))).any()
+
+
+def slow_verdicts(texts, trusted):
+    """kept of every text, from counts in dictionaries and a sorted list of the trusted scores."""
+    import math
+    import zlib
+
+    def grams(text):
+        h = [zlib.crc32(w) for w in (text or "").encode().split()]
+        odd, low = 0x9E3779B97F4A7C15, (1 << 64) - 1
+        keys = [x * odd & low for x in h] + [(a * odd + b) * odd & low for a, b in zip(h, h[1:])]
+        return [k >> 64 - (quality.BUCKETS.bit_length() - 1) for k in keys]
+
+    raw, good = Counter(), Counter()
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        good.update(grams(t) if i in trusted else ())
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {b: math.log((good[b] + quality.SMOOTHING) / (n * share + quality.SMOOTHING)) if good else 0.0 for b, n in raw.items()}
+    scores = [np.mean([ratio[b] for b in grams(t)]) if grams(t) else 0.0 for t in texts]
+    failed = [slow_measures(t)[-1] for t in texts]
+    known = sorted(math.floor(scores[i] * 4096) / 4096 for i in range(len(texts)) if i in trusted and not failed[i])
+    middle, low = (known[math.ceil(q * len(known)) - 1] for q in (0.5, 0.05)) if known else (0.0, 0.0)
+    least = min(0.0, middle - 6 * (middle - low))
+    return [not f and s >= least for f, s in zip(failed, scores)]
+
+
+def test_quality_verdicts_equal_a_plain_statement(spark):
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words[:200], k=rng.randint(15, 90))) for _ in range(150)] + [" ".join(rng.choices(words[150:], k=60)) for _ in range(60)] + EDGE
+    ids = lambda rows: spark.createDataFrame([(i,) for i in rows], "doc_id long")
+    for trusted in (range(0, 120), range(0, 6), ()):
+        rows = quality.judge(documents(spark, texts), ids(trusted)).select("doc_id", "_quality.kept").collect()
+        want = slow_verdicts(texts, set(trusted))
+        assert [k for _, k in sorted(map(tuple, rows))] == want and (len(set(want)) == 2)
+    assert quality.fence({}) == 0.0 and quality.fence({-8: 1}) == -8 / 4096 and quality.fence({100: 10}) == 0.0
 
 
 def test_quality_tells_junk_from_prose(spark):
@@ -298,6 +335,37 @@ def test_pii_trees_hold_on_unseen_examples_and_add_rewritten_data(spark):
     assert masked[0].text == "mail [email] or [phone]!" and masked[1].text is None
 
 
+CLASH = "doc_id int, text string, source string, n_chars int, _quality string, _pii int, _lines int, _mix int, _copy string, _target int, _salt int, _id int, _fp int, _root int, _first int, _good int, `a.b` int"
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from corpusloom.llm import simhash
+
+    text = "one two three four five six seven eight nine ten eleven twelve a b c d e f g h i"
+    rows = [(i, f"{text} {i * 7919}", f"s{i % 2}", 5, "q", 1, 2, 3, "c", 4, 5, 6, 7, 8, 9, 10, 11) for i in range(6)] + [(None, "x", None, 0, *rows) for rows in [("q", 1, 2, 3, "c", 4, 5, 6, 7, 8, 9, 10, 11)]] 
+    docs = spark.createDataFrame(rows, CLASH)
+    rest = {r[4:] for r in rows}
+    ids = spark.createDataFrame([(i,) for i in range(6)], "doc_id int")
+    results = (quality.keep_good(docs, ids), pii.redact(docs, pii.trained(docs.limit(0).select("text"))), line_dedup.drop_common_lines(docs), mixing.mix(docs), mixing.mix(docs, salted=True), simhash.keep_one(docs))
+    for out in results:
+        assert out.columns == docs.columns and {tuple(r)[4:] for r in out.collect()} == rest
+    again = spark.createDataFrame([*rows, (3, "other text", *rows[0][2:])], CLASH)
+    assert {tuple(r)[4:] for r in simhash.keep_one(again).collect()} == rest
+    for found in (quality.judge(docs, ids, "_pii"), mixing.with_copies(docs, into="_pii")):
+        assert sorted(found.columns) == sorted(docs.columns) and found.count() == len(rows)
+
+
+def test_many_sources_are_mixed_alike_by_sums(spark):
+    rng = random.Random(3)
+    sizes = spark.createDataFrame([(f"s{i:03}" if i else None, rng.choice([0, 1, 5, 1000, 100_000])) for i in range(300)], "source string, size long")
+    for share, cap in ((1.5, 2.0), (0.1, 2.0), (3.0, 2.0), (1.99, 2.0)):
+        one, many = (sorted(map(tuple, mixing.source_targets(sizes, share=share, cap=cap, few=few).collect()), key=str) for few in (1000, 10))
+        assert one == many
+        total, target = sum(r[1] for r in one), sum(r[2] for r in one)
+        assert target == pytest.approx(min(share, cap) * total)
+    assert mixing.source_targets(sizes.limit(0), few=-1).count() == 0
+
+
 def test_mixing_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " w" * rng.randint(0, 9), ("hot" if i % 3 == 0 else f"s{i % 7}") if i % 11 else None, 1) for i in range(4000)] + [(None, "a b", "hot", 1), (5, None, "s5", 1)]
