@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -20,12 +22,12 @@ from .ledgers import row_ids
 
 #: Partners of each code in a uniqueness score, or all if there are fewer.
 PARTNERS = 1000
-#: Row numbers and node sequences that may be broadcast; more are joined by a shuffle.
-NUMBERS, SEQUENCES = 500_000, 10_000
-#: Query vectors that one block holds; each block visits every vector once.
-BLOCK = 1024
-#: The same, where a cell gives back every pair.
-PAIR_BLOCK = 128
+#: Row numbers, node sequences and nodes in these that may be broadcast; more are joined by a shuffle.
+NUMBERS, SEQUENCES, NODES = 2_000_000, 10_000, 4_000_000
+#: Ratios that a task remembers.
+KNOWN = 1_000_000
+#: Queries that are read at a time, and that give back their pairs at a time.
+BLOCK, PAIR_BLOCK = 256, 128
 
 
 def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -35,7 +37,7 @@ def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(F.col(key).alias("id"), v.alias("v"), norm.alias("n")).where("n > 0").select("id", F.transform("v", lambda x: x / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("v"))
 
 
-def cells(asked: DataFrame, base: DataFrame, shard: int, block: int = BLOCK):
+def cells(asked: DataFrame, base: DataFrame, shard: int, block: int):
     """Both sides grouped into cells, in which each block of queries meets each shard of the base once; both have an id."""
     shards, blocks = max(1, -(-base.count() // shard)), max(1, -(-asked.count() // block))
     all_of = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
@@ -44,33 +46,72 @@ def cells(asked: DataFrame, base: DataFrame, shard: int, block: int = BLOCK):
     return left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard"))
 
 
-def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, shard: int = 4096, own: bool = False) -> DataFrame:
+def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, shard: int = 65_536, own: bool = False) -> DataFrame:
     """query_id, vec_id, cosine and rank of each query's k nearest vectors, ties to the smaller id; own: with the vector of
-    the query's id, else without.
+    the query's id, else without.  Shorter vectors count as zero in the missing dimensions.
 
-    Blocks of queries meet shards of vectors in cells of bounded size; each cell multiplies two matrices and keeps its
-    k best for each query, and the cells are merged.
+    The vectors are shuffled once, into tasks that take at most so many at a time; each reads the written queries in
+    blocks from the shared folder, multiplies two matrices and keeps its k best for each query, and the tasks are merged.
     """
-    base, asked = normalised(vectors, key, vector), normalised(queries, key, vector)
-
-    def nearest(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(held):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []})
-        ids, held_ids = asked["id"].to_numpy(), held["id"].to_numpy()
-        scores = np.stack(asked["v"].to_numpy()) @ np.stack(held["v"].to_numpy()).T
-        out = []
-        for i, row in enumerate(scores):
-            row = np.round(row, 9) if own else np.where(held_ids == ids[i], -np.inf, np.round(row, 9))
-            at = np.lexsort((held_ids, -row))[:k]
-            at = at[row[at] > -np.inf]
-            out.append(pd.DataFrame({"query_id": ids[i], "vec_id": held_ids[at], "cosine": row[at]}))
-        return pd.concat(out)
-
-    found = cells(asked, base, shard).applyInPandas(nearest, "query_id long, vec_id long, cosine double")
+    spark, path = vectors.sparkSession, work_path(vectors.sparkSession, "queries")
+    base = normalised(vectors, key, vector)
+    normalised(queries, key, vector).write.parquet(path)
+    kind = base.schema["id"].dataType.simpleString()
+
+    def nearest(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= shard:
+                yield from answers(held)
+                held, n = [], 0
+        if n:
+            yield from answers(held)
+
+    def answers(held):
+        rows = pa.Table.from_batches(held).sort_by("id").combine_chunks()
+        ids, base = rows.column("id").to_numpy(), matrix(rows.column("v").combine_chunks())
+        store, folder = pyarrow.fs.FileSystem.from_uri(path)
+        for batch in pyarrow.dataset.dataset(folder, filesystem=store, format="parquet").to_batches(batch_size=BLOCK):
+            asked, names = matrix(batch.column("v")), batch.column("id").to_numpy(zero_copy_only=False)
+            width = max(asked.shape[1], base.shape[1])
+            scores = np.round(widened(asked, width) @ widened(base, width).T, 9)
+            for i in range(0, len(scores), PAIR_BLOCK):
+                part = scores[i:i + PAIR_BLOCK]
+                if not own:
+                    part[ids == names[i:i + PAIR_BLOCK, None]] = -np.inf
+                yield best_of(part, names[i:i + PAIR_BLOCK], ids)
+
+    def best_of(part, names, ids):
+        rows, found = [], []
+        for i, row in enumerate(part):
+            floor = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            at = np.flatnonzero((row >= floor) & (row > -np.inf))
+            at = at[np.argsort(-row[at], kind="stable")][:k]  # ids rise
+            rows.append(np.full(len(at), i))
+            found.append(at)
+        rows, found = np.concatenate(rows), np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(ids[found]), pa.array(part[rows, found])], ["query_id", "vec_id", "cosine"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // shard))
+    found = base.repartition(tasks).mapInArrow(nearest, f"query_id {kind}, vec_id {kind}, cosine double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Rows of a list array, padded with zeros."""
+    sizes = np.diff(vectors.offsets.to_numpy(zero_copy_only=False))
+    out = np.zeros((len(vectors), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def widened(a: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(a, ((0, 0), (0, width - a.shape[1])))
+
+
 def pair_ratios(codes: DataFrame, queries: DataFrame, key: str, nodes: str, shard: int = 4096) -> DataFrame:
     """query_id, match_id and ratio of the node sequences of every query and every code; equal pairs are compared once in a cell."""
     base, asked = (x.select(F.col(key).alias("id"), F.col(nodes).alias("nodes")) for x in (codes, queries))
@@ -104,7 +145,9 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 def ted_rerank(pairs: DataFrame) -> DataFrame:
     """pairs: query_id, match_id, query_code, match_code, rank; re-ordered by tree similarity, ties by rank; those
     without a tree are dropped."""
-    scored = pairs.withColumn("ted", ted_similarity("query_code", "match_code")).where(F.col("ted").isNotNull())
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pairs.repartition(tasks, "query_id")  # few bytes and much work: not to be put together
+    scored = spread.withColumn("ted", ted_similarity("query_code", "match_code")).where(F.col("ted").isNotNull())
     order = W.partitionBy("query_id").orderBy(F.desc("ted"), "rank")
     return scored.select("query_id", "match_id", "ted", F.col("rank").alias("original_ranking"), F.row_number().over(order).alias("rank"))
 
@@ -112,22 +155,63 @@ def ted_rerank(pairs: DataFrame) -> DataFrame:
 def uniqueness_score(codes: DataFrame, key: str, nodes: str, k: int, seed: int) -> DataFrame:
     """1 - mean similarity of each node sequence to min(k, n) of all n, drawn without replacement; a row may draw itself.
 
-    Rows are numbered in the order of a seeded digest, and each draws its partners' numbers by its own digest.  Partners
-    with equal sequences are counted before sequences are joined, so that each of these is compared once for a row.
+    Rows are numbered in the order of a seeded digest, and each draws its partners' numbers by its own digest.  While the
+    numbers and the distinct sequences are few enough to broadcast, a row is rated in one step: partners with equal sequences
+    are counted, and each of these is compared once in a task.  Beyond that numbers and sequences are joined.
     """
     order = codes.select(F.col(key).alias("id"), F.col(nodes).alias("nodes"), draw_key(seed, F.col(key)).alias("draw"))
+    order = write_parquet(order, work_path(codes.sparkSession, "drawn"))  # ranges are sampled before they are made
     numbered = row_ids(order, "draw", "id").select("id", "nodes", "draw", (F.col("row_id") - 1).alias("no"))
     numbered = write_parquet(numbered.withColumn("seq", F.unhex(F.md5(F.concat_ws("\n", "nodes")))), work_path(codes.sparkSession, "numbered"))
-    total = numbered.count()
-    many = min(k, total)
+    kinds = write_parquet(numbered.groupBy("seq").agg(F.first("nodes").alias("nodes")), work_path(codes.sparkSession, "sequences"))
+    total, (n_kinds, size) = numbered.count(), kinds.agg(F.count("*"), F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()
+    if total <= NUMBERS and n_kinds <= SEQUENCES and size <= NODES:
+        return rated_at_once(numbered, kinds, total, min(k, total))
+    return rated_by_joins(numbered, kinds, total, min(k, total))
+
+
+def partners(draw: str, total: int, many: int) -> np.ndarray:
+    return np.random.default_rng(int(draw, 16)).choice(total, many, replace=False, shuffle=False)
+
+
+def rated_at_once(numbered: DataFrame, kinds: DataFrame, total: int, many: int) -> DataFrame:
+    spark = numbered.sparkSession
+    known = {bytes(r.seq): (i, r.nodes) for i, r in enumerate(kinds.collect())}  # at most SEQUENCES of NODES nodes in all
+    names: dict[str, int] = {}
+    sequences = [[names.setdefault(x, len(names)) for x in nodes] for _, nodes in known.values()]
+    kind_of = np.zeros(total, np.int32)
+    for no, seq in numbered.select("no", "seq").collect():  # at most NUMBERS
+        kind_of[no] = known[bytes(seq)][0]
+    held = spark.sparkContext.broadcast((sequences, kind_of))
+    ratios: dict[tuple[int, int], float] = {}
+
+    def ratio(a: int, b: int) -> float:
+        if (a, b) not in ratios:
+            if len(ratios) >= KNOWN:
+                ratios.clear()
+            ratios[a, b] = ratio_of(held.value[0][a], held.value[0][b])
+        return ratios[a, b]
+
+    @F.arrow_udf("double")
+    def uniqueness(draws: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for draw, no in zip(draws.to_pylist(), numbers.to_pylist()):
+            met, times = np.unique(held.value[1][partners(draw, total, many)], return_counts=True)
+            own = int(held.value[1][no])
+            out.append(1 - sum(n * ratio(own, x) for x, n in zip(met.tolist(), times.tolist())) / many)
+        return pa.array(out, pa.float64())
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return numbered.select("id", "draw", "no").repartition(tasks, "id").select("id", F.round(uniqueness("draw", "no"), 12).alias("uniqueness"))
+
 
+def rated_by_joins(numbered: DataFrame, kinds: DataFrame, total: int, many: int) -> DataFrame:
     @F.arrow_udf("array<long>")
-    def partners(draws: pa.Array) -> pa.Array:
-        return pa.array([np.random.default_rng(int(x, 16)).choice(total, many, replace=False, shuffle=False) for x in draws.to_pylist()], pa.list_(pa.int64()))
+    def drawn_by(draws: pa.Array) -> pa.Array:
+        return pa.array([partners(x, total, many) for x in draws.to_pylist()], pa.list_(pa.int64()))
 
     small = lambda df, rows: F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-    kinds = numbered.groupBy("seq").agg(F.first("nodes").alias("nodes"))
-    drawn = numbered.repartition("id").select("id", F.col("seq").alias("a"), F.explode(partners("draw")).alias("no"))
+    drawn = numbered.repartition("id").select("id", F.col("seq").alias("a"), F.explode(drawn_by("draw")).alias("no"))
     met = drawn.join(small(numbered.select("no", F.col("seq").alias("b")), NUMBERS), "no").groupBy("id", "a", "b").agg(F.count("*").alias("times"))
     pairs = met
     for side in ("a", "b"):

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scans import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,7 +49,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("p_partkey") % 8 + 1).cast("int"))
     code = F.replace(filled, F.lit("{k}"), (F.col("p_partkey") % 200).cast("string"))
     note = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("# note "), F.col("p_partkey").cast("string"), F.lit("\n"))).otherwise("")
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         F.col("p_partkey").cast("long").alias("id"), (F.col("p_partkey") % 8).cast("int").alias("template"), F.concat(code, note).alias("code"),
         F.concat(F.lit("part/"), "p_partkey", F.lit(".py")).alias("full_path"),
     )

@@ -18,6 +18,7 @@ from ..functions.syntax import parse, renamed
 from ..operators import ranks as R
 from ..operators import similarity as N
 from ..operators import stats as A
+from ..sources.scans import spread
 from ..sources.sinks import work_path, write_parquet
 from ..streaming import jobs as J
 from .fixtures import CODE_FILES, CORPUS, SHAPE_ROWS, code_files, corpus, leases, results, table
@@ -94,8 +95,9 @@ def distinct_codes(spark, sf_dir) -> DataFrame:
 
 def code_pairs(spark, sf_dir) -> DataFrame:
     """Each distinct code of every fiftieth id with its 100 nearest of all distinct codes, and their rank."""
-    parsed = distinct_codes(spark, sf_dir).withColumn("m", S.syntax_metrics("code")).where("m.valid")
-    embedded = parsed.select("id", N.bag_embedding()("m.nodes").alias("v"))
+    metrics = spread(distinct_codes(spark, sf_dir)).withColumn("m", S.syntax_metrics("code")).where("m.valid")
+    parsed = write_parquet(metrics.select("id", "code", "m.nodes"), work_path(spark, "parsed"))
+    embedded = parsed.select("id", N.bag_embedding()("nodes").alias("v"))
     found = N.knn_cosine(embedded, embedded.where(F.col("id") % EVERY == 0), "id", "v", 100)
     return with_codes(found, parsed, parsed)
 
@@ -109,13 +111,14 @@ def with_codes(found: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame
 @query(None)
 def pair_similarity(spark, sf_dir):
     """Each distinct code of every fiftieth id against all distinct codes; 0 if one does not parse."""
-    codes = distinct_codes(spark, sf_dir).select("id", S.syntax_metrics("code").alias("m")).select("id", "m.nodes")
+    metrics = spread(distinct_codes(spark, sf_dir)).select("id", S.syntax_metrics("code").alias("m"))
+    codes = write_parquet(metrics.select("id", "m.nodes"), work_path(spark, "parsed"))
     return N.pair_ratios(codes, codes.where(F.col("id") % EVERY == 0), "id", "nodes")
 
 
 @query(None)
 def ted_similarity(spark, sf_dir):
-    return code_pairs(spark, sf_dir).select("query_id", "match_id", S.ted_similarity("query_code", "match_code").alias("ted"))
+    return code_pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id").select("query_id", "match_id", S.ted_similarity("query_code", "match_code").alias("ted"))
 
 
 @query(None)
@@ -243,7 +246,7 @@ def score_files(spark, sf_dir):
 def ranked_originals(spark, sf_dir) -> DataFrame:
     """Each distinct code of every fiftieth id as query, and the rank of that code among the neighbours of its rewrite,
     re-ordered by trees; -1 if it is not among them or the rewrite failed."""
-    codes = distinct_codes(spark, sf_dir).where(S.is_valid_code("code"))
+    codes = write_parquet(spread(distinct_codes(spark, sf_dir)).where(S.is_valid_code("code")), work_path(spark, "codes"))
     prompts = codes.where(F.col("id") % EVERY == 0).select("id", T.rewrite_prompt(F.col("code")).alias("prompt"))
     rewrites = write_parquet(enrich_with_model(prompts, "prompt", renaming_model).select("id", F.col("answer").alias("code"), "ok"), work_path(spark, "rewrites"))
     words = F.regexp_extract_all("code", F.lit("[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]"), 0)

@@ -15,6 +15,12 @@ def scan_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return spark.read.parquet(path).select(*columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cluster's cores if its splits are fewer: for costly work on each row of a small table."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_batches(df: DataFrame, rows: int) -> DataFrame:
     """df with ``batch_rows``, the size of the batch that a row was handled in: at most ``rows``."""
 

@@ -104,6 +104,40 @@ def test_uniqueness_meets_all_rows_or_a_fair_draw(spark):
     assert set(selves) == {0.9, 1.0} and selves.count(0.9) < 30  # a row meets itself by chance only
 
 
+def test_uniqueness_by_joins_equals_that_in_one_step(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [f"N{i % 9}"] * (i % 4) + ["A", "B"]) for i in range(60)], "id int, nodes array<string>")
+    found = lambda: {r.id: r.uniqueness for r in N.uniqueness_score(rows, "id", "nodes", 20, 1).collect()}
+    once = found()
+    monkeypatch.setattr(N, "SEQUENCES", 3)
+    assert found() == pytest.approx(once, abs=1e-9) and len(once) == 60
+    assert N.uniqueness_score(rows.limit(0), "id", "nodes", 20, 1).count() == 0
+
+
+def test_neighbours_of_vectors_of_unlike_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [1.0, 0.0, 1.0]), (4, []), (5, None), (6, [0.0, 0.0])], "id long, v array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.cosine, 6)) for r in N.knn_cosine(rows, rows.where("id = 1"), "id", "v", 5).collect()}
+    assert got == {(1, 1): (2, 1.0), (1, 2): (3, 0.707107)}
+    assert N.knn_cosine(rows.limit(0), rows, "id", "v", 5).count() == N.knn_cosine(rows, rows.limit(0), "id", "v", 5).count() == 0
+
+
+def test_work_is_dropped_and_settings_stay(spark):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    path = sinks.work_path(spark, "gone")
+    held = spark.conf.get("spark.checkpoint.dir")
+    assert path.startswith(held + "/")
+    other = SimpleNamespace(conf={}, sparkContext=spark.sparkContext)  # a local session without the setting
+    local = sinks.work_path(other, "x")
+    assert local.startswith("file:///") and not other.conf and sinks.work_top(other) == sinks.work_top(other)
+    spark.range(3).write.parquet(local)
+    sinks.drop_work(other)
+    assert not Path(local.removeprefix("file://")).exists()
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sized = scans.scan_batches(spark.range(1000), 100).agg(F.max("batch_rows"), F.count("*")).first()
+    assert tuple(sized) == (100, 1000) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == rows
+
+
 def test_sinks_give_back_what_they_wrote(spark):
     df = spark.range(90).select("id", F.lit(None).cast("string").alias("x"))
     path = sinks.work_path(spark, "t")
