@@ -24,6 +24,7 @@ from ..streaming import jobs as J
 from .fixtures import CODE_FILES, CORPUS, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
 from .scalars import measured
+from .shapes import BAG_ROWS, RATIO_ROWS, SUBTREE_ROWS, TREE_ROWS, VOCABULARY
 
 #: Every fiftieth row is a query, against all rows.
 EVERY = 50
@@ -88,6 +89,9 @@ def rank_histogram(spark, sf_dir):
     return A.rank_histogram(originals(spark, sf_dir))
 
 
+DISTINCT = "codes AS (SELECT min(id) AS id, any_value(template) AS template FROM code_files GROUP BY code)"
+
+
 def distinct_codes(spark, sf_dir) -> DataFrame:
     """Each distinct code under its smallest id."""
     return code_files(spark, sf_dir).groupBy("code").agg(F.min("id").alias("id"))
@@ -108,7 +112,7 @@ def with_codes(found: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame
     return found.join(left, "query_id").join(right, "vec_id").select("query_id", F.col("vec_id").alias("match_id"), "query_code", "match_code", "rank")
 
 
-@query(None)
+@query("SELECT q.id AS query_id, c.id AS match_id, ratio::DOUBLE AS ratio FROM codes q JOIN codes c ON q.id % 50 = 0 JOIN ratios ON a = q.template AND b = c.template", CODE_FILES, DISTINCT, RATIO_ROWS)
 def pair_similarity(spark, sf_dir):
     """Each distinct code of every fiftieth id against all distinct codes; 0 if one does not parse."""
     metrics = spread(distinct_codes(spark, sf_dir)).select("id", S.syntax_metrics("code").alias("m"))
@@ -140,7 +144,7 @@ def vocabulary(sequences: DataFrame, order: str, nodes: str = "nodes") -> DataFr
     return seen.select("node_type", F.row_number().over(W.orderBy("first")).alias("node_id"))
 
 
-@query(None)
+@query("SELECT node_type, node_id FROM vocabulary", CODE_FILES, TREE_ROWS, VOCABULARY)
 def node_vocabulary(spark, sf_dir):
     return vocabulary(measured(spark, sf_dir).select("id", "m.nodes"), "id")
 
@@ -150,9 +154,15 @@ def encoded_files(spark, sf_dir) -> DataFrame:
     return code_files(spark, sf_dir).select("id", "template", S.subtree_encoder({t: i for t, i in found})("code").alias("trees"))
 
 
-@query(None)
+@query(
+    """SELECT id, coalesce(coded, '') AS trees FROM code_files LEFT JOIN (SELECT template, string_agg(ids, ';' ORDER BY no) AS coded FROM
+    (SELECT template, no, array_to_string([v[x] FOR x IN string_split(nodes, ' ')], ' ') AS ids FROM subtrees, (SELECT map(list(node_type), list(node_id)) AS v FROM vocabulary)) GROUP BY template) USING (template)""",
+    CODE_FILES, TREE_ROWS, SUBTREE_ROWS, VOCABULARY,
+)
 def subtree_encode(spark, sf_dir):
-    return encoded_files(spark, sf_dir).select("id", "trees")
+    """Node ids of each subtree, joined by spaces, the subtrees by semicolons."""
+    joined = F.array_join(F.transform("trees", lambda t: F.array_join(t.cast("array<string>"), " ")), ";")
+    return encoded_files(spark, sf_dir).select("id", joined.alias("trees"))
 
 
 def enrich_with_model(rows: DataFrame, prompt: str, make_model) -> DataFrame:
@@ -188,16 +198,18 @@ def renaming_model():
     return lambda text: renamed(text.split("\n\n", 1)[1])
 
 
-@query("SELECT id, valid AS ok, NULL::VARCHAR AS error FROM code_files JOIN shapes USING (template)", CODE_FILES, SHAPE_ROWS)
+@query("SELECT id, code AS answer, valid AS ok, NULL::VARCHAR AS error FROM code_files JOIN shapes USING (template)", CODE_FILES, SHAPE_ROWS)
 def enrich_with_model_stub(spark, sf_dir):
     """A stub in a model's place: it returns the prompt's code."""
-    rows = code_files(spark, sf_dir).select("id", T.rewrite_prompt(F.col("code")).alias("prompt"))
-    return enrich_with_model(rows, "prompt", echo_model).select("id", "ok", "error")
+    rows = code_files(spark, sf_dir).select("id", T.prompt(F.col("code"), T.REWRITE).alias("prompt"))
+    return enrich_with_model(rows, "prompt", echo_model).select("id", "answer", "ok", "error")
 
 
-@query(None)
+@query("SELECT id, bucket, weight::DOUBLE AS weight FROM code_files JOIN bags USING (template)", CODE_FILES, BAG_ROWS)
 def embed_code(spark, sf_dir):
-    return measured(spark, sf_dir).select("id", N.bag_embedding()("m.nodes").alias("embedding"))
+    """The parts of each file's vector that are not zero."""
+    parts = measured(spark, sf_dir).select("id", F.posexplode(N.bag_embedding()("m.nodes")).alias("bucket", "weight"))
+    return parts.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
 def stages(min_df: float = 1.0) -> list:
@@ -247,7 +259,7 @@ def ranked_originals(spark, sf_dir) -> DataFrame:
     """Each distinct code of every fiftieth id as query, and the rank of that code among the neighbours of its rewrite,
     re-ordered by trees; -1 if it is not among them or the rewrite failed."""
     codes = write_parquet(spread(distinct_codes(spark, sf_dir)).where(S.is_valid_code("code")), work_path(spark, "codes"))
-    prompts = codes.where(F.col("id") % EVERY == 0).select("id", T.rewrite_prompt(F.col("code")).alias("prompt"))
+    prompts = codes.where(F.col("id") % EVERY == 0).select("id", T.prompt(F.col("code"), T.REWRITE).alias("prompt"))
     rewrites = write_parquet(enrich_with_model(prompts, "prompt", renaming_model).select("id", F.col("answer").alias("code"), "ok"), work_path(spark, "rewrites"))
     words = F.regexp_extract_all("code", F.lit("[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]"), 0)
     base, asked = (x.select("id", N.bag_embedding(256)(words).alias("v")) for x in (codes, rewrites.where("ok")))

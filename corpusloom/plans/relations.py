@@ -14,6 +14,7 @@ from ..sources.scans import parse_responses
 from .fixtures import CODE_FILES, CORPUS, LEASES, LEDGERS, PREDICTIONS, REQUESTS, RESPONSES, RESULTS, SHAPE_ROWS, TRIALS
 from .fixtures import code_files, corpus, leases, ledgers, predictions, requests, responses, results, table, trials
 from .register import query
+from .shapes import SUBTREE_ROWS, TREE_ROWS, VOCABULARY
 from .scalars import COMMENT_FREE, REWRITES, complexity, measured
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -208,14 +209,19 @@ def batch_success_rate(spark, sf_dir):
     return A.success_rate(parse_responses(responses(spark, sf_dir))).withColumn("rate", F.round("rate", 9))
 
 
-@query(None)
+@query(
+    """SELECT round(avg(n), 6) AS mean_nodes, round(stddev_pop(n), 6) AS std_nodes, round(avg(trees), 6) AS mean_trees, round(avg(n) / (70 * 150), 9) AS fill
+    FROM (SELECT coalesce(n, 0) AS n, coalesce(trees, 0) AS trees FROM code_files LEFT JOIN (SELECT template, sum(len(string_split(nodes, ' '))) AS n, count(*) AS trees FROM subtrees GROUP BY template) USING (template))""",
+    CODE_FILES, SUBTREE_ROWS,
+)
 def encoding_stats(spark, sf_dir):
     from .models import encoded_files
 
-    return A.encoding_stats(encoded_files(spark, sf_dir))
+    found = A.encoding_stats(encoded_files(spark, sf_dir))
+    return found.select(*[F.round(c, 9 if c == "fill" else 6).alias(c) for c in found.columns])
 
 
-@query(None)
+@query("SELECT node_type, count(*) AS n FROM seen GROUP BY node_type ORDER BY n DESC, node_type LIMIT 10", CODE_FILES, TREE_ROWS, VOCABULARY)
 def node_type_topk(spark, sf_dir):
     return A.node_type_topk(measured(spark, sf_dir).select("m.nodes"))
 

@@ -8,6 +8,7 @@ from ..functions import syntax as S
 from ..functions import text as T
 from .fixtures import CODE_FILES, CORPUS, FENCES_SQL, RESULTS, SHAPE_ROWS, code_files, corpus, results, table
 from .register import query
+from .shapes import BLOCK_ROWS, NORMAL_ROWS, TREE_ROWS, filled, literal
 
 
 @query("SELECT page_id, url FROM pages WHERE url LIKE '%.html' AND NOT (page_id % 7 = 0) AND length(html) BETWEEN 1024 AND 10000000")
@@ -137,11 +138,11 @@ def batch_id(spark, sf_dir):
 
 
 @query(
-    "SELECT id, 'Code solution for:' || chr(10) || coalesce(Body, '') || chr(10) || 'Provide only the code.' AS ask, 'Rewrite this Python code without changing its functionality:' || chr(10) || chr(10) || coalesce(Title, '') AS rewrite FROM results",
+    f"SELECT id, replace({literal(T.ASK)}, '{{}}', coalesce(Body, '')) AS ask, replace({literal(T.REWRITE)}, '{{}}', coalesce(Title, '')) AS rewrite FROM results",
     RESULTS,
 )
 def render_prompt(spark, sf_dir):
-    return results(spark, sf_dir).select("id", T.question_prompt(F.col("Body")).alias("ask"), T.rewrite_prompt(F.col("Title")).alias("rewrite"))
+    return results(spark, sf_dir).select("id", T.prompt(F.col("Body"), T.ASK).alias("ask"), T.prompt(F.col("Title"), T.REWRITE).alias("rewrite"))
 
 
 @query("""SELECT id, '{"custom_id":"q' || id || '","method":"POST","url":"/v1/chat","body":{"model":"m","messages":[{"role":"user","content":"' || coalesce(Body, '') || '"}]}}' AS request FROM results""", RESULTS)
@@ -188,11 +189,15 @@ REWRITES = """rewrites AS (SELECT id, n, json_extract_string(data, '$.full_path'
   FROM (SELECT id, n, CASE WHEN json_valid(data) THEN data END AS data FROM results))"""
 
 
-@query("SELECT id, full_path, reason, 'gpt-4o-mini-2024-07-18' AS model FROM rewrites", RESULTS, REWRITES)
+@query(
+    "SELECT id, original, CASE WHEN original IS NOT NULL THEN CASE n % 3 WHEN 0 THEN 'x = ' || n WHEN 1 THEN 'y = ' || n END END AS rewritten, CASE WHEN original IS NOT NULL THEN 'gpt-4o-mini-2024-07-18' END AS model_used, full_path, reason "
+    "FROM (SELECT *, CASE WHEN full_path IS NOT NULL THEN 'x = 1' END AS original FROM rewrites)",
+    RESULTS, REWRITES,
+)
 def json_rewrite_pairs(spark, sf_dir):
     from .pipelines import rewrite_pairs
 
-    return rewrite_pairs(results(spark, sf_dir)).select("id", "full_path", "reason", F.lit("gpt-4o-mini-2024-07-18").alias("model"))
+    return rewrite_pairs(results(spark, sf_dir))
 
 
 @query(
@@ -253,27 +258,29 @@ def code_complexity(spark, sf_dir):
     return complexity(measured(spark, sf_dir))
 
 
-@query("SELECT id, nodes::INTEGER AS nodes FROM code_files JOIN shapes USING (template) WHERE valid", *SHAPED)
+@query("SELECT id, nodes FROM code_files JOIN trees USING (template) WHERE nodes IS NOT NULL", CODE_FILES, TREE_ROWS)
 def ast_node_seq(spark, sf_dir):
-    return measured(spark, sf_dir).where("m.valid").select("id", F.size("m.nodes").alias("nodes"))
+    """Node types in preorder, joined by spaces."""
+    return measured(spark, sf_dir).where("m.valid").select("id", F.array_join("m.nodes", " ").alias("nodes"))
 
 
-@query("SELECT id, valid AND template <> 5 AS has_json, valid AS has_alternative FROM code_files JOIN shapes USING (template)", *SHAPED)
+@query(f"SELECT id, {filled('ast')} AS ast FROM code_files JOIN trees USING (template)", CODE_FILES, TREE_ROWS)
 def ast_json(spark, sf_dir):
-    rows = code_files(spark, sf_dir).select("id", S.code_json("code").alias("a"), S.code_json_alternative("code").alias("b"))
-    return rows.select("id", F.coalesce(F.get_json_object("a", "$._type") == "Module", F.lit(False)).alias("has_json"), F.coalesce(F.get_json_object("b", "$.node_type") == "Module", F.lit(False)).alias("has_alternative"))
+    return code_files(spark, sf_dir).select("id", S.code_json("code").alias("ast"))
 
 
-@query(None)
+@query(f"SELECT id, {filled('alternative')} AS ast FROM code_files JOIN trees USING (template)", CODE_FILES, TREE_ROWS)
 def ast_json_alt(spark, sf_dir):
     return code_files(spark, sf_dir).select("id", S.code_json_alternative("code").alias("ast"))
 
 
-@query("SELECT id, blocks::INTEGER AS blocks FROM code_files JOIN shapes USING (template)", *SHAPED)
+@query(f"SELECT id, 0 AS block, {filled('b.code')} AS code, {filled('ast')} AS ast, depth FROM code_files JOIN blocks b USING (template)", CODE_FILES, BLOCK_ROWS)
 def split_code_blocks(spark, sf_dir):
-    return code_files(spark, sf_dir).select("id", F.size(S.blocks("code")).alias("blocks"))
+    found = code_files(spark, sf_dir).select("id", F.posexplode(S.blocks("code")).alias("block", "b"))
+    return found.select("id", "block", "b.code", "b.ast", "b.depth")
 
 
-@query("SELECT id, normal_blocks::INTEGER AS blocks FROM code_files JOIN shapes USING (template)", *SHAPED)
+@query(f"SELECT id, 0 AS block, {filled('b.code')} AS code, {filled('b.code')} AS normal, depth FROM code_files JOIN blocks b USING (template)", CODE_FILES, NORMAL_ROWS)
 def split_code_blocks_norm(spark, sf_dir):
-    return code_files(spark, sf_dir).select("id", F.size(S.normalised_blocks("code")).alias("blocks"))
+    found = code_files(spark, sf_dir).select("id", F.posexplode(S.normalised_blocks("code")).alias("block", "b"))
+    return found.select("id", "block", "b.code", "b.normal", "b.depth")
