@@ -6,9 +6,8 @@ import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from ..operators import stats as A
 from ..sources.scans import spread
 from ..sources.sinks import work_path, write_parquet
 from ..streaming import jobs as J
-from .fixtures import CODE_FILES, CORPUS, SHAPE_ROWS, code_files, corpus, leases, results, table
+from .fixtures import CODE_FILES, CORPUS, LEASES, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
 from .scalars import measured
 from .shapes import BAG_ROWS, RATIO_ROWS, SUBTREE_ROWS, TREE_ROWS, VOCABULARY
@@ -150,8 +149,7 @@ def node_vocabulary(spark, sf_dir):
 
 
 def encoded_files(spark, sf_dir) -> DataFrame:
-    found = vocabulary(measured(spark, sf_dir).select("id", "m.nodes"), "id").collect()  # at most the node types of Python
-    return code_files(spark, sf_dir).select("id", "template", S.subtree_encoder({t: i for t, i in found})("code").alias("trees"))
+    return code_files(spark, sf_dir).select("id", "template", S.subtree_encoder(vocabulary_ids(spark, sf_dir))("code").alias("trees"))
 
 
 @query(
@@ -212,45 +210,84 @@ def embed_code(spark, sf_dir):
     return parts.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
-def stages(min_df: float = 1.0) -> list:
+def feature_stages(min_df: float = 1.0, shapes: int = 1 << 12) -> list:
+    """Weighed counts of node types, and hashed counts of whole subtrees."""
     return [
-        CountVectorizer(inputCol="nodes", outputCol="counts", minDF=min_df), IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01, maxIter=20),
+        CountVectorizer(inputCol="nodes", outputCol="counts", minDF=min_df), IDF(inputCol="counts", outputCol="weighed"),
+        HashingTF(inputCol="subtrees", outputCol="shapes", numFeatures=shapes), VectorAssembler(inputCols=["weighed", "shapes"], outputCol="features"),
     ]
 
 
-def labelled_nodes(spark, sf_dir) -> DataFrame:
-    """Node sequences of code files; classes and functions with loops are human, the rest not."""
-    rows = measured(spark, sf_dir).where("m.valid").select("id", "m.nodes", F.col("template").isin(1, 2, 5).cast("int").alias("label"))
+def classifier(reg: float = 0.01, elastic: float = 0.0, iterations: int = 20) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=reg, elasticNetParam=elastic, maxIter=iterations)
+
+
+def with_subtrees(rows: DataFrame, ids: dict[str, int]) -> DataFrame:
+    """rows with nodes and subtrees, each of these as the text of its encoding; rows have code."""
+    trees = F.transform("trees", lambda t: F.array_join(t.cast("array<string>"), " "))
+    encoded = rows.withColumn("m", S.syntax_metrics("code")).where("m.valid").withColumn("trees", S.subtree_encoder(ids)("code"))
+    return encoded.withColumn("nodes", F.col("m.nodes")).withColumn("subtrees", trees).drop("code", "m", "trees")
+
+
+def vocabulary_ids(spark, sf_dir) -> dict[str, int]:
+    found = vocabulary(measured(spark, sf_dir).select("id", "m.nodes"), "id").collect()  # at most the node types of Python
+    return {t: i for t, i in found}
+
+
+def labelled_nodes(spark, sf_dir, ids: dict[str, int]) -> DataFrame:
+    """Encoded code files; classes and functions with loops are human, the rest not."""
+    rows = with_subtrees(code_files(spark, sf_dir).select("id", "code", F.col("template").isin(1, 2, 5).cast("int").alias("label")), ids)
+    rows = write_parquet(rows, work_path(spark, "labelled"))
     weights = A.class_weights(rows.select("label"))
     return rows.join(F.broadcast(weights), "label")  # two rows
 
 
+def held_out(share: int = 10):
+    return F.pmod(F.xxhash64("id"), F.lit(share)) == 0
+
+
 @query(None)
 def train_classifier(spark, sf_dir):
-    """Predicted class and probability of every file, by a model of node counts fitted on nine tenths of them."""
-    rows = labelled_nodes(spark, sf_dir)
-    model = Pipeline(stages=stages()).fit(rows.where(F.pmod(F.xxhash64("id"), F.lit(10)) > 0))
+    """Predicted class and probability of every file, by a model of its encoding fitted on nine tenths of them."""
+    rows = labelled_nodes(spark, sf_dir, vocabulary_ids(spark, sf_dir))
+    model = Pipeline(stages=[*feature_stages(), classifier()]).fit(rows.where(~held_out()))
     return model.transform(rows).select("id", "label", F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("p_human"))
 
 
+#: Iterations after which trials are compared, and what part of them goes on.
+RUNGS, ETA = (2, 6, 18), 3
+
+
+def tuned(rows: DataFrame, space: list[dict]) -> DataFrame:
+    """trial, its setting, iterations and macro F1 on held-out rows; after each rung the best third of the trials goes on."""
+    spark = rows.sparkSession
+    features = Pipeline(stages=feature_stages()).fit(rows.where(~held_out(5)))
+    ready = write_parquet(features.transform(rows).select("features", "label", "weight", held_out(5).alias("held")), work_path(spark, "features"))
+    score = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    alive, log = list(range(len(space))), []
+    for rung in RUNGS:
+        for trial in alive:
+            model = classifier(**space[trial], iterations=rung).fit(ready.where("NOT held"))
+            log.append((0, rung, trial, space[trial]["reg"], space[trial]["elastic"], float(score.evaluate(model.transform(ready.where("held"))))))
+        table = spark.createDataFrame(log, "bracket int, iterations int, trial int, reg_param double, elastic_net double, f1 double")  # a row for each fit
+        alive = [r.trial for r in R.rung_promotions(table, "bracket", "iterations", "trial", "f1", [rung], ETA).orderBy("trial").collect()]
+    return table.drop("bracket")
+
+
 @query(None)
 def tune_classifier(spark, sf_dir):
-    """Macro F1 of each setting of the search space."""
-    *before, regression = stages()
-    grid = ParamGridBuilder().addGrid(regression.regParam, [0.01, 0.1, 1.0]).build()
-    score = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
-    tuned = TrainValidationSplit(estimator=Pipeline(stages=[*before, regression]), estimatorParamMaps=grid, evaluator=score, parallelism=2, seed=7)
-    found = tuned.fit(labelled_nodes(spark, sf_dir)).validationMetrics
-    return spark.createDataFrame([(next(iter(p.values())), m) for p, m in zip(grid, found)], "reg_param double, f1 double")
+    """The log of a search over two parameters that drops the weaker trials early."""
+    space = [{"reg": r, "elastic": e} for r in (0.01, 0.1, 1.0) for e in (0.0, 0.5)]
+    return tuned(labelled_nodes(spark, sf_dir, vocabulary_ids(spark, sf_dir)), space)
 
 
 @query(None)
 def score_files(spark, sf_dir):
     """Blocks of every file, each with its class and both probabilities."""
-    model = Pipeline(stages=stages()).fit(labelled_nodes(spark, sf_dir))
+    ids = vocabulary_ids(spark, sf_dir)
+    model = Pipeline(stages=[*feature_stages(), classifier()]).fit(labelled_nodes(spark, sf_dir, ids))
     blocks = code_files(spark, sf_dir).select("id", F.posexplode(S.normalised_blocks("code")).alias("block", "b"))
-    rows = blocks.select("id", "block", S.syntax_metrics("b.code").alias("m"), F.lit(1.0).alias("weight")).select("id", "block", "m.nodes", "weight")
+    rows = with_subtrees(blocks.select("id", "block", "b.code", F.lit(1.0).alias("weight")), ids)
     chance = vector_to_array("probability")
     return model.transform(rows).select("id", "block", F.col("prediction").cast("int").alias("class"), chance[0].alias("p_ai"), chance[1].alias("p_human"))
 
@@ -285,6 +322,16 @@ def dealt(rows: DataFrame, key: str, files: int = 3) -> DataFrame:
     return J.stream_table(rows.sparkSession, path)
 
 
+def dealt_in_time(rows: DataFrame, ts: str, files: int = 3) -> DataFrame:
+    """As dealt, with later rows in later files."""
+    spark, path = rows.sparkSession, work_path(rows.sparkSession, "stream")
+    ends = rows.select(F.percentile_approx(F.unix_micros(ts), [(i + 1) / files for i in range(files - 1)]).alias("ends")).first().ends or []
+    part = sum((F.unix_micros(ts) > x).cast("int") for x in ends) if ends else F.lit(0)
+    for i in range(files):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return J.stream_table(spark, path)
+
+
 @query("SELECT event_id FROM events")
 def stream_results(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -304,8 +351,13 @@ def stream_dedup_hashes(spark, sf_dir):
     return J.stream_dedup(stream, "hash", work_path(spark, "hashes"), work_path(spark, "progress"))
 
 
-@query(None)
+@query(
+    """SELECT batch_id, coalesce(x.client, -1) AS client, CASE WHEN x.event = 'submit' THEN 'completed' WHEN x.event = 'return' OR x IS NULL THEN 'pending'
+    WHEN epoch_ms(x.ts) // 1000 + 3600 < (SELECT max(epoch_ms(ts)) / 1000 FROM leases) THEN 'expired' ELSE 'assigned' END AS state
+    FROM (SELECT DISTINCT batch_id FROM leases) LEFT JOIN (SELECT batch_id, arg_max({'event': event, 'client': client, 'ts': ts}, (ts, event, client)) AS x FROM leases WHERE event <> 'none' GROUP BY batch_id) USING (batch_id)""",
+    LEASES,
+)
 def lease_state(spark, sf_dir):
-    """The lease of each batch as a stream leaves it, from the log written as a folder of files."""
-    states = J.lease_states(dealt(leases(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "batch_id"), 3600)
-    return J.run_to_table(states, work_path(spark, "leases"), work_path(spark, "progress"))
+    """The lease of each batch as a stream leaves it, from the log written in order of time as a folder of files."""
+    states = J.lease_states(dealt_in_time(leases(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts"), 3600)
+    return J.last_states(J.run_to_table(states, work_path(spark, "leases"), work_path(spark, "progress")))

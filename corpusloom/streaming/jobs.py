@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledgers import upsert_ignore
-
 
 def stream_table(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A file stream over a folder of parquet files, so many files in each batch."""
@@ -37,44 +35,42 @@ def progress_windows(rows: DataFrame, ts: str, width: str = "10 seconds", late:
 
 
 def stream_dedup(stream: DataFrame, key: str, table: str, checkpoint: str) -> DataFrame:
-    """Append the rows whose key the table lacks, batch by batch; a batch that comes again adds nothing."""
-    spark, schema = stream.sparkSession, stream.schema
-    spark.createDataFrame([], schema).write.mode("append").parquet(table)
-
-    def append(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.schema(schema).parquet(table)
-        upsert_ignore(batch, old, key, key).write.mode("append").parquet(table)
-
-    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(table)
+    """Append the first row of each key to the stream's own table.  The keys seen so far are Spark's state, so a batch costs
+    what it holds, however long the table; a batch that comes again adds nothing."""
+    return run_to_table(stream.dropDuplicates([key]), table, checkpoint)
 
 
 def next_lease(held: tuple | None, events: list[tuple[float, str, int]]) -> tuple:
     """(event, client, ts) of a batch after more events of (ts, event, client)."""
     for ts, event, client in sorted(events):
-        if event != "none" and (held is None or ts >= held[2]):
+        if event != "none" and (held is None or (ts, event, client) >= (held[2], held[0], held[1])):
             held = (event, client, ts)
     return held or ("none", -1, 0.0)
 
 
 def lease_states(stream: DataFrame, seconds: int) -> DataFrame:
-    """batch_id, client and state after each batch of events; a lease that hears nothing for so long, in time
-    of events, expires."""
+    """batch_id, client, state, the time ``since`` when and whether it has ``ended``, after each batch of events; a lease
+    that hears nothing for so long, in time of events, expires.  The last event counts, ties by event and client."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            event, client, _ = state.get
-            state.remove()
-            yield pd.DataFrame({"batch_id": [key[0]], "client": [client], "state": ["expired" if event == "assign" else event]})
+            event, client, since = state.get
+            if event == "assign":
+                yield pd.DataFrame({"batch_id": [key[0]], "client": [client], "state": ["expired"], "since": [since], "ended": [True]})
             return
         events = [(float(t.timestamp()), e, int(c)) for part in parts for t, e, c in zip(part["ts"], part["event"], part["client"])]
         held = next_lease(state.get if state.exists else None, events)
         state.update(held)
         state.setTimeoutTimestamp(max(int(held[2] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         names = {"assign": "assigned", "submit": "completed", "return": "pending", "none": "pending"}
-        yield pd.DataFrame({"batch_id": [key[0]], "client": [held[1]], "state": [names[held[0]]]})
+        yield pd.DataFrame({"batch_id": [key[0]], "client": [held[1]], "state": [names[held[0]]], "since": [held[2]], "ended": [False]})
 
     return stream.withWatermark("ts", "0 seconds").groupBy("batch_id").applyInPandasWithState(
-        step, "batch_id long, client long, state string", "event string, client long, ts double", "append", GroupStateTimeout.EventTimeTimeout
+        step, "batch_id long, client long, state string, since double, ended boolean", "event string, client long, ts double", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def last_states(states: DataFrame) -> DataFrame:
+    """The last of the states of each batch that a stream of leases has left in a table."""
+    last = states.groupBy("batch_id").agg(F.max_by(F.struct("client", "state"), F.struct("since", "ended", "client")).alias("x"))
+    return last.select("batch_id", "x.client", "x.state")

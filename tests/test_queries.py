@@ -66,3 +66,17 @@ def test_every_rewrite_has_its_original(spark):
     asked = {r.id for r in M.distinct_codes(spark, DATA).where("id % 50 = 0").where(M.S.is_valid_code("code")).collect()}
     ranks = {r.query_id: r["rank"] for r in M.ranked_originals(spark, DATA).collect()}
     assert set(ranks) == asked and all(0 < r <= 100 for r in ranks.values())
+
+
+def test_classifier_reads_shapes_and_the_search_drops_the_weaker(spark):
+    rows = entry.queries()["train_classifier"](spark, DATA).collect()
+    assert sum(r.label == r.pred for r in rows) / len(rows) > 0.95 and all(0 <= r.p_human <= 1 for r in rows)
+    log = entry.queries()["tune_classifier"](spark, DATA).collect()
+    trials = {n: {r.trial: r.f1 for r in log if r.iterations == n} for n in (2, 6, 18)}
+    assert [len(trials[n]) for n in (2, 6, 18)] == [6, 2, 1] and set(trials[18]) < set(trials[6]) < set(trials[2])
+    assert min(trials[2][t] for t in trials[6]) >= max(f for t, f in trials[2].items() if t not in trials[6])
+
+
+def test_every_query_but_the_drawn_and_learned_has_a_twin():
+    without = set(catalog.queries()) - set(catalog.oracle_sql())
+    assert without == {"knn_cosine_approx", "ted_similarity", "ted_rerank", "uniqueness_score", "most_unique_code", "train_classifier", "tune_classifier", "score_files", "rewrite_retrieval_eval"}
