@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..sources.sinks import work_path
 
 
+#: Rows of a side that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has few rows, else as it is; for a row per group, where the groups are a caller's."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def processed(*ledgers: DataFrame) -> DataFrame:
     """Distinct keys of all ledgers."""
     return reduce(DataFrame.union, ledgers).distinct()

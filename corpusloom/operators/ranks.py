@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ledgers import row_ids
+from .ledgers import row_ids, small
 
 
 def dedup_rows(df: DataFrame, keys: list[str], order: str, keep: str | None = "first") -> DataFrame:
@@ -30,7 +30,8 @@ def dedup_by(df: DataFrame, key: Column, order: str) -> DataFrame:
 def quantile_bins(df: DataFrame, value: Column, name: str, q: int = 10, by: list[str] | None = None, duplicates: str = "raise") -> DataFrame:
     """``name``: number of the quantile bin, right-closed, of each row within its group.
 
-    Edges are exact linear quantiles; equal edges are an error, or merged with duplicates="drop".
+    Edges are exact linear quantiles; equal edges are an error, or merged with duplicates="drop".  A group's quantiles hold a
+    count for each distinct value in one task: meant for lengths and other values of which there are not very many.
     """
     by = by or []
     edges = F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)]))
@@ -40,7 +41,7 @@ def quantile_bins(df: DataFrame, value: Column, name: str, q: int = 10, by: list
     else:
         bounds = bounds.withColumn("_edges", F.when(F.size(F.array_distinct("_edges")) == F.size("_edges"), F.col("_edges")).otherwise(F.raise_error(F.lit("bin edges must be unique"))))
     inner = F.slice(F.col("_edges"), F.lit(2), F.size("_edges") - 2)
-    joined = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))  # a row for each group
+    joined = df.join(small(bounds), by) if by else df.crossJoin(F.broadcast(bounds))  # one row without groups
     return joined.withColumn(name, F.size(F.filter(inner, lambda x: x < value))).drop("_edges")
 
 
@@ -80,5 +81,5 @@ def rung_promotions(log: DataFrame, bracket: str, epoch: str, trial: str, metric
     numbered = row_ids(rows, bracket, epoch, F.desc(metric), trial, name="_number")
     groups = numbered.groupBy(F.col(bracket).alias("_b"), F.col(epoch).alias("_e")).agg(F.min("_number").alias("_first"), F.count("*").alias("_n"))
     same = F.col(bracket).eqNullSafe(F.col("_b")) & (F.col(epoch) == F.col("_e"))
-    ranked = numbered.join(F.broadcast(groups), same).withColumn("rank", (F.col("_number") - F.col("_first") + 1).cast("int"))  # a row for each group
+    ranked = numbered.join(small(groups), same).withColumn("rank", (F.col("_number") - F.col("_first") + 1).cast("int"))
     return ranked.where(F.col("rank") <= F.ceil(F.col("_n") / eta)).select(*log.columns, "rank")

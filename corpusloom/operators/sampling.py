@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import draw_key
-from .ledgers import row_ids
+from .ledgers import row_ids, small
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -26,7 +26,7 @@ def placed(df: DataFrame, by: list[str], key: str, seed: int) -> DataFrame:
     """
     numbered = row_ids(df.withColumn("_draw", draw_key(seed, F.col(key))), *by, "_draw", key, name="_number")
     groups = numbered.groupBy(*by).agg(F.min("_number").alias("_first"), F.count("*").alias("_size"))
-    joined = numbered.join(F.broadcast(groups), by)  # a row for each class or stratum
+    joined = numbered.join(small(groups), by)
     return joined.select(*df.columns, (F.col("_number") - F.col("_first") + 1).alias("_place"), "_size")
 
 

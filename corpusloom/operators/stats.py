@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ledgers import small
+
 
 def length_stats(corpus: DataFrame, code: str = "code", by: str = "class", low: int = 100, high: int = 5000) -> DataFrame:
-    """Count, mean, median and deviation of code lengths of each class, before and after the length filter, in one pass."""
+    """Count, mean, median and deviation of code lengths of each class, before and after the length filter, in one pass.
+
+    A median holds a count for each distinct length, at most that of the longest code."""
     sized = corpus.where(F.col(code).isNotNull()).select(by, F.length(code).alias("x"))
     kept = F.when(F.col("x").between(low, high), F.col("x"))
     stats = lambda c, name: [F.count(c).alias(f"n_{name}"), F.avg(c).alias(f"mean_{name}"), F.median(c).alias(f"median_{name}"), F.stddev_samp(c).alias(f"std_{name}")]
@@ -20,7 +24,7 @@ def length_histogram(corpus: DataFrame, code: str = "code", by: str = "class", b
     sized = corpus.where(F.col(code).isNotNull()).select(by, F.length(code).alias("x"))
     ends = sized.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("total"))
     width = (F.col("hi") - F.col("lo")) / bins
-    binned = sized.join(F.broadcast(ends), by)  # a row for each class
+    binned = sized.join(small(ends), by)
     at = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1)))
     counted = binned.groupBy(by, at.cast("int").alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
     return counted.select(by, "bin", "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
