@@ -17,7 +17,7 @@ from .fixtures import SHAPES, TEMPLATES, quoted
 #: Stands for the key in what is stated here.
 KEY = "777777"
 #: First and last line of each template's block; 0 for none.
-LINES = ((0, 0), (1, 8), (1, 9), (0, 0), (0, 0), (1, 8), (1, 8), (6, 13))
+LINES = ((0, 0), (1, 8), (1, 8), (0, 0), (0, 0), (1, 8), (1, 8), (6, 13))
 
 
 def tree_of(template: int) -> ast.Module | None:
@@ -63,8 +63,8 @@ def block_of(template: int) -> tuple[str, ast.AST] | None:
     if not first:
         return None
     text = "\n".join(TEMPLATES[template].replace("{k}", KEY).split("\n")[first - 1:last])
-    tree = ast.parse(text)
-    return text, tree if template == 6 else tree.body[0]
+    whole = tree_of(template)
+    return text, whole if template == 6 else next(n for n in whole.body if n.lineno == first)
 
 
 def literal(x) -> str:
