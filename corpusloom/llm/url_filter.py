@@ -97,12 +97,16 @@ def find(trie: Trie, host: str, path: str) -> tuple[str | None, str | None]:
 
 
 def by_trie(parts: DataFrame, rules: list) -> Column:
-    """Column of the rule and verdict of host and path."""
-    trie = parts.sparkSession.sparkContext.broadcast(build(rules))
+    """Column of the rule and verdict of host and path.
+
+    The broadcast holds plain values, for executors read it without this package on their path.
+    """
+    held = parts.sparkSession.sparkContext.broadcast(vars(build(rules)))
 
     @F.pandas_udf("struct<rule string, verdict string>")
     def longest(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        found = [find(trie.value, h, p) for h, p in zip(hosts, paths)]
+        trie = Trie(**held.value)
+        found = [find(trie, h, p) for h, p in zip(hosts, paths)]
         return pd.DataFrame({"rule": [r for r, _ in found], "verdict": [v for _, v in found]}, dtype=object)
 
     return longest("host", "path")
