@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -126,15 +126,32 @@ def pair_ratios(codes: DataFrame, queries: DataFrame, key: str, nodes: str, shar
     return cells(asked, base, shard, PAIR_BLOCK).applyInPandas(rated, "query_id long, match_id long, ratio double")
 
 
-def knn_cosine_approx(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, width: float = 1.0, tables: int = 8) -> DataFrame:
-    """As knn_cosine, over the pairs that random projections of the normalised vectors put into one bucket."""
-    base, asked = (normalised(x, key, vector).select("id", array_to_vector("v").alias("features")) for x in (vectors, queries))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(base)
-    pairs = model.approxSimilarityJoin(asked, base, 1.4, "distance").where("datasetA.id <> datasetB.id")
-    cosine = F.round(1 - F.col("distance") ** 2 / 2, 9)
-    rows = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"), cosine.alias("cosine"))
+def knn_cosine_approx(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int = 64, probes: int = 40, sample: int = 20_000) -> DataFrame:
+    """As knn_cosine, over the rows in the ``probes`` cells nearest to a query, of ``cells`` around centres.
+
+    The centres are fitted on at most ``sample`` rows, those with the smallest digests; every row is in its nearest one's
+    cell.  Rows are shuffled once and queries once for each probe; a hot cell is Spark's to split.  Without vectors there
+    are no neighbours; with as many probes as cells the search is exact.
+    """
+    spark = vectors.sparkSession
+    base, asked = (write_parquet(normalised(x, key, vector), work_path(spark, "cells")) for x in (vectors, queries))
+    width = max(x.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0] for x in (base, asked))
+    base, asked = (x.select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))).alias("v")) for x in (base, asked))
+    fitted = base.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("v").alias("features"))
+    centres = np.zeros((1, width))
+    if fitted.limit(2).count() > 1:
+        centres = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(fitted).clusterCenters())
+
+    @F.arrow_udf("array<int>")
+    def nearest(rows: pa.Array) -> pa.Array:
+        apart = (centres * centres).sum(1) - 2 * matrix(rows) @ centres.T
+        return pa.array(np.argsort(apart, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32()))
+
+    held = base.select(F.col("id").alias("vec_id"), F.col("v").alias("b"), nearest("v")[0].alias("cell"))
+    met = asked.select(F.col("id").alias("query_id"), F.col("v").alias("a"), F.explode(nearest("v")).alias("cell")).join(held, "cell").where("query_id <> vec_id")
+    cosine = F.round(F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return met.select("query_id", "vec_id", cosine.alias("cosine")).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

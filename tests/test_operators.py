@@ -85,6 +85,23 @@ def test_neighbours_exact_and_approximate(spark):
     whole = N.knn_cosine(rows, asked, "vec_id", "v", 10)
     assert {tuple(r) for r in exact.collect()} == {tuple(r) for r in whole.collect()} and exact.count() == 50  # the zero vector takes no part
     assert N.recall(N.knn_cosine_approx(rows, asked, "vec_id", "v", 10), exact).first().recall >= 0.9
+    every = N.knn_cosine_approx(rows, asked, "vec_id", "v", 10, cells=8, probes=8)
+    assert {tuple(r) for r in every.collect()} == {tuple(r) for r in exact.collect()}  # all cells are all rows
+
+
+def test_approximate_neighbours_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0])], "vec_id long, v array<double>")
+    exact, found = (sorted(map(tuple, f(rows, rows, "vec_id", "v", 5).collect())) for f in (N.knn_cosine, N.knn_cosine_approx))
+    assert found == exact and len(found) == 12
+    for base, asked in ((rows.limit(0), rows), (rows, rows.limit(0)), (rows.where("vec_id = 1"), rows.where("vec_id = 1"))):
+        assert N.knn_cosine_approx(base, asked, "vec_id", "v", 5).count() == 0
+
+
+def test_approximate_neighbours_of_the_given_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = rows.where("vec_id % 50 = 0")
+    exact, found = (f(rows, asked, "vec_id", "embedding", 100) for f in (N.knn_cosine, N.knn_cosine_approx))
+    assert N.recall(found, exact).first().recall >= 0.9
 
 
 def test_uniqueness_is_between_its_bounds(spark):
