@@ -59,8 +59,9 @@ def free(df: DataFrame, *names: str) -> list[str]:
 
 
 def own(df: DataFrame, *without: str) -> list[Column]:
-    """The columns of df, whatever their names, but for some."""
-    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without]
+    """The columns of df, whatever their names, but for some, in whatever case."""
+    gone = {c.lower() for c in without}
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]
 
 
 def n_words(text: Column | str) -> Column:

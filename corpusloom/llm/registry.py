@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, maxscore, mixing, pii, quality, simhash, url_filter, warc
+from . import bpe, conversations, html_text, line_dedup, maxscore, mixing, packing, pii, quality, runs, simhash, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         bpe.op8_byte_bpe,
         pii.op9_pii,
         mixing.op10_mix_sources,
+        packing.op11_pack,
+        conversations.op12_repair,
+        runs.op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_maxscore": maxscore.OP4_SQL,
         "op6_warc": warc.OP6_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
+        "op12_repair": conversations.OP12_SQL,
     }
