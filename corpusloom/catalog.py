@@ -18,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql() if callable(sql) else sql for name, (_, sql) in QUERIES.items() if sql}

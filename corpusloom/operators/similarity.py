@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.syntax import ratio_of, sequence_ratio, ted_similarity
+from ..functions.syntax import ratio_of, sequence_ratio, sized
 from ..functions.text import draw_key
+from ..functions.trees import Known, most_similar, rank_among
 from ..sources.sinks import work_path, write_parquet
 from .ledgers import row_ids
+from .vector_index import matrix, normalised, widened
 
 #: Partners of each code in a uniqueness score, or all if there are fewer.
 PARTNERS = 1000
@@ -30,13 +32,6 @@ KNOWN = 1_000_000
 BLOCK, PAIR_BLOCK = 256, 128
 
 
-def normalised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): vectors of length one; null, empty and zero vectors take no part."""
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select(F.col(key).alias("id"), v.alias("v"), norm.alias("n")).where("n > 0").select("id", F.transform("v", lambda x: x / F.when(F.col("n") > 0, F.col("n")).otherwise(1.0)).alias("v"))
-
-
 def cells(asked: DataFrame, base: DataFrame, shard: int, block: int):
     """Both sides grouped into cells, in which each block of queries meets each shard of the base once; both have an id."""
     shards, blocks = max(1, -(-base.count() // shard)), max(1, -(-asked.count() // block))
@@ -100,18 +95,6 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def matrix(vectors: pa.Array) -> np.ndarray:
-    """Rows of a list array, padded with zeros."""
-    sizes = np.diff(vectors.offsets.to_numpy(zero_copy_only=False))
-    out = np.zeros((len(vectors), int(sizes.max(initial=0))))
-    out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
-    return out
-
-
-def widened(a: np.ndarray, width: int) -> np.ndarray:
-    return np.pad(a, ((0, 0), (0, width - a.shape[1])))
-
-
 def pair_ratios(codes: DataFrame, queries: DataFrame, key: str, nodes: str, shard: int = 4096) -> DataFrame:
     """query_id, match_id and ratio of the node sequences of every query and every code; equal pairs are compared once in a cell."""
     base, asked = (x.select(F.col(key).alias("id"), F.col(nodes).alias("nodes")) for x in (codes, queries))
@@ -126,32 +109,49 @@ def pair_ratios(codes: DataFrame, queries: DataFrame, key: str, nodes: str, shar
     return cells(asked, base, shard, PAIR_BLOCK).applyInPandas(rated, "query_id long, match_id long, ratio double")
 
 
-def knn_cosine_approx(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cells: int = 64, probes: int = 40, sample: int = 20_000) -> DataFrame:
-    """As knn_cosine, over the rows in the ``probes`` cells nearest to a query, of ``cells`` around centres.
-
-    The centres are fitted on at most ``sample`` rows, those with the smallest digests; every row is in its nearest one's
-    cell.  Rows are shuffled once and queries once for each probe; a hot cell is Spark's to split.  Without vectors there
-    are no neighbours; with as many probes as cells the search is exact.
-    """
-    spark = vectors.sparkSession
-    base, asked = (write_parquet(normalised(x, key, vector), work_path(spark, "cells")) for x in (vectors, queries))
-    width = max(x.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0] for x in (base, asked))
-    base, asked = (x.select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))).alias("v")) for x in (base, asked))
-    fitted = base.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("v").alias("features"))
-    centres = np.zeros((1, width))
-    if fitted.limit(2).count() > 1:
-        centres = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(fitted).clusterCenters())
-
-    @F.arrow_udf("array<int>")
-    def nearest(rows: pa.Array) -> pa.Array:
-        apart = (centres * centres).sum(1) - 2 * matrix(rows) @ centres.T
-        return pa.array(np.argsort(apart, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32()))
-
-    held = base.select(F.col("id").alias("vec_id"), F.col("v").alias("b"), nearest("v")[0].alias("cell"))
-    met = asked.select(F.col("id").alias("query_id"), F.col("v").alias("a"), F.explode(nearest("v")).alias("cell")).join(held, "cell").where("query_id <> vec_id")
-    cosine = F.round(F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return met.select("query_id", "vec_id", cosine.alias("cosine")).withColumn("rank", rank).where(F.col("rank") <= k)
+def similar_pairs(codes: DataFrame, queries: DataFrame, key: str, nodes: str, at_least: float, k: int) -> DataFrame:
+    """query_id, match_id, ratio and rank: the k codes of other ids most similar to each query by their node sequences, ties
+    to the smaller id, among those with a ratio of ``at_least``.
+
+    Equal sequences are compared once.  A sequence is a bag of node types, each with a number for its occurrence; a ratio
+    of t needs t / (2 - t) of a bag in common, so two bags with that ratio share one of the rarest of each: these are the
+    index that sequences are joined on.  Pairs whose sizes or whole bags do not allow the ratio are dropped before they
+    are compared.  Every query's rows are at most k, however many codes are alike."""
+    spark = codes.sparkSession
+    told = lambda df: df.select(F.col(key).alias("id"), F.col(nodes).alias("nodes")).where(F.size("nodes") > 0).withColumn("seq", F.sha2(F.concat_ws("\n", "nodes"), 256))
+    base, asked = write_parquet(told(codes), work_path(spark, "sequences")), write_parquet(told(queries), work_path(spark, "asked"))
+    number = F.row_number().over(W.partitionBy("seq").orderBy("id"))
+    # of each sequence the k + 1 smallest ids: one of them may be the query's own
+    ids = base.select("seq", "id").withColumn("no", number).where(F.col("no") <= k + 1)
+    kinds = base.unionByName(asked).groupBy("seq").agg(F.first("nodes").alias("nodes"))
+    kinds = write_parquet(kinds.withColumn("bag", bagged("nodes")), work_path(spark, "bags"))
+    shares = kinds.select(F.explode("bag").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    spelled = kinds.select("seq", F.size("bag").alias("size"), F.explode("bag").alias("token")).join(shares, "token")
+    prefix = F.col("size") - F.ceil(F.lit(at_least / (2 - at_least)) * F.col("size") - 1e-9) + 1
+    rarest = spelled.withColumn("at", F.row_number().over(W.partitionBy("seq").orderBy("n", "token"))).where(F.col("at") <= prefix).select("seq", "size", "token")
+    left = rarest.join(asked.select("seq").distinct(), "seq").withColumnsRenamed({"seq": "a", "size": "n"})
+    right = rarest.join(base.select("seq").distinct(), "seq").withColumnsRenamed({"seq": "b", "size": "m"})
+    within = F.lit(2.0) * F.least("n", "m") >= F.lit(at_least - 1e-9) * (F.col("n") + F.col("m"))
+    pairs = left.join(right, "token").where(within).select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(kinds.select(F.col("seq").alias(side), F.col("nodes").alias(f"{side}_nodes"), F.col("bag").alias(f"{side}_bag")), side)
+    shared = F.lit(2.0) * F.size(F.array_intersect("a_bag", "b_bag")) / (F.size("a_bag") + F.size("b_bag"))
+    rated = pairs.where(shared >= at_least - 1e-9).select("a", "b", sequence_ratio("a_nodes", "b_nodes").alias("ratio")).where(F.col("ratio") >= at_least)
+    order = W.partitionBy("a").orderBy(F.desc("ratio"), "id")
+    best = rated.join(ids, rated.b == ids.seq).select("a", "id", "ratio").withColumn("no", F.row_number().over(order)).where(F.col("no") <= k + 1)
+    met = asked.select(F.col("id").alias("query_id"), F.col("seq").alias("a")).join(best.withColumnRenamed("id", "match_id"), "a").where("query_id <> match_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("ratio"), "match_id"))
+    return met.select("query_id", "match_id", "ratio").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def bagged(nodes: pa.Array) -> pa.Array:
+    """Each type of a sequence with the number of its occurrence."""
+    out = []
+    for names in nodes.to_pylist():
+        met = Counter()
+        out.append([f"{x}#{met.update((x,)) or met[x]}" for x in names or ()])
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
@@ -159,14 +159,49 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return hits.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
-def ted_rerank(pairs: DataFrame) -> DataFrame:
-    """pairs: query_id, match_id, query_code, match_code, rank; re-ordered by tree similarity, ties by rank; those
-    without a tree are dropped."""
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = pairs.repartition(tasks, "query_id")  # few bytes and much work: not to be put together
-    scored = spread.withColumn("ted", ted_similarity("query_code", "match_code")).where(F.col("ted").isNotNull())
-    order = W.partitionBy("query_id").orderBy(F.desc("ted"), "rank")
-    return scored.select("query_id", "match_id", "ted", F.col("rank").alias("original_ranking"), F.row_number().over(order).alias("rank"))
+def compared(found: DataFrame, asked: DataFrame, held: DataFrame, answer, fields: str) -> DataFrame:
+    """answer(query_id, its tree, other trees, ids, ranks, memory) as rows after query_id, for each query with a tree.
+
+    found: query_id, match_id and rank, in bounded number for each query; asked and held: id and code.  A query's code comes
+    once to its neighbours; those without a tree are left out."""
+    kind = found.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, {fields}"
+    near = found.join(held.select(F.col("id").alias("match_id"), F.col("code").alias("match_code")), "match_id").select("query_id", "match_id", "match_code", "rank")
+    known = Known()
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, types = zip(*((x.name, x.type) for x in kinds))
+        tree = sized(right.column("code")[0].as_py()) if right.num_rows else None
+        others = [(sized(code), i, rank) for code, i, rank in zip(*(left.column(c).to_pylist() for c in ("match_code", "match_id", "rank")))]
+        others = sorted((x for x in others if x[0]), key=lambda x: x[2])
+        query = right.column("id")[0].as_py() if right.num_rows else None
+        out = answer(query, tree, *map(list, zip(*others)), known) if tree and others else []
+        return pa.Table.from_arrays([pa.array([query] * len(out), types[0]), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types[1:]))], names)
+
+    kinds = found.sparkSession.createDataFrame([], schema).toArrow().schema
+    return near.groupBy("query_id").cogroup(asked.select("id", "code").groupBy("id")).applyInArrow(rows, schema)
+
+
+def ted_rerank(found: DataFrame, asked: DataFrame, held: DataFrame, k: int | None = None) -> DataFrame:
+    """The neighbours of each query re-ordered by tree similarity, ties by rank; with k the best k alone, whose bounds leave
+    most of the others uncompared.  found, asked, held: as for ``compared``."""
+
+    def ordered(query, tree, others, ids, ranks, known):
+        best, _ = most_similar(tree, others, k or len(others), known)
+        return [(ids[i], ted, ranks[i], no) for no, (i, ted) in enumerate(best, 1)]
+
+    kind = found.schema["match_id"].dataType.simpleString()
+    return compared(found, asked, held, ordered, f"match_id {kind}, ted double, original_ranking int, rank int")
+
+
+def rank_by_trees(found: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
+    """query_id and the rank that the code of the query's own id has among its neighbours by tree similarity, ties by rank,
+    for queries that have it among them; others are compared only while their bounds allow a better place."""
+
+    def placed(query, tree, others, ids, ranks, known):
+        return [(rank_among(tree, others, ids.index(query), known)[0],)] if query in ids else []
+
+    return compared(found, asked, held, placed, "rank int")
 
 
 def uniqueness_score(codes: DataFrame, key: str, nodes: str, k: int, seed: int) -> DataFrame:

@@ -17,13 +17,14 @@ from ..functions.syntax import parse, renamed
 from ..operators import ranks as R
 from ..operators import similarity as N
 from ..operators import stats as A
+from ..operators import vector_index as V
 from ..sources.scans import spread
 from ..sources.sinks import work_path, write_parquet
 from ..streaming import jobs as J
 from .fixtures import CODE_FILES, CORPUS, LEASES, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
 from .scalars import measured
-from .shapes import BAG_ROWS, RATIO_ROWS, SUBTREE_ROWS, TREE_ROWS, VOCABULARY
+from .shapes import BAG_ROWS, RATIO_ROWS, SUBTREE_ROWS, TREE_ROWS, VOCABULARY, distance_rows
 
 #: Every fiftieth row is a query, against all rows.
 EVERY = 50
@@ -50,8 +51,9 @@ def knn_cosine(spark, sf_dir):
 
 @query(None)
 def knn_cosine_approx(spark, sf_dir):
+    """By an index of codes.  The vectors have no clusters, so four cells in five are probed; 300 rows are rated by their vectors."""
     rows = vectors(spark, sf_dir)
-    return N.knn_cosine_approx(rows, rows.where(F.col("vec_id") % EVERY == 0), "vec_id", "embedding", 100)
+    return V.knn_cosine_approx(rows, rows.where(F.col("vec_id") % EVERY == 0), "vec_id", "embedding", 100, share=0.8, candidates=300)
 
 
 def originals(spark, sf_dir) -> DataFrame:
@@ -96,37 +98,72 @@ def distinct_codes(spark, sf_dir) -> DataFrame:
     return code_files(spark, sf_dir).groupBy("code").agg(F.min("id").alias("id"))
 
 
-def code_pairs(spark, sf_dir) -> DataFrame:
-    """Each distinct code of every fiftieth id with its 100 nearest of all distinct codes, and their rank."""
+def code_neighbours(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each distinct code of every fiftieth id with its 100 nearest of all distinct codes, as query_id, match_id and rank; and
+    the codes, as id and code."""
     metrics = spread(distinct_codes(spark, sf_dir)).withColumn("m", S.syntax_metrics("code")).where("m.valid")
     parsed = write_parquet(metrics.select("id", "code", "m.nodes"), work_path(spark, "parsed"))
     embedded = parsed.select("id", N.bag_embedding()("nodes").alias("v"))
     found = N.knn_cosine(embedded, embedded.where(F.col("id") % EVERY == 0), "id", "v", 100)
-    return with_codes(found, parsed, parsed)
+    return found.select("query_id", F.col("vec_id").alias("match_id"), "rank"), parsed.select("id", "code")
 
 
-def with_codes(found: DataFrame, asked: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs of neighbours with the codes of both sides, as ted_rerank takes them."""
-    left, right = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")), held.select(F.col("id").alias("vec_id"), F.col("code").alias("match_code"))
-    return found.join(left, "query_id").join(right, "vec_id").select("query_id", F.col("vec_id").alias("match_id"), "query_code", "match_code", "rank")
+PAIRS = f"""pairs AS (SELECT q.id AS query_id, c.id AS match_id, q.template AS a, c.template AS b, ratio::DOUBLE AS ratio FROM codes q JOIN codes c ON q.id % {EVERY} = 0 JOIN ratios ON a = q.template AND b = c.template)"""
 
 
-@query("SELECT q.id AS query_id, c.id AS match_id, ratio::DOUBLE AS ratio FROM codes q JOIN codes c ON q.id % 50 = 0 JOIN ratios ON a = q.template AND b = c.template", CODE_FILES, DISTINCT, RATIO_ROWS)
+@query(
+    "SELECT query_id, match_id, ratio, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ratio DESC, match_id)::INTEGER AS rank FROM pairs WHERE query_id <> match_id AND ratio >= 0.5) WHERE rank <= 100",
+    CODE_FILES, DISTINCT, RATIO_ROWS, PAIRS,
+)
 def pair_similarity(spark, sf_dir):
-    """Each distinct code of every fiftieth id against all distinct codes; 0 if one does not parse."""
+    """Of each distinct code of every fiftieth id, the 100 most similar of all distinct codes with a ratio of a half or more."""
+    codes = sequences_of(spark, sf_dir)
+    return N.similar_pairs(codes, codes.where(F.col("id") % EVERY == 0), "id", "nodes", 0.5, 100)
+
+
+def sequences_of(spark, sf_dir) -> DataFrame:
     metrics = spread(distinct_codes(spark, sf_dir)).select("id", S.syntax_metrics("code").alias("m"))
-    codes = write_parquet(metrics.select("id", "m.nodes"), work_path(spark, "parsed"))
+    return write_parquet(metrics.select("id", "m.nodes"), work_path(spark, "parsed"))
+
+
+@query("SELECT query_id, match_id, ratio FROM pairs", CODE_FILES, DISTINCT, RATIO_ROWS, PAIRS)
+def pair_similarity_all(spark, sf_dir):
+    """Each distinct code of every fiftieth id against all distinct codes; 0 if one does not parse."""
+    codes = sequences_of(spark, sf_dir)
     return N.pair_ratios(codes, codes.where(F.col("id") % EVERY == 0), "id", "nodes")
 
 
-@query(None)
+NEAR_CODES = f"""near AS (SELECT q.id AS query_id, c.id AS match_id, 1 - distance / (10.0::DOUBLE * greatest(x.nodes, y.nodes)) AS ted,
+  row_number() OVER (PARTITION BY q.id ORDER BY cosine DESC, c.id)::INTEGER AS original_ranking
+  FROM codes q JOIN codes c ON q.id % {EVERY} = 0 AND q.id <> c.id JOIN shapes x ON x.template = q.template JOIN shapes y ON y.template = c.template
+  JOIN distances d ON d.a = q.template AND d.b = c.template AND d.left_zero = (q.id % 200 = 0) AND d.right_zero = (c.id % 200 = 0) AND d.same = (q.id % 200 = c.id % 200))"""
+
+
+def near_twin(select: str):
+    """The SQL of a query over the nearest codes, made when it is asked for: distances of the templates are stated by a plain recursion."""
+    return lambda: f"WITH {', '.join((CODE_FILES, DISTINCT, SHAPE_ROWS, distance_rows(), NEAR_CODES))} {select}"
+
+
+@query(near_twin("SELECT query_id, match_id, ted FROM near WHERE original_ranking <= 100"))
 def ted_similarity(spark, sf_dir):
-    return code_pairs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "query_id").select("query_id", "match_id", S.ted_similarity("query_code", "match_code").alias("ted"))
+    found, codes = code_neighbours(spark, sf_dir)
+    return N.ted_rerank(found, codes, codes).select("query_id", "match_id", "ted")
 
 
-@query(None)
+RANKED = "SELECT query_id, match_id, ted, original_ranking, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ted DESC, original_ranking)::INTEGER AS rank FROM near WHERE original_ranking <= 100)"
+
+
+@query(near_twin(RANKED))
 def ted_rerank(spark, sf_dir):
-    return N.ted_rerank(code_pairs(spark, sf_dir))
+    found, codes = code_neighbours(spark, sf_dir)
+    return N.ted_rerank(found, codes, codes)
+
+
+@query(near_twin(f"{RANKED} WHERE rank <= 10"))
+def ted_rerank_top(spark, sf_dir):
+    """The ten best of the hundred by trees; bounds decide most of the others."""
+    found, codes = code_neighbours(spark, sf_dir)
+    return N.ted_rerank(found, codes, codes, 10)
 
 
 @query(None)
@@ -300,10 +337,9 @@ def ranked_originals(spark, sf_dir) -> DataFrame:
     rewrites = write_parquet(enrich_with_model(prompts, "prompt", renaming_model).select("id", F.col("answer").alias("code"), "ok"), work_path(spark, "rewrites"))
     words = F.regexp_extract_all("code", F.lit("[A-Za-z]+|[0-9]+|[^\\sA-Za-z0-9]"), 0)
     base, asked = (x.select("id", N.bag_embedding(256)(words).alias("v")) for x in (codes, rewrites.where("ok")))
-    found = with_codes(N.knn_cosine(base, asked, "id", "v", 100, own=True), rewrites, codes)
-    queries = rewrites.select(F.col("id").alias("query_id"))
-    ranked = queries.join(N.ted_rerank(found), "query_id", "left")
-    return R.rank_of(ranked, "query_id", F.col("match_id") == F.col("query_id"), "rank")
+    found = N.knn_cosine(base, asked, "id", "v", 100, own=True).select("query_id", F.col("vec_id").alias("match_id"), "rank")
+    placed = N.rank_by_trees(found, rewrites.where("ok").select("id", "code"), codes)
+    return rewrites.select(F.col("id").alias("query_id")).join(placed, "query_id", "left").select("query_id", F.coalesce("rank", F.lit(-1)).alias("rank"))
 
 
 @query(None)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import difflib
+import functools
 import json
 import math
 import zlib
@@ -109,6 +110,56 @@ def weights(names: list[str], width: int = 64) -> list[tuple[int, float]]:
     return [(at, round(n / math.sqrt(sum(x * x for x in bag.values())), 6)) for at, n in sorted(bag.items())]
 
 
+def labelled(node: ast.AST) -> tuple:
+    """A tree of (label, subtrees) without contexts: types, and what constants, operators and called names tell."""
+    told = (type(node).__name__,)
+    if isinstance(node, ast.Constant):
+        told += (type(node.value).__name__, str(node.value))
+    elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
+        told += (node.func.id,)
+    elif isinstance(node, ast.BinOp):
+        told += (type(node.op).__name__,)
+    elif isinstance(node, ast.Compare):
+        told += tuple(type(x).__name__ for x in node.ops)
+    return told, tuple(labelled(c) for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr_context))
+
+
+def forest_distance(one: tuple, two: tuple, known: dict) -> int:
+    """The edit distance of two forests, by the last tree of each."""
+    if (one, two) not in known:
+        drop = lambda f: f[:-1] + f[-1][1]
+        if not one or not two:
+            known[one, two] = 10 * sum(map(nodes_in, one + two))
+        else:
+            (a, below), (b, under) = one[-1], two[-1]
+            change = 10 if a[0] != b[0] else sum(x != y for x, y in zip(a[1:], b[1:]))
+            known[one, two] = min(
+                forest_distance(drop(one), two, known) + 10, forest_distance(one, drop(two), known) + 10,
+                forest_distance(one[:-1], two[:-1], known) + forest_distance(below, under, known) + change,
+            )
+    return known[one, two]
+
+
+def nodes_in(tree: tuple) -> int:
+    return 1 + sum(map(nodes_in, tree[1]))
+
+
+@functools.cache
+def distance_rows() -> str:
+    """distance and cosine of each two templates, by whether their keys are alike or the 0 that a template has as constant."""
+    keys = {(False, False, True): (5, 5), (False, False, False): (5, 6), (True, True, True): (0, 0), (True, False, False): (0, 5), (False, True, False): (5, 0)}
+    held = [i for i, names in enumerate(NAMES) if names]
+    trees = {(i, key): (labelled(ast.parse(TEMPLATES[i].replace("{k}", str(key)))),) for i in held for key in (0, 5, 6)}
+    bags = {i: Counter(zlib.crc32(x.encode()) % 64 for x in NAMES[i]) for i in held}
+    cosine = lambda x, y: sum(n * y[at] for at, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values()))
+    rows, known = [], {}
+    for i in held:
+        for j in held:
+            for (left, right, same), (a, b) in keys.items():
+                rows.append((i, j, left, right, same, forest_distance(trees[i, a], trees[j, b], known), repr(round(cosine(bags[i], bags[j]), 9))))
+    return "distances(a, b, left_zero, right_zero, same, distance, cosine) AS (VALUES " + ", ".join(f"({', '.join(map(str, r))})" for r in rows) + ")"
+
+
 BAG_ROWS = values("bags", "template, bucket, weight", [(i, at, w) for i, names in enumerate(NAMES) if names for at, w in weights(names)])
 #: node_type and node_id: numbered from 1 in order of first appearance over files by id.
 VOCABULARY = """seen AS (SELECT id, unnest(string_split(nodes, ' ')) AS node_type, generate_subscripts(string_split(nodes, ' '), 1) AS pos FROM code_files JOIN trees USING (template) WHERE nodes IS NOT NULL),

@@ -84,26 +84,51 @@ def test_neighbours_exact_and_approximate(spark):
     exact = N.knn_cosine(rows, asked, "vec_id", "v", 10, shard=64)
     whole = N.knn_cosine(rows, asked, "vec_id", "v", 10)
     assert {tuple(r) for r in exact.collect()} == {tuple(r) for r in whole.collect()} and exact.count() == 50  # the zero vector takes no part
-    assert N.recall(N.knn_cosine_approx(rows, asked, "vec_id", "v", 10), exact).first().recall >= 0.9
-    every = N.knn_cosine_approx(rows, asked, "vec_id", "v", 10, cells=8, probes=8)
+    assert N.recall(V.knn_cosine_approx(rows, asked, "vec_id", "v", 10), exact).first().recall >= 0.9
+    every = V.knn_cosine_approx(rows, asked, "vec_id", "v", 10, share=1.0, candidates=300)
     assert {tuple(r) for r in every.collect()} == {tuple(r) for r in exact.collect()}  # all cells are all rows
 
 
 def test_approximate_neighbours_of_odd_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0])], "vec_id long, v array<double>")
-    exact, found = (sorted(map(tuple, f(rows, rows, "vec_id", "v", 5).collect())) for f in (N.knn_cosine, N.knn_cosine_approx))
+    exact, found = (sorted(map(tuple, f(rows, rows, "vec_id", "v", 5).collect())) for f in (N.knn_cosine, V.knn_cosine_approx))
     assert found == exact and len(found) == 12
     for base, asked in ((rows.limit(0), rows), (rows, rows.limit(0)), (rows.where("vec_id = 1"), rows.where("vec_id = 1"))):
-        assert N.knn_cosine_approx(base, asked, "vec_id", "v", 5).count() == 0
+        assert V.knn_cosine_approx(base, asked, "vec_id", "v", 5).count() == 0
 
 
 def test_approximate_neighbours_of_the_given_vectors(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     asked = rows.where("vec_id % 50 = 0")
-    exact, found = (f(rows, asked, "vec_id", "embedding", 100) for f in (N.knn_cosine, N.knn_cosine_approx))
+    exact, found = (f(rows, asked, "vec_id", "embedding", 100) for f in (N.knn_cosine, V.knn_cosine_approx))
     assert N.recall(found, exact).first().recall >= 0.9
 
 
+def test_an_index_of_clustered_vectors_reads_few_rows_and_finds_most_neighbours(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 32))
+    data = [(i, (middles[i % 40] + 0.35 * rng.normal(size=32)).tolist()) for i in range(4000)]
+    rows = spark.createDataFrame(data, "id long, v array<double>")
+    asked = rows.where("id % 50 = 0")
+    index = V.build(rows, "id", "v")
+    assert len(index.centres) == 63 and index.codes.count() == 4000 and index.codes.where("length(code) <> 8").count() == 0
+    found, exact = V.search(index, asked, "id", "v", 50, share=0.12, candidates=150), N.knn_cosine(rows, asked, "id", "v", 50)
+    assert N.recall(found, exact).first().recall >= 0.9
+    near = found.join(exact.withColumnsRenamed({"cosine": "c", "rank": "r"}), ["query_id", "vec_id"])
+    assert near.where("abs(cosine - c) > 1e-9").count() == 0  # rated by vectors
+    probed = V.search(index, asked, "id", "v", 4000, share=0.12, candidates=4000).groupBy("query_id").count().agg(F.avg("count")).first()[0]
+    assert probed < 4000 / 5
+
+
+def test_codes_are_near_their_vectors():
+    rng = np.random.default_rng(1)
+    rows = rng.normal(size=(3000, 4))
+    words = V.fitted_words(rows, 256)
+    far, plain = rows - words[V.nearest(rows, words)], ((rows[:, None] - words) ** 2).sum(2).min(1)
+    assert words.shape == (256, 4) and np.allclose((far**2).sum(1), plain) and plain.mean() < 0.1 * (rows**2).sum(1).mean()
+    assert len(V.fitted_words(rows[:5].repeat(9, axis=0), 256)) == 5
+
+
 def test_uniqueness_is_between_its_bounds(spark):
     rows = spark.createDataFrame([(i, ["A", "B", "C"][: 1 + i % 3]) for i in range(40)], "id int, nodes array<string>")
     got = N.uniqueness_score(rows, "id", "nodes", 5, 1).collect()
