@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,14 @@ def own(df: DataFrame, *without: str) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]
 
 
+def per_worker(key: str, make: Callable):
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks; few and small things only."""
+    held = sys.modules.setdefault("_held_by_worker", types.ModuleType("_held_by_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def n_words(text: Column | str) -> Column:
     """Number of words of a text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -19,6 +19,7 @@ that the vocabulary's file gives them, as in the library; repeated rows are pack
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import struct
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, free, materialise, own, table
+from .common import bound_batches, broadcast_if_small, free, materialise, own, per_worker, table
 
 VOCABULARY, ROOM, END = "word_bpe_49k.json", 4096, 1
 #: Pieces that a task numbers, about.
 BUCKET = 500_000
-#: Words whose ids a task remembers.
-KNOWN = 500_000
+#: Words met of late whose ids a worker remembers; as many met before these stay too.
+KNOWN = 400_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -53,9 +54,12 @@ class WordIds(dict):
 
     def __init__(self, library, as_bytes):
         super().__init__()
-        self.library, self.model, self.as_bytes, self.parts = library, library.model, as_bytes, {}
+        self.library, self.model, self.as_bytes, self.parts, self.before = library, library.model, as_bytes, {}, {}
 
     def __missing__(self, word: bytes) -> bytes:
+        if word in self.before:
+            ids = self[word] = self.before[word]
+            return ids
         text = word.decode("utf-8", "replace")
         plain = PLAIN.fullmatch(text)
         if plain:
@@ -65,6 +69,12 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def age(self) -> None:
+        if len(self) > KNOWN:
+            self.before = dict(self)
+            self.clear()
+            self.parts.clear()
+
     def part(self, text: str) -> bytes:
         if text not in self.parts:
             shown = text if text.isascii() else self.as_bytes.pre_tokenize_str(text)[0][0]
@@ -83,9 +93,7 @@ class WordEncoder:
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Ids of a text in UTF-8."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-            self.known.parts.clear()
+        self.known.age()
         return np.frombuffer(b"".join(map(self.known.__getitem__, (text or b"").split())), "<u4")
 
 
@@ -100,17 +108,15 @@ def pieces(docs: DataFrame, room: int = ROOM, path: str | None = None, end: int
     bound_batches(spark)
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as file:
         held = spark.sparkContext.broadcast(file.read())
-    made: list[WordEncoder] = []
+    name = f"words-{hashlib.sha256(held.value).hexdigest()}"
     (column,) = free(docs, "_pieces")
     kind = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     @F.arrow_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long" + ", ids: array<int>" * with_ids + ">>")
     def cut_up(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(WordEncoder(held.value))
-        rows = []
+        encoder, rows = per_worker(name, lambda: WordEncoder(held.value)), []
         for text in texts.to_pylist():
-            ids = np.append(made[0].encode(text), np.uint32(end)).astype("<u4")
+            ids = np.append(encoder.encode(text), np.uint32(end)).astype("<u4")
             parts = [(ids[a:b], a) for a, b in cut(len(ids), room)]
             rows.append([{"piece": i, "start": a, "length": len(x), "ids_crc32": zlib.crc32(x.tobytes())} | ({"ids": x.astype(np.int32)} if with_ids else {}) for i, (x, a) in enumerate(parts)])
         return pa.array(rows, pa.list_(kind))
