@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding of whole texts by a public rank file.
 
-Every text is dealt out as overlapping chunks of CHUNK code points, which are pre-tokenised in parallel; a text no longer
-than that is one chunk and stays where it lies.  Two neighbours are stitched at the first position in their overlap that
-is a pre-token boundary of both: the pattern never looks back, so from there on both streams agree.  The pieces between
-the stitches are encoded in parallel and their ids joined in order.  A piece alone must be pre-tokenised as it is within
+Every text is cut into overlapping chunks of WITHIN code points, which are pre-tokenised each by itself.  Two neighbours are
+stitched at the first position in their overlap that is a pre-token boundary of both: the pattern never looks back, so from
+there on both streams agree.  The pieces between the stitches are encoded and their ids joined in order.  A text of more than
+CHUNK code points is first dealt over tasks the same way, as chunks of that size whose pieces are encoded in parallel; a
+shorter one stays where it lies.  A piece alone must be pre-tokenised as it is within
 the text; the pattern looks ahead only behind white space, so stitches lie behind letters and numbers alone.  A text whose
 chunks never agree, such as one endless word, is one piece.  The merges within a pre-token are the tokenizer library's;
 decoding concatenates the tokens' raw bytes.
@@ -18,7 +19,9 @@ that they add, which take the place of a caller's column of that name; other col
 from __future__ import annotations
 
 import base64
+import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -29,10 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, broadcast_if_small, free, materialise, own, table
+from .common import bound_batches, broadcast_if_small, free, materialise, own, per_worker, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK, OVERLAP = 32_768, 512
+#: Code points of a chunk within a task and of its overlap, and of a chunk that texts are dealt over tasks by and of its overlap.
+WITHIN, MEET, CHUNK, OVERLAP = 2048, 128, 32_768, 512
 #: Code points at a chunk's end that a boundary must keep clear of: a match may look so far ahead, and more.
 MARGIN = 8
 
@@ -56,9 +60,29 @@ class Encoder:
         found = (m.start() for m in self.split.finditer(text))
         return [at for at in found if at and (before := kind(text[at - 1])) in ("L", "N") and kind(text[at]) not in (before, None)]
 
-    def encode(self, piece: str | None) -> np.ndarray:
-        """Ids of a piece: a text, or a part of one between two boundaries."""
-        return np.array(self.merges.encode_ordinary(piece or ""), np.int32)
+    def streams(self, text: str, chunk: int, overlap: int) -> Iterator[tuple[int, list[int], list[int]]]:
+        """Start of each chunk of a text, and the boundaries that its stream has in the overlap with the chunk before and in
+        that with the chunk behind; a stream over the latter begins an overlap before it."""
+        for at in range(0, max(1, len(text)), chunk):
+            head = [at + x for x in self.boundaries(text[at:at + overlap + MARGIN]) if x <= overlap] if at else []
+            warm = at + max(0, chunk - overlap)
+            tail = [warm + x for x in self.boundaries(text[warm:at + chunk + overlap])] if at + chunk < len(text) else []
+            yield at, head, [x for x in tail if at + chunk <= x <= min(at + chunk + overlap, len(text)) - MARGIN]
+
+    def cuts(self, text: str, chunk: int, overlap: int) -> list[int]:
+        """Where the pieces of a text begin: 0, and the first boundary that two neighbouring streams agree on."""
+        out, behind = [0], set()
+        for at, head, tail in self.streams(text, chunk, overlap):
+            if at and (met := next((x for x in head if x in behind), None)) is not None:
+                out.append(met)
+            behind = set(tail)
+        return out
+
+    def encode(self, text: str | None, chunk: int = WITHIN, overlap: int = MEET) -> np.ndarray:
+        """Ids of a text, or of a part of one between two boundaries, by its pieces; chunks whose streams never agree are one piece."""
+        text = text or ""
+        cuts = [*self.cuts(text, chunk, overlap), len(text)]
+        return np.array([i for a, b in zip(cuts, cuts[1:]) for i in self.merges.encode_ordinary(text[a:b])], np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -79,19 +103,14 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP):
         with open(path or public_tokenizers.path(VOCABULARY), "rb") as file:
             self.file = spark.sparkContext.broadcast(file.read())
+        self.name = f"ranks-{hashlib.sha256(self.file.value).hexdigest()}"
         self.spark, self.chunk, self.overlap = spark, chunk, overlap
         bound_batches(spark)
 
     def made(self):
         """A function that returns the worker's encoder."""
-        file, own = self.file, []
-
-        def encoder() -> Encoder:
-            if not own:
-                own.append(Encoder(parse_ranks(file.value)))
-            return own[0]
-
-        return encoder
+        file, name = self.file, self.name
+        return lambda: per_worker(name, lambda: Encoder(parse_ranks(file.value)))
 
     def ids_of(self, text):
         """Column of the ids of whole texts."""
@@ -144,8 +163,8 @@ class Tokenizer:
     def with_long_ids(self, docs: DataFrame, kept: list[Column], into: str) -> DataFrame:
         """The kept columns of docs, whose texts are longer than a chunk, and their ids, found by the text's digest."""
         key, found = free(docs, "_text", "_found")
-        ids = self.long_ids(docs.select(F.md5("text").alias("_text"), "text")).select(F.col("_text").alias(found), F.col("_ids").alias(into))
-        texts = docs.select(*kept, F.md5("text").alias(key))
+        ids = self.long_ids(docs.select(F.sha2("text", 256).alias("_text"), "text")).select(F.col("_text").alias(found), F.col("_ids").alias(into))
+        texts = docs.select(*kept, F.sha2("text", 256).alias(key))
         return texts.join(ids, F.col(key) == F.col(found)).select(*kept, into)
 
     def long_ids(self, texts: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ class Cuckoo:
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         prints = ((hashes >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
-        first = (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+        first = (hashes >> np.uint64(16) & np.uint64(len(self.table) - 1)).astype(np.int64)  # the lowest bits tell the shard
         return prints, first, self.other(first, prints)
 
     def other(self, bucket, prints):

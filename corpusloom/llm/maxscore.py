@@ -202,6 +202,34 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
+def floors_of(asked: DataFrame, pilot: DataFrame, k: int) -> DataFrame:
+    """q, h and floor: a score that the k-th best of all reaches, as the k-th best of any rows does, for each query of asked
+    that has k others among the pilot's bounded rows, which are sent to the tasks that hold the queries."""
+    held = pilot.toArrow()  # at most PILOT vectors
+    ids, vectors = held.column("vec_id").to_numpy(), held.column("v").combine_chunks()
+    sent = pilot.sparkSession.sparkContext.broadcast((ids, integers(vectors)))
+
+    def scored(batches):
+        ids, base = sent.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
+                queries = integers(part.column("v"))
+                kind, width = exact_type(queries, base), max(queries.shape[1], base.shape[1])
+                scores = fitted(queries, width, kind) @ fitted(base, width, kind).T
+                own = part.column("query_id").to_numpy(zero_copy_only=False)[:, None] == ids
+                names, keys, found = [], [], []
+                for row, mine, q, h in zip(scores, own, part.column("query_id").to_pylist(), part.column("key").to_pylist()):
+                    rest = row[~mine]
+                    if len(rest) >= k:
+                        least = int(np.sort(rest)[len(rest) - k] if kind is object else np.partition(rest, len(rest) - k)[len(rest) - k])
+                        if LONG[0] < least <= LONG[1]:
+                            names, keys, found = [*names, q], [*keys, h], [*found, least]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (names, keys, found)], ["q", "h", "floor"])
+
+    return asked.select("query_id", "key", "v").mapInArrow(scored, "q long, h long, floor long")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, shards: int | None = None, pilot: int = PILOT) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best among all rows of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -210,10 +238,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, shards: int | None =
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asked"))
     n = rows.count()
     asked = materialise(rows.where("asked").select(F.col("vec_id").alias("query_id"), "v").distinct().withColumn("key", F.xxhash64("v")), "maxscore-asked")
-    rows, blank = rows.select("vec_id", "v"), shared_dir(spark, "maxscore-queries")
-    asked.withColumn("floor", F.lit(None).cast("long")).write.parquet(blank)
-    ranked = best(found_in(rows.limit(pilot), blank, k), k)  # any rows give a score that the k-th best of all reaches
-    floors = ranked.where((F.col("rank") == k) & (F.col("score") > LONG[0])).select(F.col("query_id").alias("q"), F.col("key").alias("h"), F.col("score").alias("floor"))
+    rows = rows.select("vec_id", "v")
+    floors = floors_of(asked, rows.limit(pilot), k)
     path = shared_dir(spark, "maxscore-queries")
     same = (F.col("query_id") == F.col("q")) & (F.col("key") == F.col("h"))
     asked.join(floors, same, "left").select("query_id", "key", "v", "floor").write.parquet(path)

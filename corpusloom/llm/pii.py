@@ -18,7 +18,9 @@ name; other columns pass through unchanged, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,8 +55,8 @@ GAPS = {1: re.compile(r"\s?(?:\.|\[\.\]|\(\.\))\s?"), 2: re.compile("[ ./_-]?"),
 GROUPS = {1: 4, 2: 6, 3: 7}
 #: Whether a run goes on beyond the start or the end of a span.
 LEFT, PART_LEFT, RIGHT = re.compile(r"[0-9]\)?[ ./_-]{1,2}\(?$"), re.compile("[A-Za-z0-9][._%+-]$"), re.compile(r"\)?[ ./_-]{1,2}\(?[0-9]")
-#: Starts by ends of one address that are all proposed; beyond them each start with the last end and the first start with each end.
-ALL_SPANS = 4096
+#: Candidates that are rated at a time.
+RATED = 4096
 HINTS = {
     "email": ("mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "credit", "master", "amex"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "cell", "ring"), "other": ("version", "license", "order", "ref", "date", "token", "page", "no", "id", "isbn", "price"),
@@ -87,9 +89,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
-def loose_emails(text: str) -> list[tuple[int, int, int]]:
+def loose_emails(text: str) -> Iterator[tuple[int, int, int]]:
     """Addresses with signs or words for them: every start of a part before the sign, every end of a host label after a dot."""
-    found = []
     for local in LOCAL.finditer(text):
         host = AT_HOST.match(text, local.end())
         if host:
@@ -97,15 +98,13 @@ def loose_emails(text: str) -> list[tuple[int, int, int]]:
             ends = [host.end()]
             while more := MORE_HOST.match(text, ends[-1]):
                 ends.append(more.end())
-            if len(starts) * len(ends) <= ALL_SPANS:
-                found += [(s, e, 0) for s in starts for e in ends]
-            else:
-                found += [(starts[0], e, 0) for e in ends] + [(s, ends[-1], 0) for s in starts[1:]]
-    return found
+            yield from ((s, e, 0) for s in starts for e in ends)
 
 
 def loose_numbers(text: str) -> list[tuple[int, int, int]]:
-    """Spans of 1 to GROUPS groups of digits from every group on, as far as gaps and sizes are those of a kind."""
+    """Spans of 1 to GROUPS groups of digits from every group on, as far as gaps and sizes are those of a kind.
+
+    No number of a kind has more than 7 groups; card numbers have at most 6 parts of up to 6 digits, groups cut into such."""
     groups, found = [m.span() for m in GROUP.finditer(text)], []
     for i, (start, _) in enumerate(groups):
         if text[start - 1:start].isalpha() and text[start - 1:start].isascii():
@@ -147,10 +146,12 @@ def prefixes(text: str, start: int) -> list[int]:
     return [inner] if plus is None or before.isascii() and before.isalnum() else [plus, inner]
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """Spans of the generators: of each run every start and every end at a group's boundary; they overlap."""
-    found = loose_emails(text) if re.search(r"@|\b(?:at|AT)\b", text) else []
-    return found + (loose_numbers(text) if DIGITS.search(text) else [])
+def candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    """Spans of the generators, one after another: of each run every start and every end at a group's boundary; they overlap."""
+    if re.search(r"@|\b(?:at|AT)\b", text):
+        yield from loose_emails(text)
+    if DIGITS.search(text):
+        yield from loose_numbers(text)
 
 
 def fails_base(text: str, start: int, end: int, kind: int) -> bool:
@@ -333,30 +334,23 @@ def trained(docs: DataFrame) -> Trees:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Trees) -> list[tuple[int, int, int]]:
-    """Selected candidates that meet no base span and no likelier selected one."""
-    found = [c for c in candidates(text) if not any(s < c[1] and c[0] < e for s, e, _ in base)] if len(base) < 50 else apart(candidates(text), base)
-    if not found:
-        return []
-    chance = model.chance(np.array([features(text, *c) for c in found]))
-    chosen: list[tuple[int, int, int]] = []
-    for i in np.argsort(-chance, kind="stable").tolist():
-        if chance[i] >= model.limits[found[i][2]]:
-            chosen.append(found[i])
-    taken, out = np.zeros(len(text) + 1, bool), []
-    for s, e, k in chosen:
+    """Selected candidates that meet no base span and no likelier selected one, ties to the earlier proposed; they are
+    proposed and rated in blocks, of which the selected ones are kept."""
+    taken, chosen = np.zeros(len(text) + 1, bool), []
+    for s, e, _ in base:
+        taken[s:e] = True
+    proposed = (c for c in candidates(text) if not taken[c[0]:c[1]].any())
+    while block := list(itertools.islice(proposed, RATED)):
+        chance = model.chance(np.array([features(text, *c) for c in block]))
+        chosen += [(-p, len(chosen) + i, c) for i, (p, c) in enumerate(zip(chance.tolist(), block)) if p >= model.limits[c[2]]]
+    out = []
+    for _, _, (s, e, k) in sorted(chosen):
         if not taken[s:e].any():
             taken[s:e] = True
             out.append((s, e, k))
     return out
 
 
-def apart(spans: list, base: list) -> list:
-    covered = np.zeros(max(e for _, e, _ in [*spans, *base]) + 1, bool) if spans else None
-    for s, e, _ in base if spans else ():
-        covered[s:e] = True
-    return [c for c in spans if not covered[c[0]:c[1]].any()]
-
-
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1])))
 

@@ -153,6 +153,25 @@ def test_line_dedup_is_reversible(spark):
     assert store.delete(even).counts().count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 32, 1024])
+def test_a_filter_of_one_shard_is_filled_to_four_fifths(shards):
+    rng = np.random.default_rng(shards)
+    hashes = rng.integers(0, 1 << 63, 1 << 22, dtype=np.uint64)
+    own = (hashes // np.uint64(shards) * np.uint64(shards) + np.uint64(3 % shards))[:64_000]  # keys of one shard share the lowest bits
+    made, held = line_dedup.Cuckoo(1 << 12), 0
+    while held < len(own) and made.add(own[held:held + 200]):
+        held += 200
+    assert held / (len(made.table) * line_dedup.SLOTS) > 0.8  # what refuses a key is rebuilt
+
+
+def test_columns_in_another_case_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 20, "s", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, _IDS int, _QUALITY int, _PII int, _LINES int, _MIX int")
+    labels = spark.createDataFrame([(1,)], "doc_id long")
+    for found, name in ((bpe.Tokenizer(spark).encode(docs), "_ids"), (quality.judge(docs, labels), "_quality"), (pii.detect(docs), "_pii"), (mixing.with_copies(docs), "_mix")):
+        assert [c for c in found.columns if c.lower() == name] == [name] and found.count() == 1
+    assert line_dedup.drop_common_lines(docs).columns == docs.columns
+
+
 def test_cuckoo_filter_has_no_false_negatives_and_forgets():
     values = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64)
     values = np.concatenate([values, values[:2]])
@@ -262,6 +281,8 @@ def test_bpe_pieces_of_any_cut_are_those_of_the_text(tokenizer_library):
     rng = random.Random(12)
     for _ in range(300):
         text = "".join(rng.choices("ab'sre 12 \n\n\t\x1c!\u00a0\u6f22\uff0c\u0301", k=60))
+        for chunk, overlap in ((5, 4), (16, 12), (40, 16), (2048, 128)):
+            assert encoder.encode(text, chunk, overlap).tolist() == tokenizer_library.encode_ordinary(text)
         for at in encoder.boundaries(text):
             assert encoder.encode(text[:at]).tolist() + encoder.encode(text[at:]).tolist() == tokenizer_library.encode_ordinary(text)
             assert at in (m.start() for m in encoder.split.finditer(text))
@@ -431,7 +452,7 @@ def test_registered_queries(spark, tokenizer_library, tmp_path):
         assert Counter(map(tuple, found.collect())) == Counter(rows), function.__name__
 
 
-def test_candidates_have_every_start_and_end_of_a_run():
+def test_candidates_have_every_start_and_end_of_a_run(spark):
     spans = lambda text, k: {text[s:e] for s, e, kind in pii.candidates(text) if kind == k}
     for before in ("2024-05-01 ", "room 12 ", "1 22 333 44 55 66 77 88 99 "):
         assert "555-123-4567" in spans(before + "555-123-4567 and 8", 3)
@@ -441,7 +462,26 @@ def test_candidates_have_every_start_and_end_of_a_run():
     local = "a" * 70
     assert {f"{local} at b.c.d.e.f.g.com", f"{local} at b.c"} <= spans(f"{local} at b.c.d.e.f.g.com", 0)
     assert {"x.bob [at] y.com", "bob [at] y.com"} <= spans("x.bob [at] y.com", 0)
-    assert len(pii.candidates("1 " * 20_000)) < 20 * 20_000 and len(pii.candidates("a." * 5000 + "b at c" + ".d" * 5000)) < 20_000
+    assert sum(1 for _ in pii.candidates("1 " * 20_000)) < 20 * 20_000
+    address = "a." * 70 + "b at c" + ".d" * 70  # 71 starts and 70 ends
+    assert len({c for c in pii.candidates(address) if c[2] == 0}) == 71 * 70
+    found = pii.added_spans(address, [], pii.trained(spark.createDataFrame([], "text string")))
+    assert all(not (s < f and b < e) for s, e, _ in found for b, f, _ in found if (s, e) != (b, f))
+
+
+def test_spans_rated_in_blocks_are_those_rated_at_once(spark, monkeypatch):
+    model = pii.trained(spark.createDataFrame([], "text string"))
+    text = "mail x.bob [at] y.com or a.b.c at d.e.com; tel 2024-05-01 (555) 123-4567, card 4111/1111/1111/1111; " * 3
+    whole = pii.added_spans(text, [], model)
+    cs = list(pii.candidates(text))
+    chance = {c: p for c, p in zip(cs, model.chance(np.array([pii.features(text, *c) for c in cs])))}
+    want, taken = [], set()
+    for c in sorted((c for c in chance if chance[c] >= model.limits[c[2]]), key=lambda c: (-chance[c], cs.index(c))):
+        if not taken & set(range(c[0], c[1])):
+            taken |= set(range(c[0], c[1]))
+            want.append(c)
+    monkeypatch.setattr(pii, "RATED", 7)
+    assert whole == want == pii.added_spans(text, [], model) and len(whole) >= 9
 
 
 def test_unchecked_candidates_of_the_sample_are_unknown():
