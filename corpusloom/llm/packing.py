@@ -38,7 +38,7 @@ VOCABULARY, ROOM, END = "word_bpe_49k.json", 4096, 1
 #: Pieces that a task numbers, about.
 BUCKET = 500_000
 #: Words met of late whose ids a worker remembers; as many met before these stay too.
-KNOWN = 400_000
+KNOWN = 100_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
