@@ -4,9 +4,11 @@ A page is parsed into a tree that forgives unclosed and misplaced tags.  Boilerp
 what is hidden or has such a role) is left out.  Blocks whose class or id names an advert, a menu, comments and so on, and
 forms, are left out too, but not one that holds most of the page's text outside links: names only weigh against a block,
 and where they would leave nothing they do not count.  Every other node gets its link-adjusted characters per tag, and
-the sum of these densities over its children.  The node with the largest sum is the main text, widened to the article or
-main element around it, if there is one.  Without one, it is widened to a block that adds the title and little else, and
-other subtrees count too whose density reaches the lowest density on the path from the body to that node.
+the sum of these densities over its children.  The node with the largest sum is the main text; where it holds several
+articles, the one with the largest sum, if most of the text is in it.  An article or main element around it widens it if that
+is denser than the body.  Otherwise it is widened to a block that adds the title and little else, and other subtrees count
+too whose density reaches the lowest density on the path from the body to that node.  An article, or a division or section
+with many of these, beside that path in which nothing is so dense, such as a list of short comments, is left out.
 
 Defined cases: null and empty pages, and pages whose text is all boilerplate by markup, give an empty text; a page that
 breaks off counts up to its end; markup without a body is its own body; repeated rows give equal texts.  ``extract`` takes
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, own, table
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)(?:>|\Z))""", re.S)
 #: One attribute, consumed whole: its name, then a quoted or bare value.
@@ -60,6 +62,10 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+#: Elements that hold others and are no text of their own.
+CONTAINERS = frozenset("div section article".split())
+#: Containers within one that make it a list of such.
+MANY = 5
 SCOPES = frozenset("article aside body div footer form header main nav section table td th blockquote li html".split())
 
 
@@ -107,7 +113,7 @@ class Tree:
         above = self.open[-1]
         self.parent.append(above)
         self.tag.append(name)
-        out, names = (True, 0) if self.out[above] else self.beside(name, attributes, above)
+        out, names = (True, 0) if self.out[above] else self.beside(name, attributes)
         self.out.append(out)
         self.named.append(names)
         if name not in VOID:
@@ -147,9 +153,9 @@ class Tree:
             node = self.parent[node]
         return node if node > 0 else None
 
-    def beside(self, name: str, attributes: str, above: int) -> tuple[bool, int]:
+    def beside(self, name: str, attributes: str) -> tuple[bool, int]:
         """Whether markup says that the element is not part of the article, and how strongly names say so."""
-        if name in DROPPED or (name == "header" and self.within(above, ("article", "main")) is None):
+        if name in DROPPED or (name == "header" and not self.nearest(("article", "main"))):
             return True, 0
         strength, article = int(name == "form"), False
         for key, value in named(attributes).items() if attributes else ():
@@ -164,7 +170,7 @@ class Tree:
                     elif not WEAK.isdisjoint(words):
                         strength = max(strength, 1)
                 words = {w.lower() for w in WORDS.findall(value)}
-                if "header" in words and words <= PAGE_HEADERS and self.within(above, ("article", "main")) is None:
+                if "header" in words and words <= PAGE_HEADERS and not self.nearest(("article", "main")):
                     strength = 2
         return False, min(strength, 1) if article else strength
 
@@ -227,20 +233,30 @@ def main_text(page: str | None) -> str:
         if not out[i]:
             sums[tree.parent[i]] += dense[i]
     best = max(range(n), key=lambda i: (sums[i] if chars[i] else -1.0, chars[i], i))
+    best = rival(tree, best, chars, sums, out, last)
+    node, lowest = best, dense[best]
+    while node not in (body, 0):
+        node = tree.parent[node]
+        lowest = min(lowest, dense[node])
     whole = tree.within(best, ("article",)) or tree.within(best, ("main",))
-    chosen = {whole or best}
-    if whole is None:
+    if whole is not None and (whole == best or dense[whole] > dense[body] or chars[whole] == chars[body]):
+        chosen = {whole}
+    else:
         best = titled(tree, best, chars, link_chars, last)
-        chosen = {best}
-        node, lowest = best, dense[best]
-        while node not in (body, 0):
-            node = tree.parent[node]
-            lowest = min(lowest, dense[node])
-        chosen |= {i for i in range(1, n) if chars[i] and dense[i] >= lowest and sums[i] > 0 and not out[i] and i not in (body, 0) and tree.tag[i] != "html" and not i <= best <= last[i]}
+        chosen = {best} | {i for i in range(1, n) if chars[i] and dense[i] >= lowest and sums[i] > 0 and not out[i] and i not in (body, 0) and tree.tag[i] != "html" and not i <= best <= last[i]}
         chosen |= {i for i in range(1, n) if tree.tag[i] in ("p", "pre", "blockquote", "h1") and chars[i] and dense[i] >= lowest and not out[i]}
+    # a container beside the path to the node in which nothing is as dense as that path is none of the text
+    most = [d if c else 0.0 for d, c in zip(dense, chars)]
+    for i in range(n - 1, 0, -1):
+        if not out[i]:
+            most[tree.parent[i]] = max(most[tree.parent[i]], most[i])
+    held = [0] * n
+    for i in range(1, n):
+        held[tree.parent[i]] += tree.tag[i] in CONTAINERS
+    thin = [tree.tag[i] in CONTAINERS and not i <= best <= last[i] and most[i] < lowest and (held[i] >= MANY or tree.tag[i] == "article") for i in range(n)]
     inside = [False] * n
     for i in range(n):
-        inside[i] = not out[i] and (i in chosen or (i > 0 and inside[tree.parent[i]]))
+        inside[i] = not out[i] and not thin[i] and (i in chosen or (i > 0 and inside[tree.parent[i]]))
     blocks: dict[int, list[str]] = {}
     for node, block, text in tree.texts:
         if inside[node]:
@@ -248,6 +264,16 @@ def main_text(page: str | None) -> str:
     return "\n".join(filter(None, (" ".join("".join(x).split()) for x in blocks.values())))
 
 
+def rival(tree: Tree, best: int, chars: list[int], sums: list[float], out: list[bool], last: list[int]) -> int:
+    """best, or the article within it that has the largest sum of several and most of the text; the others are teasers."""
+    found = [i for i in range(best + 1, last[best] + 1) if tree.tag[i] == "article" and chars[i] and not out[i]]
+    if len(found) > 1:
+        first = max(found, key=lambda i: (sums[i], -i))
+        if 2 * chars[first] >= chars[best]:
+            return first
+    return best
+
+
 def titled(tree: Tree, best: int, chars: list[int], link_chars: list[int], last: list[int]) -> int:
     """best, or the nearest node around it that has the page's title and little else besides; last: of each subtree."""
     titles = [i for i, tag in enumerate(tree.tag) if tag == "h1" and not best <= i <= last[best]]
@@ -269,7 +295,7 @@ def extract(pages: DataFrame, into: str = "_text") -> DataFrame:
     def texts(rows: pa.Array) -> pa.Array:
         return pa.array([main_text(x) for x in rows.to_pylist()], pa.string())
 
-    return pages.withColumn(into, texts("html"))
+    return pages.select(*own(pages, into), texts("html").alias(into))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
