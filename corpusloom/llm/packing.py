@@ -24,6 +24,7 @@ import os
 import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +39,7 @@ VOCABULARY, ROOM, END = "word_bpe_49k.json", 4096, 1
 #: Pieces that a task numbers, about.
 BUCKET = 500_000
 #: Words met of late whose ids a worker remembers; as many met before these stay too.
-KNOWN = 100_000
+KNOWN = 150_000
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -46,40 +47,21 @@ def raw(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class WordIds(dict):
-    """The ids of each word met so far, as raw unsigned 32-bit numbers; others are asked of the library.
+class Remembered(dict):
+    """Values by key, made when first asked for; at most twice KNOWN of the keys asked for of late stay."""
 
-    Letters that lower to one letter each and compose with nothing, and marks behind them, are pre-tokens as they stand:
-    these go to the library's merges directly, all else through its whole chain."""
-
-    def __init__(self, library, as_bytes):
+    def __init__(self, make: Callable):
         super().__init__()
-        self.library, self.model, self.as_bytes, self.parts, self.before = library, library.model, as_bytes, {}, {}
+        self.make, self.before = make, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        if word in self.before:
-            ids = self[word] = self.before[word]
-            return ids
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text)
-        if plain:
-            ids = self.part(plain[1].lower()) + (self.part(plain[2]) if plain[2] else b"")
-        else:
-            ids = raw(self.library.encode(text, add_special_tokens=False).ids)
-        self[word] = ids
-        return ids
+    def __missing__(self, key):
+        found = self[key] = self.before[key] if key in self.before else self.make(key)
+        return found
 
     def age(self) -> None:
         if len(self) > KNOWN:
             self.before = dict(self)
             self.clear()
-            self.parts.clear()
-
-    def part(self, text: str) -> bytes:
-        if text not in self.parts:
-            shown = text if text.isascii() else self.as_bytes.pre_tokenize_str(text)[0][0]
-            self.parts[text] = raw([x.id for x in self.model.tokenize(shown)])
-        return self.parts[text]
 
 
 class WordEncoder:
@@ -89,12 +71,28 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.known = WordIds(Tokenizer.from_buffer(data), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+        self.library, self.as_bytes = Tokenizer.from_buffer(data), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = self.library.model
+        self.words, self.parts = Remembered(self.word), Remembered(self.part)
+
+    def word(self, word: bytes) -> bytes:
+        """Letters that lower to one letter each and compose with nothing, and marks behind them, are pre-tokens as they
+        stand: these go to the library's merges directly, all else through its whole chain."""
+        text = word.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(text)
+        if plain:
+            return self.parts[plain[1].lower()] + (self.parts[plain[2]] if plain[2] else b"")
+        return raw(self.library.encode(text, add_special_tokens=False).ids)
+
+    def part(self, text: str) -> bytes:
+        shown = text if text.isascii() else self.as_bytes.pre_tokenize_str(text)[0][0]
+        return raw([x.id for x in self.model.tokenize(shown)])
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Ids of a text in UTF-8."""
-        self.known.age()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, (text or b"").split())), "<u4")
+        self.words.age()
+        self.parts.age()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, (text or b"").split())), "<u4")
 
 
 def cut(length: int, room: int) -> list[tuple[int, int]]:
