@@ -18,9 +18,12 @@ from ..operators import ranks as R
 from ..operators import similarity as N
 from ..operators import stats as A
 from ..operators import vector_index as V
+from ..sources.keyed import KeyedTable
 from ..sources.scans import spread
 from ..sources.sinks import work_path, write_parquet
 from ..streaming import jobs as J
+from ..streaming import leases as E
+from ..streaming import tables as K
 from .fixtures import CODE_FILES, CORPUS, LEASES, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
 from .scalars import measured
@@ -358,21 +361,31 @@ def dealt(rows: DataFrame, key: str, files: int = 3) -> DataFrame:
     return J.stream_table(rows.sparkSession, path)
 
 
+def in_order(spark, path: str) -> None:
+    """Give the files of a folder times in the order of their names, by which a stream takes them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().getName(), s) for s in store.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    for i, (_, s) in enumerate(files):  # a file for each task that wrote
+        store.setTimes(s.getPath(), files[0][1].getModificationTime() - 1000 * (len(files) - i), -1)
+
+
 def dealt_in_time(rows: DataFrame, ts: str, files: int = 3) -> DataFrame:
-    """As dealt, with later rows in later files."""
+    """As dealt, with later rows in later batches: tasks write ranges of time, so that a batch is some of their files in the
+    order of their names, which is that of time."""
     spark, path = rows.sparkSession, work_path(rows.sparkSession, "stream")
-    ends = rows.select(F.percentile_approx(F.unix_micros(ts), [(i + 1) / files for i in range(files - 1)]).alias("ends")).first().ends or []
-    part = sum((F.unix_micros(ts) > x).cast("int") for x in ends) if ends else F.lit(0)
-    for i in range(files):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return J.stream_table(spark, path)
+    parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, ts).write.parquet(path)
+    in_order(spark, path)
+    return J.stream_table(spark, path, -(-parts // files))
 
 
 @query("SELECT event_id FROM events")
 def stream_results(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    events = table(spark, sf_dir, "events").select("event_id")
     stream = dealt(events.unionByName(events.where("event_id % 5 = 0")), "event_id")
-    return J.run_to_table(J.accepted_results(stream, "event_id", "ts", "400 days"), work_path(spark, "results"), work_path(spark, "progress")).select("event_id")
+    held = KeyedTable.create(events.limit(0), work_path(spark, "results"), "event_id", 16)
+    return K.first_of_each_key(stream, held, work_path(spark, "progress"), "results")
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -384,7 +397,17 @@ def stream_incremental_load(spark, sf_dir):
 @query("SELECT DISTINCT md5(code) AS hash FROM corpus", CORPUS)
 def stream_dedup_hashes(spark, sf_dir):
     stream = dealt(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash")), "doc_id").select("hash")
-    return J.stream_dedup(stream, "hash", work_path(spark, "hashes"), work_path(spark, "progress"))
+    held = KeyedTable.create(spark.createDataFrame([], "hash string"), work_path(spark, "hashes"), "hash", 16)
+    return K.first_of_each_key(stream, held, work_path(spark, "progress"), "hashes")
+
+
+@query("SELECT to_timestamp(floor(epoch(ts) / 10) * 10)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY 1")
+def progress_windows(spark, sf_dir):
+    """Events of each window, from the log as a stream in order of time, so that none is late."""
+    stream = dealt_in_time(table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    held = KeyedTable.create(spark.createDataFrame([], "window_start timestamp, n long, late long"), work_path(spark, "windows"), "window_start", 16)
+    found = K.counted_windows(stream, "ts", held, work_path(spark, "progress"), "events")
+    return found.where("n > 0").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query(
@@ -395,5 +418,20 @@ def stream_dedup_hashes(spark, sf_dir):
 )
 def lease_state(spark, sf_dir):
     """The lease of each batch as a stream leaves it, from the log written in order of time as a folder of files."""
-    states = J.lease_states(dealt_in_time(leases(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts"), 3600)
-    return J.last_states(J.run_to_table(states, work_path(spark, "leases"), work_path(spark, "progress")))
+    log = leases(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = E.run(E.lease_log(dealt_in_time(log, "ts"), sweep=0), work_path(spark, "leases"), work_path(spark, "progress"))
+    return E.last_states(log.select("batch_id").distinct(), found)
+
+
+@query(
+    """SELECT batch_id, "at", client, state, times FROM (SELECT batch_id, epoch_us(ts) AS "at", client, CASE event WHEN 'assign' THEN 'assigned' WHEN 'submit' THEN 'completed' ELSE 'pending' END AS state,
+    (count(*) FILTER (event = 'assign') OVER (PARTITION BY batch_id ORDER BY ts, event, client ROWS UNBOUNDED PRECEDING))::INTEGER AS times FROM leases WHERE event <> 'none')
+    UNION ALL SELECT batch_id, sweep, client, 'expired', times FROM (SELECT batch_id, client, event, ((epoch_us(ts) // 1000000 + 3600 + 299) // 300) * 300 * 1000000 AS sweep,
+    (count(*) FILTER (event = 'assign') OVER w)::INTEGER AS times, coalesce(epoch_us(lead(ts) OVER w), (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM leases)) AS next FROM leases WHERE event <> 'none'
+    WINDOW w AS (PARTITION BY batch_id ORDER BY ts, event, client)) WHERE event = 'assign' AND sweep <= next""",
+    LEASES,
+)
+def lease_log(spark, sf_dir):
+    """Every time that a batch is given out, handed in or returned, and every sweep that finds its lease run out."""
+    log = leases(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return E.run(E.lease_log(dealt_in_time(log, "ts")), work_path(spark, "leases"), work_path(spark, "progress"))

@@ -10,7 +10,9 @@ from ..operators import ledgers as L
 from ..operators import ranks as R
 from ..operators import sampling as P
 from ..operators import stats as A
+from ..sources.keyed import KeyedTable
 from ..sources.scans import parse_responses
+from ..sources.sinks import work_path
 from .fixtures import CODE_FILES, CORPUS, LEASES, LEDGERS, PREDICTIONS, REQUESTS, RESPONSES, RESULTS, SHAPE_ROWS, TRIALS
 from .fixtures import code_files, corpus, leases, ledgers, predictions, requests, responses, results, table, trials
 from .register import query
@@ -75,20 +77,28 @@ def accept_known_batches(spark, sf_dir):
 
 @query("SELECT min(row_id) AS row_id, md5(code) AS hash FROM corpus WHERE row_id % 2 = 1 AND md5(code) NOT IN (SELECT md5(code) FROM corpus WHERE row_id % 2 = 0) GROUP BY md5(code)", CORPUS)
 def upsert_ignore(spark, sf_dir):
+    """The rows added to a keyed table: of its buckets only files for the new keys are written."""
     hashed = corpus(spark, sf_dir).select("row_id", F.md5("code").alias("hash"))
-    return L.upsert_ignore(hashed.where("row_id % 2 = 1"), hashed.where("row_id % 2 = 0"), "hash", "row_id")
+    held = KeyedTable.create(hashed.where("row_id % 2 = 0"), work_path(spark, "hashes"), "hash", 16)
+    held.insert_new(hashed.where("row_id % 2 = 1"), "row_id")
+    return held.read().where("row_id % 2 = 1").select("row_id", "hash")
 
 
 @query("SELECT md5(text) AS hash, bool_or(doc_id % 2 = 1) AS completed, min(doc_id) AS created_at FROM documents GROUP BY 1")
 def upsert_flag(spark, sf_dir):
     rows = corpus(spark, sf_dir).select("row_id", F.md5("code").alias("hash"), (F.col("row_id") % 2 == 1).alias("completed"), F.col("row_id").alias("created_at"))
-    return L.upsert_flag(rows.where("completed").drop("row_id"), rows.where("NOT completed").drop("row_id"))
+    first = rows.where("NOT completed").groupBy("hash").agg(F.bool_or("completed").alias("completed"), F.min("created_at").alias("created_at"))
+    held = KeyedTable.create(first, work_path(spark, "flags"), "hash", 16)
+    held.combine(rows.where("completed").drop("row_id"), {"completed": F.bool_or, "created_at": F.min})
+    return held.read()
 
 
 @query("SELECT custom_id, batch_id FROM requests WHERE custom_id NOT IN (SELECT custom_id FROM ok WHERE NOT failed)", RESPONSES, RESPONDED, REQUESTS)
 def delete_matched(spark, sf_dir):
     done = parse_responses(responses(spark, sf_dir)).where("NOT failed")
-    return L.delete_matched(requests(spark, sf_dir), done, "custom_id").select("custom_id", "batch_id")
+    held = KeyedTable.create(requests(spark, sf_dir).select("custom_id", "batch_id"), work_path(spark, "requests"), "custom_id", 16)
+    held.delete(done.select("custom_id"))
+    return held.read()
 
 
 # Statistics
@@ -400,13 +410,3 @@ def balanced_split(spark, sf_dir):
 @query("SELECT row_id, class, place <= floor(0.1 * size) AS is_val FROM placed", CORPUS, PLACED.format(seed=5, source="corpus"))
 def train_val_split(spark, sf_dir):
     return P.split(classes(spark, sf_dir), "class", "row_id", 0.1, 5, "is_val")
-
-
-# Windows of time
-
-
-@query("SELECT to_timestamp(floor(epoch(ts) / 10) * 10)::TIMESTAMP AS window_start, count(*) AS n FROM events GROUP BY 1")
-def progress_windows(spark, sf_dir):
-    from ..streaming.jobs import progress_windows as windows
-
-    return windows(table(spark, sf_dir, "events"), "ts")

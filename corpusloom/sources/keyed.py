@@ -94,10 +94,10 @@ class KeyedTable:
     def bucket(self, manifest: dict) -> Column:
         return F.pmod(F.xxhash64(manifest["key"]), F.lit(manifest["buckets"])).cast("int")
 
-    def changed(self, rows: DataFrame, mark: tuple[str, int] | None, change: Callable) -> int | None:
+    def changed(self, rows: DataFrame, mark: tuple[str, int] | None, change: Callable, notes: dict[str, int] | None = None) -> int | None:
         """Make the next version by a change of the buckets that rows fall in; its number, or None if nothing is to be done.
 
-        change(manifest, staged rows, touched buckets) gives (rows to write, whether they come instead of the buckets' old rows)."""
+        notes: further marks to be kept with it.  change(manifest, staged rows, touched buckets) gives (rows to write, whether they come instead of the buckets' old rows)."""
         manifest = self.manifest()
         if mark and manifest["marks"].get(mark[0], -1) >= mark[1]:
             return None
@@ -118,7 +118,7 @@ class KeyedTable:
                 for b in touched:
                     files[str(b)] = ([] if instead else files.get(str(b), [])) + ([written[b]] if b in written else [])
             if mark:
-                marks[mark[0]] = mark[1]
+                marks |= {mark[0]: mark[1], **(notes or {})}
             self.write_manifest({**manifest, "version": manifest["version"] + 1, "files": {b: f for b, f in files.items() if f}, "marks": marks})
             return manifest["version"] + 1
         finally:
@@ -138,7 +138,7 @@ class KeyedTable:
 
         return self.changed(rows, mark, added)
 
-    def combine(self, rows: DataFrame, merged: dict[str, Callable], mark: tuple[str, int] | None = None) -> int | None:
+    def combine(self, rows: DataFrame, merged: dict[str, Callable], mark: tuple[str, int] | None = None, notes: dict[str, int] | None = None) -> int | None:
         """One row for each key of the table and of rows, each other column made of all of its values by an aggregate."""
 
         def together(manifest, staged, touched):
@@ -146,7 +146,7 @@ class KeyedTable:
             both = self.of_buckets(manifest, touched).unionByName(staged)
             return both.groupBy(key).agg(*[f(c).alias(c) for c, f in merged.items()]), True
 
-        return self.changed(rows, mark, together)
+        return self.changed(rows, mark, together, notes)
 
     def delete(self, keys: DataFrame, mark: tuple[str, int] | None = None) -> int | None:
         """Drop the rows of these keys; keys: a table with the key's column."""
