@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ledgers import row_ids, small
+from .quantiles import exact_quantiles
 
 
 def dedup_rows(df: DataFrame, keys: list[str], order: str, keep: str | None = "first") -> DataFrame:
@@ -30,19 +31,20 @@ def dedup_by(df: DataFrame, key: Column, order: str) -> DataFrame:
 def quantile_bins(df: DataFrame, value: Column, name: str, q: int = 10, by: list[str] | None = None, duplicates: str = "raise") -> DataFrame:
     """``name``: number of the quantile bin, right-closed, of each row within its group.
 
-    Edges are exact linear quantiles; equal edges are an error, or merged with duplicates="drop".  A group's quantiles hold a
-    count for each distinct value in one task: meant for lengths and other values of which there are not very many.
+    Edges are exact linear quantiles, selected over ranges; equal edges are an error, or merged with duplicates="drop".
     """
     by = by or []
-    edges = F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)]))
-    bounds = df.groupBy(*by).agg(edges.alias("_edges"))
+    group = F.lit(0) if not by else F.col(by[0]) if len(by) == 1 else F.to_json(F.struct(*by))
+    df = df.withColumn("_group", group)
+    bounds = exact_quantiles(df.withColumn("_value", value), "_group", "_value", [i / q for i in range(q + 1)])
+    bounds = bounds.select(F.col("_group").alias("_of"), F.col("quantiles").alias("_edges"))
     if duplicates == "drop":
         bounds = bounds.withColumn("_edges", F.array_distinct("_edges"))
     else:
         bounds = bounds.withColumn("_edges", F.when(F.size(F.array_distinct("_edges")) == F.size("_edges"), F.col("_edges")).otherwise(F.raise_error(F.lit("bin edges must be unique"))))
     inner = F.slice(F.col("_edges"), F.lit(2), F.size("_edges") - 2)
-    joined = df.join(small(bounds), by) if by else df.crossJoin(F.broadcast(bounds))  # one row without groups
-    return joined.withColumn(name, F.size(F.filter(inner, lambda x: x < value))).drop("_edges")
+    joined = df.join(small(bounds), F.col("_group").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, F.size(F.filter(inner, lambda x: x < value))).drop("_edges", "_group", "_of")
 
 
 def top_percent(df: DataFrame, score: str, tie: str, percent: float) -> DataFrame:

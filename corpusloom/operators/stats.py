@@ -7,16 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ledgers import small
+from .quantiles import exact_quantiles
 
 
 def length_stats(corpus: DataFrame, code: str = "code", by: str = "class", low: int = 100, high: int = 5000) -> DataFrame:
-    """Count, mean, median and deviation of code lengths of each class, before and after the length filter, in one pass.
-
-    A median holds a count for each distinct length, at most that of the longest code."""
+    """Count, mean, median and deviation of code lengths of each class, before and after the length filter; medians are
+    selected over ranges, so that no task holds a class's lengths."""
     sized = corpus.where(F.col(code).isNotNull()).select(by, F.length(code).alias("x"))
-    kept = F.when(F.col("x").between(low, high), F.col("x"))
-    stats = lambda c, name: [F.count(c).alias(f"n_{name}"), F.avg(c).alias(f"mean_{name}"), F.median(c).alias(f"median_{name}"), F.stddev_samp(c).alias(f"std_{name}")]
-    return sized.groupBy(by).agg(*stats(F.col("x"), "all"), *stats(kept, "kept"))
+    sized = sized.withColumn("y", F.when(F.col("x").between(low, high), F.col("x")))
+    stats = lambda c, name: [F.count(c).alias(f"n_{name}"), F.avg(c).alias(f"mean_{name}"), F.stddev_samp(c).alias(f"std_{name}")]
+    found = sized.groupBy(by).agg(*stats("x", "all"), *stats("y", "kept"))
+    for c, name in (("x", "all"), ("y", "kept")):
+        medians = exact_quantiles(sized, by, c, [0.5]).select(F.col(by).alias("_of"), F.col("quantiles")[0].alias(f"median_{name}"))
+        found = found.join(small(medians), F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
+    return found.select(by, *[f"{x}_{name}" for name in ("all", "kept") for x in ("n", "mean", "median", "std")])
 
 
 def length_histogram(corpus: DataFrame, code: str = "code", by: str = "class", bins: int = 50) -> DataFrame:
