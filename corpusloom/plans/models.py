@@ -27,7 +27,7 @@ from ..streaming import tables as K
 from .fixtures import CODE_FILES, CORPUS, LEASES, SHAPE_ROWS, code_files, corpus, leases, results, table
 from .register import query
 from .scalars import measured
-from .shapes import BAG_ROWS, RATIO_ROWS, SUBTREE_ROWS, TREE_ROWS, VOCABULARY, distance_rows
+from .shapes import BAG_ROWS, RATIO_ROWS, STRUCTURE_ROWS, SUBTREE_ROWS, TREE_ROWS, VOCABULARY, distance_rows
 
 #: Every fiftieth row is a query, against all rows.
 EVERY = 50
@@ -243,9 +243,16 @@ def enrich_with_model_stub(spark, sf_dir):
     return enrich_with_model(rows, "prompt", echo_model).select("id", "answer", "ok", "error")
 
 
-@query("SELECT id, bucket, weight::DOUBLE AS weight FROM code_files JOIN bags USING (template)", CODE_FILES, BAG_ROWS)
+@query("SELECT id, bucket, weight::DOUBLE AS weight FROM code_files JOIN structures USING (template)", CODE_FILES, STRUCTURE_ROWS)
 def embed_code(spark, sf_dir):
-    """The parts of each file's vector that are not zero."""
+    """The parts of each file's structure vector that are not zero, to four places."""
+    parts = code_files(spark, sf_dir).select("id", F.posexplode(S.embed_code("code")).alias("bucket", "weight"))
+    return parts.withColumn("weight", F.round(F.col("weight").cast("double"), 4)).where("weight <> 0")
+
+
+@query("SELECT id, bucket, weight::DOUBLE AS weight FROM code_files JOIN bags USING (template)", CODE_FILES, BAG_ROWS)
+def embed_node_types(spark, sf_dir):
+    """The parts of each file's bag of node types that are not zero."""
     parts = measured(spark, sf_dir).select("id", F.posexplode(N.bag_embedding()("m.nodes")).alias("bucket", "weight"))
     return parts.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 

@@ -110,6 +110,28 @@ def weights(names: list[str], width: int = 64) -> list[tuple[int, float]]:
     return [(at, round(n / math.sqrt(sum(x * x for x in bag.values())), 6)) for at, n in sorted(bag.items())]
 
 
+def marks_of(node: ast.AST, depth: int) -> list[int]:
+    """The marks of a node up to a depth, by recursion: of its type, then of its mark and its children's before."""
+    below = [marks_of(c, depth - 1) for c in ast.iter_child_nodes(node)] if depth else []
+    out = [zlib.crc32(type(node).__name__.encode())]
+    for i in range(depth):
+        out.append(zlib.crc32(f"{out[-1]}({','.join(str(b[i]) for b in below)})".encode()) if below else out[-1])
+    return out
+
+
+def structure(tree: ast.AST, width: int = 256, rounds: int = 3) -> list[tuple[int, float]]:
+    """The parts of a tree's structure vector that are not zero."""
+    marks = Counter(m for n in ast.walk(tree) for i, m in enumerate(marks_of(n, rounds)) if i == 0 or any(True for _ in ast.iter_child_nodes(n)))
+    parts = [0.0] * width
+    for mark, n in marks.items():
+        parts[mark % width] += math.sqrt(n) if mark // width % 2 else -math.sqrt(n)
+    norm = math.sqrt(sum(x * x for x in parts))
+    return [(i, round(x / norm, 4) + 0.0) for i, x in enumerate(parts) if round(x / norm, 4)]
+
+
+STRUCTURE_ROWS = values("structures", "template, bucket, weight", [(i, at, w) for i, t in enumerate(TREES) if t for at, w in structure(t)])
+
+
 def labelled(node: ast.AST) -> tuple:
     """A tree of (label, subtrees) without contexts: types, and what constants, operators and called names tell."""
     told = (type(node).__name__,)
