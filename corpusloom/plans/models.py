@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import syntax as S
 from ..functions import text as T
 from ..functions.syntax import parse, renamed
+from ..operators import classifier as C
 from ..operators import ranks as R
 from ..operators import similarity as N
 from ..operators import stats as A
@@ -257,25 +254,6 @@ def embed_node_types(spark, sf_dir):
     return parts.where("weight <> 0").withColumn("weight", F.round(F.col("weight").cast("double"), 6))
 
 
-def feature_stages(min_df: float = 1.0, shapes: int = 1 << 12) -> list:
-    """Weighed counts of node types, and hashed counts of whole subtrees."""
-    return [
-        CountVectorizer(inputCol="nodes", outputCol="counts", minDF=min_df), IDF(inputCol="counts", outputCol="weighed"),
-        HashingTF(inputCol="subtrees", outputCol="shapes", numFeatures=shapes), VectorAssembler(inputCols=["weighed", "shapes"], outputCol="features"),
-    ]
-
-
-def classifier(reg: float = 0.01, elastic: float = 0.0, iterations: int = 20) -> LogisticRegression:
-    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=reg, elasticNetParam=elastic, maxIter=iterations)
-
-
-def with_subtrees(rows: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """rows with nodes and subtrees, each of these as the text of its encoding; rows have code."""
-    trees = F.transform("trees", lambda t: F.array_join(t.cast("array<string>"), " "))
-    encoded = rows.withColumn("m", S.syntax_metrics("code")).where("m.valid").withColumn("trees", S.subtree_encoder(ids)("code"))
-    return encoded.withColumn("nodes", F.col("m.nodes")).withColumn("subtrees", trees).drop("code", "m", "trees")
-
-
 def vocabulary_ids(spark, sf_dir) -> dict[str, int]:
     found = vocabulary(measured(spark, sf_dir).select("id", "m.nodes"), "id").collect()  # at most the node types of Python
     return {t: i for t, i in found}
@@ -283,7 +261,7 @@ def vocabulary_ids(spark, sf_dir) -> dict[str, int]:
 
 def labelled_nodes(spark, sf_dir, ids: dict[str, int]) -> DataFrame:
     """Encoded code files; classes and functions with loops are human, the rest not."""
-    rows = with_subtrees(code_files(spark, sf_dir).select("id", "code", F.col("template").isin(1, 2, 5).cast("int").alias("label")), ids)
+    rows = C.with_subtrees(code_files(spark, sf_dir).select("id", "code", F.col("template").isin(1, 2, 5).cast("int").alias("label")), ids)
     rows = write_parquet(rows, work_path(spark, "labelled"))
     weights = A.class_weights(rows.select("label"))
     return rows.join(F.broadcast(weights), "label")  # two rows
@@ -293,50 +271,34 @@ def held_out(share: int = 10):
     return F.pmod(F.xxhash64("id"), F.lit(share)) == 0
 
 
-@query(None)
-def train_classifier(spark, sf_dir):
-    """Predicted class and probability of every file, by a model of its encoding fitted on nine tenths of them."""
-    rows = labelled_nodes(spark, sf_dir, vocabulary_ids(spark, sf_dir))
-    model = Pipeline(stages=[*feature_stages(), classifier()]).fit(rows.where(~held_out()))
-    return model.transform(rows).select("id", "label", F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("p_human"))
-
+def saved_model(spark, sf_dir) -> tuple[str, DataFrame]:
+    """Where a model of nine tenths of the files lies, and the encoded files."""
+    ids, path = vocabulary_ids(spark, sf_dir), work_path(spark, "model")
+    rows = labelled_nodes(spark, sf_dir, ids)
+    C.save(C.fitted(rows.where(~held_out())), ids, path)
+    return path, rows
 
-#: Iterations after which trials are compared, and what part of them goes on.
-RUNGS, ETA = (2, 6, 18), 3
 
-
-def tuned(rows: DataFrame, space: list[dict]) -> DataFrame:
-    """trial, its setting, iterations and macro F1 on held-out rows; after each rung the best third of the trials goes on."""
-    spark = rows.sparkSession
-    features = Pipeline(stages=feature_stages()).fit(rows.where(~held_out(5)))
-    ready = write_parquet(features.transform(rows).select("features", "label", "weight", held_out(5).alias("held")), work_path(spark, "features"))
-    score = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
-    alive, log = list(range(len(space))), []
-    for rung in RUNGS:
-        for trial in alive:
-            model = classifier(**space[trial], iterations=rung).fit(ready.where("NOT held"))
-            log.append((0, rung, trial, space[trial]["reg"], space[trial]["elastic"], float(score.evaluate(model.transform(ready.where("held"))))))
-        table = spark.createDataFrame(log, "bracket int, iterations int, trial int, reg_param double, elastic_net double, f1 double")  # a row for each fit
-        alive = [r.trial for r in R.rung_promotions(table, "bracket", "iterations", "trial", "f1", [rung], ETA).orderBy("trial").collect()]
-    return table.drop("bracket")
+@query(None)
+def train_classifier(spark, sf_dir):
+    """Predicted class and probability of the files held out, by a model of the others' encoding, saved and loaded again."""
+    path, rows = saved_model(spark, sf_dir)
+    model, _ = C.load(spark, path)
+    return model.transform(rows.where(held_out())).select("id", "label", F.col("prediction").cast("int").alias("pred"), vector_to_array("probability")[1].alias("p_human"))
 
 
 @query(None)
 def tune_classifier(spark, sf_dir):
     """The log of a search over two parameters that drops the weaker trials early."""
-    space = [{"reg": r, "elastic": e} for r in (0.01, 0.1, 1.0) for e in (0.0, 0.5)]
-    return tuned(labelled_nodes(spark, sf_dir, vocabulary_ids(spark, sf_dir)), space)
+    space = [{"reg": r, "elastic": e} for r in (0.001, 0.01, 0.1) for e in (0.0, 0.5)]
+    return C.tuned(labelled_nodes(spark, sf_dir, vocabulary_ids(spark, sf_dir)), held_out(5), space)
 
 
 @query(None)
 def score_files(spark, sf_dir):
-    """Blocks of every file, each with its class and both probabilities."""
-    ids = vocabulary_ids(spark, sf_dir)
-    model = Pipeline(stages=[*feature_stages(), classifier()]).fit(labelled_nodes(spark, sf_dir, ids))
-    blocks = code_files(spark, sf_dir).select("id", F.posexplode(S.normalised_blocks("code")).alias("block", "b"))
-    rows = with_subtrees(blocks.select("id", "block", "b.code", F.lit(1.0).alias("weight")), ids)
-    chance = vector_to_array("probability")
-    return model.transform(rows).select("id", "block", F.col("prediction").cast("int").alias("class"), chance[0].alias("p_ai"), chance[1].alias("p_human"))
+    """Blocks of every file held out, each with its class and both probabilities, by a saved model."""
+    model, ids = C.load(spark, saved_model(spark, sf_dir)[0])
+    return C.scored(model, ids, code_files(spark, sf_dir).where(held_out()), "id")
 
 
 def ranked_originals(spark, sf_dir) -> DataFrame:

@@ -50,7 +50,7 @@ def test_code_pairs_meet_all_codes_or_the_nearest(spark):
 
     codes = M.distinct_codes(spark, DATA).cache()
     asked = codes.where("id % 50 = 0").count()
-    pairs = entry.queries()["pair_similarity"](spark, DATA)
+    pairs = entry.queries()["pair_similarity_all"](spark, DATA)
     assert pairs.count() == pairs.select("query_id", "match_id").distinct().count() == asked * codes.count()
     a, b = (codes.select(codes.id.alias(f"{x}_id"), M.S.syntax_metrics("code")["nodes"].alias(x)) for x in ("query", "match"))
     plain_ratio = pairs.where("match_id % 29 = 0").join(a, "query_id").join(b, "match_id").where(M.F.abs(M.S.sequence_ratio("query", "match") - M.F.col("ratio")) > 1e-12)
@@ -79,4 +79,4 @@ def test_classifier_reads_shapes_and_the_search_drops_the_weaker(spark):
 
 def test_every_query_but_the_drawn_and_learned_has_a_twin():
     without = set(catalog.queries()) - set(catalog.oracle_sql())
-    assert without == {"knn_cosine_approx", "ted_similarity", "ted_rerank", "uniqueness_score", "most_unique_code", "train_classifier", "tune_classifier", "score_files", "rewrite_retrieval_eval"}
+    assert without == {"knn_cosine_approx", "uniqueness_score", "most_unique_code", "train_classifier", "tune_classifier", "score_files", "rewrite_retrieval_eval"}
