@@ -38,8 +38,8 @@ from .common import bound_batches, broadcast_if_small, free, materialise, own, p
 VOCABULARY, ROOM, END = "word_bpe_49k.json", 4096, 1
 #: Pieces that a task numbers, about.
 BUCKET = 500_000
-#: Words met of late whose ids a worker remembers; as many met before these stay too.
-KNOWN = 150_000
+#: Words, and parts of words in small letters, met of late whose ids a worker remembers; as many met before these stay too.
+KNOWN = (250_000, 350_000)
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -47,19 +47,23 @@ def raw(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: The marks that PLAIN has behind letters.
+MARKS = bytes(x for x in range(33, 127) if chr(x) != "'" and not chr(x).isalnum())
+
+
 class Remembered(dict):
-    """Values by key, made when first asked for; at most twice KNOWN of the keys asked for of late stay."""
+    """Values by key, made when first asked for; at most twice so many of the keys asked for of late stay."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.most, self.before = make, most, {}
 
     def __missing__(self, key):
         found = self[key] = self.before[key] if key in self.before else self.make(key)
         return found
 
     def age(self) -> None:
-        if len(self) > KNOWN:
+        if len(self) > self.most:
             self.before = dict(self)
             self.clear()
 
@@ -73,11 +77,16 @@ class WordEncoder:
 
         self.library, self.as_bytes = Tokenizer.from_buffer(data), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.model = self.library.model
-        self.words, self.parts = Remembered(self.word), Remembered(self.part)
+        self.words, self.parts = Remembered(self.word, KNOWN[0]), Remembered(self.part, KNOWN[1])
 
     def word(self, word: bytes) -> bytes:
         """Letters that lower to one letter each and compose with nothing, and marks behind them, are pre-tokens as they
         stand: these go to the library's merges directly, all else through its whole chain."""
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():  # of ASCII
+            marks = word[len(stem):]
+            own = self.parts[stem.decode().lower()]
+            return own + self.parts[marks.decode()] if marks else own
         text = word.decode("utf-8", "replace")
         plain = PLAIN.fullmatch(text)
         if plain:
