@@ -137,7 +137,7 @@ def search(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int
     @F.arrow_udf("array<int>")
     def probed(rows: pa.Array) -> pa.Array:
         centres = held.value[0]
-        near = widened(matrix(rows), width)[:, :width] @ centres.T
+        near = widened(matrix(rows)[:, :width], width) @ centres.T
         return pa.array(np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist(), pa.list_(pa.int32()))
 
     asked.select("id", "v", F.explode(probed("v")).alias("cell")).repartitionByRange("cell", "id").sortWithinPartitions("id", "cell").write.parquet(path)
@@ -164,7 +164,7 @@ def search(index: VectorIndex, queries: DataFrame, key: str, vector: str, k: int
         for batch in files.to_batches(filter=mine, batch_size=BLOCK):
             if not batch.num_rows:
                 continue
-            probing, names, asked = batch.column("cell").to_numpy(), batch.column("id").to_numpy(zero_copy_only=False), widened(matrix(batch.column("v")), width)[:, :width]
+            probing, names, asked = batch.column("cell").to_numpy(), batch.column("id").to_numpy(zero_copy_only=False), widened(matrix(batch.column("v"))[:, :width], width)
             met = []
             for cell in np.unique(probing):
                 own, at = np.flatnonzero(probing == cell), np.flatnonzero(cells == cell)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,5 +76,6 @@ def parse_responses(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def scan_source_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """full_path and code of every file below a folder whose name ends with suffix."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    return files.select(F.input_file_name().alias("full_path"), F.col("value").alias("code")).where(F.col("full_path").endswith(suffix))
+    named = "*" + re.sub(r"([*?\[\]{}\\])", r"\\\1", suffix)  # others are listed, not read
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=named)
+    return files.select(F.input_file_name().alias("full_path"), F.col("value").alias("code"))

@@ -1,5 +1,6 @@
 """Operators on edge rows: nulls, ties, empty tables, exact sizes, repeated runs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from corpusloom.operators import ranks as R
 from corpusloom.operators import sampling as P
 from corpusloom.operators import similarity as N
 from corpusloom.operators import stats as A
+from corpusloom.operators import vector_index as V
 from corpusloom.sources import scans, sinks
 
 
@@ -188,6 +190,16 @@ def test_sinks_give_back_what_they_wrote(spark):
     assert sinks.compact(spark, path, sinks.work_path(spark, "t"), 1).count() == 90
 
 
+def test_source_files_of_other_names_are_not_read(spark):
+    path = sinks.work_path(spark, "sources")
+    for name, text in (("a", "x = 1"), ("b", "y = 2\n")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    spark.createDataFrame([(1,)], "n int").coalesce(1).write.json(f"{path}/c")
+    found = scans.scan_source_files(spark, path, ".txt")
+    assert {r.code for r in found.collect()} == {"x = 1\n", "y = 2\n\n"} and len(found.inputFiles()) == 2
+    assert scans.scan_source_files(spark, path, "*").count() == 0  # not a pattern
+
+
 def test_broken_response_lines(spark):
     lines = spark.createDataFrame([(None,), ("",), ("{",), ('{"custom_id":"a","response":{"status_code":200,"body":{"data":[]}}}',), ('{"custom_id":"b","response":{"status_code":200,"body":{"data":[{"embedding":[1]}]}}}',)], "value string")
     assert [r.failed for r in scans.parse_responses(lines).collect()] == [True, True, True, True, False]
