@@ -9,6 +9,7 @@ from test_corpus_operators import slow_components, slow_print
 from test_text_operators import slow_dedup, slow_verdicts, tokenizer_library  # noqa: F401  a fixture
 
 import corpus_pipeline
+from corpusloom.llm import simhash
 
 
 def slow_mix(rows):
@@ -60,3 +61,12 @@ def test_pipeline_equals_a_plain_statement(spark, tmp_path, tokenizer_library):
         want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
     found = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert Counter(map(tuple, found.collect())) == want
+
+
+def test_pipeline_and_near_dedup_of_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert simhash.classes(docs).collect() == [] and simhash.keep_one(docs).collect() == []
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.collect() == [] and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(found.columns)
