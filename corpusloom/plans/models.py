@@ -133,7 +133,7 @@ def pair_similarity_all(spark, sf_dir):
     return N.pair_ratios(codes, codes.where(F.col("id") % EVERY == 0), "id", "nodes")
 
 
-NEAR_CODES = f"""near AS (SELECT q.id AS query_id, c.id AS match_id, 1 - distance / (10.0::DOUBLE * greatest(x.nodes, y.nodes)) AS ted,
+NEAR_CODES = f"""near AS (SELECT q.id AS query_id, c.id AS match_id, greatest(0.0::DOUBLE, 1 - distance / (10.0::DOUBLE * greatest(x.nodes, y.nodes))) AS ted,
   row_number() OVER (PARTITION BY q.id ORDER BY cosine DESC, c.id)::INTEGER AS original_ranking
   FROM codes q JOIN codes c ON q.id % {EVERY} = 0 AND q.id <> c.id JOIN shapes x ON x.template = q.template JOIN shapes y ON y.template = c.template
   JOIN distances d ON d.a = q.template AND d.b = c.template AND d.left_zero = (q.id % 200 = 0) AND d.right_zero = (c.id % 200 = 0) AND d.same = (q.id % 200 = c.id % 200))"""
