@@ -12,7 +12,7 @@ sys.path.insert(0, sys.argv[1])
 from pyspark.sql import SparkSession
 from corpusloom.llm import registry
 spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
-for name in ("op1_quality_rules", "op2_line_dedup", "op3_url_filter", "op8_byte_bpe", "op9_pii"):
+for name in ("op1_quality_rules", "op2_line_dedup", "op3_url_filter", "op8_byte_bpe", "op9_pii", "op11_pack", "op12_repair", "op13_periodic_runs"):
     assert len(registry.queries()[name](spark, sys.argv[3]).collect()), name
 print("all ran")
 """
