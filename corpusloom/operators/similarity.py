@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.syntax import ratio_of, sequence_ratio, sized
+from ..functions.syntax import Trees, ratio_of, sequence_ratio
 from ..functions.text import draw_key
 from ..functions.trees import Known, most_similar, rank_among
 from ..sources.sinks import work_path, write_parquet
@@ -167,12 +167,12 @@ def compared(found: DataFrame, asked: DataFrame, held: DataFrame, answer, fields
     kind = found.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, {fields}"
     near = found.join(held.select(F.col("id").alias("match_id"), F.col("code").alias("match_code")), "match_id").select("query_id", "match_id", "match_code", "rank")
-    known = Known()
+    known, trees = Known(), Trees()
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         names, types = zip(*((x.name, x.type) for x in kinds))
-        tree = sized(right.column("code")[0].as_py()) if right.num_rows else None
-        others = [(sized(code), i, rank) for code, i, rank in zip(*(left.column(c).to_pylist() for c in ("match_code", "match_id", "rank")))]
+        tree = trees[right.column("code")[0].as_py()] if right.num_rows else None
+        others = [(trees[code], i, rank) for code, i, rank in zip(*(left.column(c).to_pylist() for c in ("match_code", "match_id", "rank")))]
         others = sorted((x for x in others if x[0]), key=lambda x: x[2])
         query = right.column("id")[0].as_py() if right.num_rows else None
         out = answer(query, tree, *map(list, zip(*others)), known) if tree and others else []
