@@ -179,7 +179,9 @@ def compared(found: DataFrame, asked: DataFrame, held: DataFrame, answer, fields
         return pa.Table.from_arrays([pa.array([query] * len(out), types[0]), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types[1:]))], names)
 
     kinds = found.sparkSession.createDataFrame([], schema).toArrow().schema
-    return near.groupBy("query_id").cogroup(asked.select("id", "code").groupBy("id")).applyInArrow(rows, schema)
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work: not to be put together
+    left, right = near.repartition(tasks, "query_id"), asked.select("id", "code").repartition(tasks, "id")
+    return left.groupBy("query_id").cogroup(right.groupBy("id")).applyInArrow(rows, schema)
 
 
 def ted_rerank(found: DataFrame, asked: DataFrame, held: DataFrame, k: int | None = None) -> DataFrame:
