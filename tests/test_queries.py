@@ -80,3 +80,11 @@ def test_classifier_reads_shapes_and_the_search_drops_the_weaker(spark):
 def test_every_query_but_the_drawn_and_learned_has_a_twin():
     without = set(catalog.queries()) - set(catalog.oracle_sql())
     assert without == {"knn_cosine_approx", "uniqueness_score", "most_unique_code", "train_classifier", "tune_classifier", "score_files", "rewrite_retrieval_eval"}
+
+
+def test_keys_are_thousandths_in_the_vectors_own_precision(spark, duck, tmp_path):
+    values = [0.29, 0.57, 0.009, 0.069, -0.29, 0.1, 0.0, 1.5]
+    spark.createDataFrame([(1, values), (2, [])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    twin = duck.sql(entry.oracle_sql()["stringify_key"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    found = entry.queries()["stringify_key"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == set(twin) == {(1, "[290,570,9,69,-290,100,0,1500]"), (2, "[]")}
