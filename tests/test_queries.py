@@ -50,7 +50,10 @@ def test_code_pairs_meet_all_codes_or_the_nearest(spark):
 
     codes = M.distinct_codes(spark, DATA).cache()
     asked = codes.where("id % 50 = 0").count()
-    pairs = entry.queries()["pair_similarity_all"](spark, DATA)
+    found = entry.queries()["pair_similarity"](spark, DATA).cache()
+    member = found.where("id IS NOT NULL").select("id", "class_id")
+    query, match = (member.withColumnsRenamed({"id": f"{x}_id", "class_id": c}) for x, c in (("query", "class_id"), ("match", "match_class")))
+    pairs = found.where("id IS NULL").drop("id").join(query.where("query_id % 50 = 0"), "class_id").join(match, "match_class").cache()
     assert pairs.count() == pairs.select("query_id", "match_id").distinct().count() == asked * codes.count()
     a, b = (codes.select(codes.id.alias(f"{x}_id"), M.S.syntax_metrics("code")["nodes"].alias(x)) for x in ("query", "match"))
     plain_ratio = pairs.where("match_id % 29 = 0").join(a, "query_id").join(b, "match_id").where(M.F.abs(M.S.sequence_ratio("query", "match") - M.F.col("ratio")) > 1e-12)

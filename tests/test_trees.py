@@ -151,3 +151,17 @@ def test_similar_pairs_are_those_of_all_ratios(spark):
         found = N.similar_pairs(codes, codes.where("id % 10 = 0"), "id", "nodes", at_least, k)
         assert {tuple(r) for r in found.collect()} == want
     assert N.similar_pairs(codes.limit(0), codes, "id", "nodes", 0.5, 3).count() == 0
+
+
+def test_ratios_of_classes_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    kinds = [[rng.choice("ABCDE") for _ in range(rng.randint(1, 9))] for _ in range(12)] + [None, []]
+    rows = [(i, kinds[i % 14] if i < 28 else rng.choice(kinds)) for i in range(90)]
+    codes = spark.createDataFrame(rows, "id long, nodes array<string>")
+    members, pairs = N.class_ratios(codes, codes.where("id % 10 = 0"), "id", "nodes")
+    of, ratios = {r.id: r.class_id for r in members.collect()}, {(r.query_id, r.match_id): r.ratio for r in pairs.collect()}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    assert len(of) == 90 and len(set(of.values())) == len({tuple(x or ()) for x in kinds}) and all(c == min(i for i in of if of[i] == c) for c in of.values())
+    assert all(ratios[of[q], of[m]] == ratio(a, b) for q, a in rows if q % 10 == 0 for m, b in rows)
+    assert set(ratios) == {(of[q], c) for q in range(0, 90, 10) for c in of.values()}
+    assert all(x.count() == 0 for x in N.class_ratios(codes.limit(0), codes.limit(0), "id", "nodes"))
