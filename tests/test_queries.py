@@ -58,6 +58,10 @@ def test_code_pairs_meet_all_codes_or_the_nearest(spark):
     a, b = (codes.select(codes.id.alias(f"{x}_id"), M.S.syntax_metrics("code")["nodes"].alias(x)) for x in ("query", "match"))
     plain_ratio = pairs.where("match_id % 29 = 0").join(a, "query_id").join(b, "match_id").where(M.F.abs(M.S.sequence_ratio("query", "match") - M.F.col("ratio")) > 1e-12)
     assert plain_ratio.count() == 0
+    every = entry.queries()["pair_similarity_all"](spark, DATA).cache()
+    assert every.agg(M.F.sum("codes")).first()[0] == asked * codes.count() and every.select("id").distinct().count() == codes.count()
+    told = every.where("ratio IS NOT NULL").select("id", "match_class", "ratio").distinct().collect()
+    assert set(told) == set(pairs.select("query_id", "match_class", "ratio").distinct().collect())
     parsed = codes.where(M.S.is_valid_code("code"))
     ranked = entry.queries()["ted_rerank"](spark, DATA).groupBy("query_id").count().collect()
     assert len(ranked) == parsed.where("id % 50 = 0").count() and {r["count"] for r in ranked} == {min(100, parsed.count() - 1)}
