@@ -13,6 +13,7 @@ from ..operators import sampling as P
 from ..operators import similarity as N
 from ..operators import stats as A
 from ..sources.scans import parse_responses
+from ..sources.sinks import work_path, write_parquet
 from .fixtures import CODE_FILES, CORPUS, REQUESTS, RESPONSES, RESULTS, SHAPE_ROWS, code_files, corpus, requests, responses, results
 from .register import query
 from .scalars import JSON_VALUE, REWRITES, complexity, measured
@@ -116,8 +117,8 @@ def build_unique_blocks(spark, sf_dir):
 @query(None)
 def most_unique_code(spark, sf_dir):
     metrics = measured(spark, sf_dir)
-    hard = complexity(metrics).where("complex").select("id")
-    scored = N.uniqueness_score(metrics.select("id", "m.nodes").join(hard, "id", "left_semi"), "id", "nodes", N.PARTNERS, 42)
+    hard = complexity(metrics, "m").where("complex").select("id", "m.nodes")  # a file is parsed once
+    scored = write_parquet(N.uniqueness_score(hard, "id", "nodes", N.PARTNERS, 42), work_path(spark, "scored"))  # to be ranked in two passes
     return R.top_percent(scored, "uniqueness", "id", 90)
 
 

@@ -217,3 +217,13 @@ def test_lease_states_stay_out_of_the_driver(spark):
     from corpusloom.plans import models as M
 
     assert M.lease_state(spark, "/root/testdata/sf0.001").inputFiles()
+
+
+def test_a_unique_code_is_rated_once_however_many_rows(spark, monkeypatch):
+    from corpusloom.plans import pipelines
+
+    monkeypatch.setattr(N, "NUMBERS", 3)  # rows are told by their sequence's number, not joined
+    monkeypatch.setattr(N, "rated_by_joins", None)
+    found = pipelines.most_unique_code(spark, "/root/testdata/sf0.001")
+    assert "uniqueness(" not in found._jdf.queryExecution().optimizedPlan().toString()  # ranked from what is written
+    assert found.count() > 0
