@@ -112,3 +112,12 @@ def test_structure_and_neighbours_are_called_from_sql(spark):
         others = sorted((-round(float(np.dot(v, w)), 6), i) for i, (p, w) in rows.items() if i != q and p == part and w and v)
         want |= {(q, i, rank) for rank, (_, i) in enumerate(others[:2], 1)}
     assert {(r["query"], r.neighbour, r["rank"]) for r in found} == want and want
+
+
+def test_codes_are_encoded_where_they_are_dealt_out(spark):
+    from corpusloom.operators import classifier
+    from corpusloom.plans import fixtures
+
+    rows = classifier.with_subtrees(fixtures.code_files(spark, "/root/testdata/sf0.001").select("id", "code"), {"Module": 1})
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "ArrowEvalPython" not in plan[plan.index("Exchange") :]  # metrics, then subtrees
