@@ -165,3 +165,22 @@ def test_ratios_of_classes_are_those_of_all_pairs(spark):
     assert all(ratios[of[q], of[m]] == ratio(a, b) for q, a in rows if q % 10 == 0 for m, b in rows)
     assert set(ratios) == {(of[q], c) for q in range(0, 90, 10) for c in of.values()}
     assert all(x.count() == 0 for x in N.class_ratios(codes.limit(0), codes.limit(0), "id", "nodes"))
+
+
+def test_equal_trees_are_compared_once():
+    trees, known = S.Trees(), T.Known()
+    a, b, c = (trees[x][0] for x in ("x = f(1)\n", "# note\nx = f(1)\n", "x = f(2)\n"))
+    assert a is b and a is not c
+    assert T.distance(a, c, None, known) == T.distance(a, c) == T.distance(b, c, None, known) == 1 and len(known.pairs) == 1
+    assert T.distance(b, c, 0, known) is None and T.distance(b, c, 1, known) == 1
+
+
+def test_neighbours_of_copies_are_those_of_all_vectors(spark):
+    rng = random.Random(5)
+    kinds = [[rng.random() for _ in range(4)] for _ in range(6)]
+    rows = spark.createDataFrame([(i, rng.choice(kinds)) for i in range(120)], "id long, v array<float>")
+    for own in (False, True):
+        want, found = (f(rows, rows.where("id % 10 = 0"), "id", "v", 7, own=own) for f in (N.knn_cosine, N.knn_of_copies))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = N.knn_of_copies(rows, rows, "id", "v", 7)
+    assert plan.count() == 840 and N.knn_of_copies(rows.limit(0), rows.limit(0), "id", "v", 7).count() == 0
