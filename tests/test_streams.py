@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -104,3 +105,105 @@ def test_a_lease_that_ran_out_is_given_out_again():
     assert out == [(7800 * second, 2, "expired", 2)] and lease[4] and E.advanced(lease, [], 9999 * second, 3600, 300)[1] == []
     assert E.advanced(lease, [(8000 * second, "submit", 2)], 9999 * second, 3600, 300)[1] == [(8000 * second, 2, "completed", 2)]
     assert E.run_out(1_500_000, 3600, 0) == 3601_001_000 and E.run_out(0, 3600, 300) == 3600 * second
+
+
+class Held:
+    """A lease batch's state in plain values; ``values`` counts what was put into the list, ``reads`` how often it was read."""
+
+    def __init__(self):
+        self.list, self.held, self.timers, self.values, self.reads = [], {}, [], 0, 0
+
+    def getListState(self, name, schema):
+        top = self
+
+        class List:
+            def get(self):
+                top.reads += 1
+                return iter(top.list)
+
+            def put(self, values):
+                top.list, top.values = list(values), top.values + len(values)
+
+            def appendValue(self, value):
+                top.list.append(value)
+                top.values += 1
+
+            def clear(self):
+                top.list = []
+
+        return List()
+
+    def getValueState(self, name, schema):
+        held = self.held
+
+        class Value:
+            exists = lambda self: name in held
+            get = lambda self: held.get(name)
+            update = lambda self, value: held.update({name: value})
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_events_that_wait_are_few_values_read_once_with_one_timer(monkeypatch):
+    second = 1_000_000
+    events = [(at * second, E.EVENTS[at % 3], at % 7) for at in range(1, 3001)]
+    monkeypatch.setattr(E, "CHUNK", 400)
+    processor, held = E.Leases(100, 0), Held()
+    processor.init(held)
+    pack = lambda rows: [E.np.array([(at, E.EVENTS.index(e), c) for at, e, c in rows], E.PACKED)]
+    told = lambda frames: [tuple(r)[1:] for out in frames for r in out.itertuples(index=False)]
+    assert told(processor.step((1,), pack(events[:1000][::-1]), 0)) == [] and held.values == 3 and held.timers == [1000]
+    found = told(processor.step((1,), pack(events[1000:2000]), 1_000_000))
+    assert held.values == 6 and held.reads == 1 and held.timers == [1_001_000]
+    found += told(processor.step((1,), pack(events[2000:]), 1_000_500))  # nothing is ripe, so nothing is read
+    assert held.values == 9 and held.reads == 1 and len(found) == 1000
+    found += told(processor.step((1,), [], 9_000_000))
+    assert held.reads == 2 and held.list == [] and held.timers == []
+    lease, want = E.advanced(None, events, 9_000_000_000, 100, 0)
+    assert found == want and held.held["lease"] == lease
+    last = E.Leases(100, 0, every=False)
+    last.init(Held())
+    assert told(last.step((1,), pack(events), 9_000_000)) == want[-1:]
+
+
+def test_packed_events_give_the_transitions_of_single_ones():
+    rng = random.Random(5)
+    for _ in range(200):
+        events = sorted((rng.randrange(40) * 500_000, rng.choice(E.EVENTS), rng.randrange(3)) for _ in range(rng.randrange(12)))
+        cut, sweep = rng.randrange(len(events) + 1), rng.choice([0, 2])
+        until, whole = 25_000_000, E.advanced(None, events, 25_000_000, 3, sweep)
+        lease, first = E.advanced(None, events[:cut], events[cut - 1][0] if cut else 0, 3, sweep)
+        parts = E.advanced(lease, events[cut:], until, 3, sweep)
+        assert (parts[0], first + parts[1]) == whole
+        out, lease = [], None  # one by one
+        for at, event, client in [*events, (until, "", 0)]:
+            if lease and lease[0] == "assign" and not lease[4] and (end := E.run_out(lease[2], 3, sweep)) <= at:
+                out.append((end, lease[1], "expired", lease[3]))
+                lease = (*lease[:4], True)
+            if event:
+                times = (lease[3] if lease else 0) + (event == "assign")
+                lease = (event, client, at, times, False)
+                out.append((at, client, E.STATES[event], times))
+        assert whole == (lease, out)
+
+
+def test_the_state_of_leases_has_no_more_partitions_than_tasks_run(spark):
+    frame = spark.createDataFrame([(b, 1, "assign", START + timedelta(seconds=b)) for b in range(50)], "batch_id long, client long, event string, ts timestamp")
+    progress = sinks.work_path(spark, "progress")
+    with E.setting(spark, "spark.sql.shuffle.partitions", "60"):
+        found = E.run(E.lease_log(J.stream_table(spark, in_files(spark, [frame]))), sinks.work_path(spark, "leases"), progress)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+    state = [x.name for x in Path(progress.removeprefix("file://"), "state", "0").iterdir() if x.name.isdigit()]
+    assert len(state) == 2 * spark.sparkContext.defaultParallelism and found.count() == 50
+
+
+def test_of_one_time_the_last_transition_counts(spark):
+    log = spark.createDataFrame([(1, 5, 1, "expired", 1), (1, 5, 2, "assigned", 2), (2, 5, 1, "pending", 1), (2, 5, 0, "completed", 1), (3, 4, 1, "assigned", 1), (3, 5, 1, "expired", 1)], E.LOG)
+    found = E.last_states(log.select("batch_id").distinct(), log)
+    assert {(r.batch_id, r.client, r.state) for r in found.collect()} == {(1, 2, "assigned"), (2, 0, "completed"), (3, 1, "expired")}
