@@ -75,6 +75,18 @@ def test_every_rewrite_has_its_original(spark):
     assert set(ranks) == asked and all(0 < r <= 100 for r in ranks.values())
 
 
+def test_rewrites_are_searched_for_in_all_codes_and_all_that_are_asked_count(spark, monkeypatch):
+    from corpusloom.plans import models as M
+
+    short, broken, twice = "def f(x):\n    return x\n", "def f(:\n    return 1\n", "import os\nimport sys\n"
+    near = [(1000 + 50 * i + 1, "def f(v0)\n    return v0 :\n" + "\n" * i) for i in range(100)]  # the words of short's rewrite, but no Python
+    rows = [(50, short), (100, broken), (7, twice), (150, twice), (8, "x = 1\n"), *near]
+    monkeypatch.setattr(M, "code_files", lambda spark, sf_dir: spark.createDataFrame(rows, "id long, code string"))
+    assert {r.query_id: r["rank"] for r in M.ranked_originals(spark, DATA).collect()} == {50: -1, 100: -1, 7: 1}
+    rows = rows[:-2]  # of the hundred places broken has one and short the last
+    assert {r.query_id: r["rank"] for r in M.ranked_originals(spark, DATA).collect()} == {50: 1, 100: -1, 7: 1}
+
+
 def test_classifier_reads_shapes_and_the_search_drops_the_weaker(spark):
     rows = entry.queries()["train_classifier"](spark, DATA).collect()
     assert sum(r.label == r.pred for r in rows) / len(rows) > 0.95 and all(0 <= r.p_human <= 1 for r in rows)
