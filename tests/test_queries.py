@@ -50,10 +50,7 @@ def test_code_pairs_meet_all_codes_or_the_nearest(spark):
 
     codes = M.distinct_codes(spark, DATA).cache()
     asked = codes.where("id % 50 = 0").count()
-    found = entry.queries()["pair_similarity"](spark, DATA).cache()
-    member = found.where("id IS NOT NULL").select("id", "class_id")
-    query, match = (member.withColumnsRenamed({"id": f"{x}_id", "class_id": c}) for x, c in (("query", "class_id"), ("match", "match_class")))
-    pairs = found.where("id IS NULL").drop("id").join(query.where("query_id % 50 = 0"), "class_id").join(match, "match_class").cache()
+    pairs = entry.queries()["pair_similarity"](spark, DATA).cache()
     assert pairs.count() == pairs.select("query_id", "match_id").distinct().count() == asked * codes.count()
     a, b = (codes.select(codes.id.alias(f"{x}_id"), M.S.syntax_metrics("code")["nodes"].alias(x)) for x in ("query", "match"))
     plain_ratio = pairs.where("match_id % 29 = 0").join(a, "query_id").join(b, "match_id").where(M.F.abs(M.S.sequence_ratio("query", "match") - M.F.col("ratio")) > 1e-12)
@@ -61,12 +58,28 @@ def test_code_pairs_meet_all_codes_or_the_nearest(spark):
     every = entry.queries()["pair_similarity_all"](spark, DATA).cache()
     assert every.agg(M.F.sum("codes")).first()[0] == asked * codes.count() and every.select("id").distinct().count() == codes.count()
     told = every.where("ratio IS NOT NULL").select("id", "match_class", "ratio").distinct().collect()
-    assert set(told) == set(pairs.select("query_id", "match_class", "ratio").distinct().collect())
+    match = every.select(M.F.col("id").alias("match_id"), M.F.col("class_id").alias("match_class")).distinct()
+    assert set(told) == set(pairs.join(match, "match_id").select("query_id", "match_class", "ratio").distinct().collect())
     parsed = codes.where(M.S.is_valid_code("code"))
     ranked = entry.queries()["ted_rerank"](spark, DATA).groupBy("query_id").count().collect()
     assert len(ranked) == parsed.where("id % 50 = 0").count() and {r["count"] for r in ranked} == {min(100, parsed.count() - 1)}
 
 
+def test_pair_similarity_has_a_row_for_each_query_and_code(spark, monkeypatch):
+    import ast
+    import difflib
+
+    from corpusloom.plans import models as M
+    from corpusloom.plans.shapes import names_of
+
+    rows = [(50, "x = 1\n"), (51, "y = 2\n"), (52, "def f(x):\n    return x\n"), (100, "def f(:\n"), (101, "def g(:\n"), (102, "def g(x):\n    return -x\n"), (103, "x = 1\n")]
+    monkeypatch.setattr(M, "code_files", lambda spark, sf_dir: spark.createDataFrame(rows, "id long, code string"))
+    nodes = {i: [] if ":\n" in code[:8] else names_of(ast.parse(code)) for i, code in rows[:-1]}
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    found = entry.queries()["pair_similarity"](spark, DATA).select("query_id", "match_id", "ratio").collect()
+    assert sorted(map(tuple, found)) == [(q, i, ratio(nodes[q], nodes[i])) for q in (50, 100) for i in sorted(nodes)]
+
+
 def test_every_rewrite_has_its_original(spark):
     from corpusloom.plans import models as M
 

@@ -184,3 +184,17 @@ def test_neighbours_of_copies_are_those_of_all_vectors(spark):
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     plan = N.knn_of_copies(rows, rows, "id", "v", 7)
     assert plan.count() == 840 and N.knn_of_copies(rows.limit(0), rows.limit(0), "id", "v", 7).count() == 0
+
+
+def test_pair_ratios_are_of_all_pairs_whatever_the_shards(spark, monkeypatch):
+    rng = random.Random(5)
+    kinds = [[rng.choice("ABCDE") for _ in range(rng.randint(1, 9))] for _ in range(12)] + [None, []]
+    rows = [(i, kinds[0] if i % 2 else rng.choice(kinds)) for i in range(90)]  # one sequence is every second code's
+    codes = spark.createDataFrame(rows, "id long, nodes array<string>")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    want = [(q, m, ratio(a, b)) for q, a in rows if q % 3 == 0 for m, b in rows]
+    for shard, known, block in ((4096, 1_000_000, 128), (7, 5, 4)):
+        monkeypatch.setattr(N, "KNOWN", known)
+        monkeypatch.setattr(N, "PAIR_BLOCK", block)
+        assert sorted(map(tuple, N.pair_ratios(codes, codes.where("id % 3 = 0"), "id", "nodes", shard).collect())) == want
+    assert all(N.pair_ratios(codes.limit(n), codes.limit(m), "id", "nodes").count() == 0 for n, m in ((0, 9), (9, 0), (0, 0)))
